@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomstone.llm import quality_classifier, quality_rules, source_mix, token_counts
+from loomstone.llm import ngram_join, quality_classifier, quality_rules, source_mix, token_counts
 
 QUERIES = {
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_source_mix": source_mix.op7_source_mix,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
     "op8_token_counts": token_counts.op8_token_counts,
 }
 ORACLES = {"op7_source_mix": source_mix.ORACLE_SQL}
