@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomstone.llm import ngram_join, quality_classifier, quality_rules, source_mix, token_counts
+from loomstone.llm import ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts
 
 QUERIES = {
+    "op2_repeat_removal": repeat_removal.op2_repeat_removal,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_source_mix": source_mix.op7_source_mix,
