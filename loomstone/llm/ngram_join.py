@@ -223,5 +223,15 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     return linked.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs, with the document of the least doc_id of each group of linked documents and without the others.
+
+    Of rows that share a doc_id one stays. Rows with a null doc_id, and documents without words, stay.
+    """
+    others = ngram_join(docs, **options).where("doc_id <> group_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def op10_ngram_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import ready, staged, table
-from loomstone.llm.textstats import COUNTS, with_counts
+from loomstone.llm.textstats import COUNTS, count_texts, with_counts
 
 FEATURES = ["log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "same_next_share"]
 #: Words or letters of ordinary text that are added to each text.
@@ -152,5 +152,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()
     return counts.select("doc_id", *keep, "held_out", *COUNTS).mapInArrow(kernel, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier predicts to be good, with all their columns.
+
+    Learns as score_quality does. Texts are read a second time instead of being shuffled, so each row is judged by its
+    own text whatever its doc_id.
+    """
+    ready(docs.sparkSession)
+    model = fit_quality(with_counts(docs, ["doc_id"]).withColumn("held_out", held_out(F.col("doc_id"))), labels)
+    text = docs.columns.index("text")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = score_of(model.log_odds(features(count_texts(b.column(text))))) >= 0.5
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def op5_quality_classifier(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from loomstone.llm import ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts
+import corpus_pipeline
+from loomstone.llm import decontamination, ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_repeat_removal": repeat_removal.op2_repeat_removal,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_source_mix": source_mix.op7_source_mix,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.collection_bwt import CollectionBWT
 from loomstone.llm.common import drop, partitions, ready, staged, table
-from loomstone.llm.textkernel import doc_of, span_hash, text_bytes
+from loomstone.llm.textkernel import chars, span_hash, text_bytes
 from loomstone.llm.windows import MOST_WINDOWS, segments
 
 WIDTH = 50
@@ -384,16 +384,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """One row per document: doc_id, `keep`, n_bytes, spans (array of start, end in bytes), kept (binary: the bytes outside the spans).
 
+    whole_characters: a character of which a span takes some bytes goes altogether, so that kept is valid UTF-8.
     Null texts are empty; texts shorter than `width` are kept whole. Rows with equal doc_ids don't remove from one
     another. Rows with a null doc_id are kept whole and remove nothing. An empty table gives an empty table.
     """
-    rows = docs.select("doc_id", *keep, F.col("text"), F.xxhash64("text").alias("text_key"))
+    rows = docs.select("doc_id", *keep, F.col("text").alias("_text"), F.xxhash64("text").alias("text_key"))
     joined = rows.join(repeated_spans(docs, width).dropDuplicates(["doc_id", "text_key"]), ["doc_id", "text_key"], "left")
-    kept = joined.select("doc_id", *keep, "text", "spans")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in ("text", "spans")] + ["n_bytes long", "spans array<struct<start:long,end:long>>", "kept binary"])
+    kept = joined.select("doc_id", *keep, "_text", "spans")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in ("_text", "spans")] + ["n_bytes long", "spans array<struct<start:long,end:long>>", "kept binary"])
     n = 1 + len(keep)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,6 +408,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
                 step[at[i] + s[:, 0]] += 1
                 step[at[i] + s[:, 1]] -= 1
             stay = np.cumsum(step[:-1], dtype=np.int8) == 0
+            if whole_characters and len(data):
+                character = np.cumsum(chars(data)) - 1
+                stay = (np.bincount(character, weights=~stay) == 0)[character]
             total = np.concatenate([[0], np.cumsum(stay, dtype=np.int64)])
             kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(total[at]), pa.py_buffer(data[stay].tobytes())]).cast(pa.binary())
             pairs = np.concatenate([s for _, s in found]) if found else np.zeros((0, 2), np.int64)
