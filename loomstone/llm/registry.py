@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomstone.llm import decontamination, ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts
+from loomstone.llm import chat_format, decontamination, ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_repeat_removal": repeat_removal.op2_repeat_removal,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
@@ -14,5 +15,6 @@ QUERIES = {
     "op7_source_mix": source_mix.op7_source_mix,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_warc": warc.op9_warc,
 }
-ORACLES = {"op7_source_mix": source_mix.ORACLE_SQL}
+ORACLES = {"op1_chat_format": chat_format.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}
