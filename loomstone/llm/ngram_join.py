@@ -22,7 +22,7 @@ from loomstone.llm.textkernel import doc_of, lower_words, mix, span_hash, text_b
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Classes and shingles of one side of a verification block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2000, 1_500_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 1_000_000
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -207,7 +207,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(at * 8), pa.py_buffer(h.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), blob], names=names)
 
-    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("class_id"))
+    # Candidates grow with the corpus: the same shuffle at every size, no broadcast of those that happen to be few.
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("class_id"))
     sets = texts.select("class_id", F.col("class_size").alias("copies"), "component", "blocks", "block", "text").mapInArrow(cut, "class_id long, copies long, component long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = sets.select("*", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "class_id", "copies", "shingles")
