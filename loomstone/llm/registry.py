@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomstone.llm import chat_format, decontamination, ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts, warc
+from loomstone.llm import chat_format, decontamination, license_scan, ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_repeat_removal": repeat_removal.op2_repeat_removal,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -17,4 +18,4 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_warc": warc.op9_warc,
 }
-ORACLES = {"op1_chat_format": chat_format.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}
+ORACLES = {"op1_chat_format": chat_format.ORACLE_SQL, "op3_license_scan": license_scan.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}
