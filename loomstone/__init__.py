@@ -1,0 +1 @@
+"""Code-intelligence analytics and training-data operators as Spark DataFrame functions."""
