@@ -94,7 +94,8 @@ class CollectionBWT:
         order = np.argsort(bwt, kind="stable")
         ended = int(np.count_nonzero(bwt == 0))
         step = np.empty(len(bwt), np.int64)
-        step[order] = self.n + np.arange(len(bwt)) - ended
+        step[order] = np.arange(self.n - ended, self.n - ended + len(bwt))
+        del order
         at, who = np.arange(self.n), np.arange(self.n)
         for length in range(1, longest + 1):
             keep = self.length[who] >= length

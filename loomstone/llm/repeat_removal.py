@@ -28,9 +28,11 @@ from loomstone.llm.windows import MOST_WINDOWS, segments
 
 WIDTH = 50
 #: Segments of a chunk: what a task gathers before it sends blobs to the shards.
-CHUNK_SEGMENTS = 1_000_000
+CHUNK_SEGMENTS = 400_000
+#: Shards of a partition: each builds a transform of its own, one after another.
+SHARDS_EACH = 8
 #: Bytes of the segments of one transform; a shard with more builds several, split by a second minimiser.
-TRANSFORM_BYTES = 6 << 20
+TRANSFORM_BYTES = 4 << 20
 
 _pack = zstandard.ZstdCompressor(level=1).compress
 _unpack = zstandard.ZstdDecompressor().decompress
@@ -54,6 +56,18 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray, block: int = 8192) -> np.ndarray:
+    """The bytes data[start:start + length] of all spans end to end; indices are made for one block of spans at a time."""
+    ends = np.cumsum(length)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    begin = ends - length
+    for a in range(0, len(start), block):
+        b = min(a + block, len(start))
+        lo, hi = int(begin[a]), int(ends[b - 1])
+        out[lo:hi] = data[np.repeat(start[a:b] - (begin[a:b] - lo), length[a:b]) + np.arange(hi - lo)]
+    return out
+
+
 def _by_group(group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(group, kind="stable")
     return order, np.searchsorted(group[order], np.arange(n + 1))
@@ -168,10 +182,8 @@ def _cut(width: int, shards: int):
             for s in range(shards):
                 mine = order[cut[s] : cut[s + 1]]
                 if len(mine):
-                    at, n = start[first[mine]], col["length"][first[mine]]
-                    ends = np.cumsum(n)
-                    take = np.repeat(at - (ends - n), n) + np.arange(ends[-1])
-                    rows.append((s, chunk, pack(mine.astype(np.int32), n.astype(np.uint8), least[mine], col["bytes"][take])))
+                    n = col["length"][first[mine]]
+                    rows.append((s, chunk, pack(mine.astype(np.int32), n.astype(np.uint8), least[mine], gather(col["bytes"], start[first[mine]], n))))
             rows.append((-1, chunk, pack(col["doc"], col["text"], col["at"], which.astype(np.int32))))
             s, c, blob = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int64()), pa.array(blob, pa.binary())], names=["shard", "chunk", "blob"])
@@ -190,15 +202,13 @@ def _cut(width: int, shards: int):
                 continue
             of, start, windows, value = of[some], start[some], windows[some], value[some]
             length = windows + width - 1
-            ends = np.cumsum(length)
-            take = np.repeat(start - (ends - length), length) + np.arange(ends[-1])
             doc = b.column(0).to_numpy(zero_copy_only=False)[of]
             text = b.column(1).to_numpy(zero_copy_only=False)[of]
-            new = {"hash": span_hash(data, start, start + length), "length": length, "value": value, "doc": doc, "text": text, "at": (start - at[of]).astype(np.int64), "bytes": data[take]}
+            new = {"hash": span_hash(data, start, start + length), "length": length, "value": value, "doc": doc, "text": text, "at": (start - at[of]).astype(np.int64), "bytes": gather(data, start, length)}
             for k, x in new.items():
                 held.setdefault(k, []).append(x)
             size += len(some)
-            if size > CHUNK_SEGMENTS // 2:
+            if size > CHUNK_SEGMENTS:
                 yield out()
                 held, size, number = {}, 0, number + 1
         if size:
@@ -257,36 +267,31 @@ def _compare(width: int):
             if len(mine):
                 yield of[start[mine]], first[start[mine]] - at[of[start[mine]]], count[mine]
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        """The answers to one shard's blobs."""
         chunks, index, length, doc, data = [], [], [], [], []
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                i, n, d, x = unpack(blob.as_buffer(), np.int32, np.uint8, np.int64, np.uint8)
-                chunks.append(np.full(len(i), chunk))
-                index.append(i)
-                length.append(n.astype(np.int64))
-                doc.append(d)
-                data.append(x)
-        if not chunks:
-            return
+        for chunk, blob in blobs:
+            i, n, d, x = unpack(blob, np.int32, np.uint8, np.int64, np.uint8)
+            chunks.append(np.full(len(i), chunk))
+            index.append(i)
+            length.append(n.astype(np.int64))
+            doc.append(d)
+            data.append(x)
         chunks, index, length, doc, data = (np.concatenate(x) for x in (chunks, index, length, doc, data))
         at = np.concatenate([[0], np.cumsum(length)])
         _, first, which = np.unique(span_hash(data, at[:-1], at[1:]), return_index=True, return_inverse=True)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         n = length[first]
-        ends = np.cumsum(n)
-        data = data[np.repeat(at[first] - (ends - n), n) + np.arange(ends[-1])]
-        begin = ends - n
+        data = gather(data, at[first], n)
+        begin = np.cumsum(n) - n
         windows = n - width + 1
         window_at = np.concatenate([[0], np.cumsum(windows)])
         found = np.empty(window_at[-1], np.int64)
         for seg, w0, count in groups(data, n):
             size = count + width - 1
-            e = np.cumsum(size)
-            part = data[np.repeat(begin[seg] + w0 - (e - size), size) + np.arange(e[-1])]
             e = np.cumsum(count)
-            found[np.repeat(window_at[seg] + w0 - (e - count), count) + np.arange(e[-1])] = least_docs(part, size, least[seg], width)
+            found[np.repeat(window_at[seg] + w0 - (e - count), count) + np.arange(e[-1])] = least_docs(gather(data, begin[seg] + w0, size), size, least[seg], width)
         new = np.ones(len(found), bool)
         new[1:] = found[1:] != found[:-1]
         new[window_at[:-1]] = True
@@ -300,8 +305,16 @@ def _compare(width: int):
             k = runs_at[seg + 1] - runs_at[seg]
             e = np.cumsum(k)
             take = np.repeat(runs_at[seg] - (e - k), k) + np.arange(e[-1])
-            blob = pack(index[part], k.astype(np.uint8), run_length[take].astype(np.uint8), run_least[take])
-            yield pa.RecordBatch.from_arrays([pa.array(chunks[part[:1]]), pa.array([blob], pa.binary())], names=["chunk", "blob"])
+            yield int(chunks[part[0]]), pack(index[part], k.astype(np.uint8), run_length[take].astype(np.uint8), run_least[take])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_shard: dict[int, list] = {}  # packed as they came; one shard at a time is unpacked
+        for b in batches:
+            for shard, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                by_shard.setdefault(shard, []).append((chunk, blob))
+        for shard in sorted(by_shard):
+            answers = list(compare(by_shard.pop(shard)))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in answers], pa.int64()), pa.array([x for _, x in answers], pa.binary())], names=["chunk", "blob"])
 
     return kernel
 
@@ -372,10 +385,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     _release(spark)
     lists = shared.groupBy("doc_id").agg(F.collect_list("minimisers").alias("minimisers"))
     texts = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(lists, "doc_id").sortWithinPartitions("doc_id", "text_key")
-    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(_cut(width, shards), "shard int, chunk long, blob binary"), "segments")
+    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(_cut(width, SHARDS_EACH * partitions(spark)), "shard int, chunk long, blob binary"), "segments")
     drop(shared)
     _release(spark)
-    compared = cut.where("shard >= 0").repartition(partitions(spark), "shard").select("chunk", "blob").mapInArrow(_compare(width), "chunk long, blob binary")
+    compared = cut.where("shard >= 0").repartition(partitions(spark), "shard").mapInArrow(_compare(width), "chunk long, blob binary")
     answers = compared.groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
     places = cut.where("shard < 0").select("chunk", F.col("blob").alias("places"))
     spans = staged(answers.join(places, "chunk").select("answers", "places").mapInArrow(_spans(width), "doc_id long, text_key long, spans binary"), "spans")
