@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.scores import Value, col
 
-#: Synonyms, stop words and endings of intent normalisation.
-SYNONYMS = {"method": "function", "methods": "function", "func": "function", "functions": "function", "bug": "error", "bugs": "error", "errors": "error", "folder": "directory", "dir": "directory"}
-STOP_WORDS = ["a", "an", "and", "are", "does", "for", "how", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "with"]
-ENDINGS = "(ing|ed|es|s)$"
+#: Stop words and synonyms of intent normalisation; endings with the token length beyond which they go.
+STOP_WORDS = ["a", "an", "and", "are", "does", "do", "describe", "for", "how", "in", "is", "me", "of", "or", "please", "the", "to", "what"]
+SYNONYMS = {
+    "authentication": "auth", "authenticate": "auth", "authenticated": "auth", "implementation": "function", "implementations": "function", "method": "function", "methods": "function",
+    "routine": "function", "routines": "function", "authn": "auth", "login": "auth", "logins": "auth", "explain": "describe", "explains": "describe",
+    "flow": "workflow", "flows": "workflow", "work": "workflow", "works": "workflow",
+}
+ENDINGS = [("ing", 5), ("ed", 4), ("es", 3), ("s", 3)]
 
 
 def tokens(text: Value, pattern: str = "[^a-z0-9_]+", least: int = 2) -> Column:
@@ -34,12 +38,20 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def normalize_intent(text: Value) -> Column:
-    """Words after synonyms, then without endings, then without stop words; distinct, sorted, joined by spaces."""
-    words = F.filter(F.split(F.lower(col(text)), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+    """Words by synonym, without endings, of two letters or more, without stop words; distinct, sorted, joined by spaces. If none is left, the trimmed lower-cased text."""
+    words = F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z0-9_]+"), 0)
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    same = F.transform(words, lambda w: F.coalesce(synonyms[w], w))
-    bare = F.transform(same, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, ENDINGS, "")).otherwise(w))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(bare, lambda w: ~w.isin(STOP_WORDS)))), " ")
+
+    def bare(w: Column) -> Column:
+        out = None
+        for ending, longer in ENDINGS:
+            test, cut = (F.length(w) > longer) & w.endswith(ending), F.substring(w, F.lit(1), F.length(w) - len(ending))
+            out = F.when(test, cut) if out is None else out.when(test, cut)
+        return out.otherwise(w)
+
+    stems = F.transform(F.transform(words, lambda w: F.coalesce(synonyms[w], w)), bare)
+    kept = F.filter(stems, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    return F.when(F.size(kept) > 0, F.array_join(F.array_sort(F.array_distinct(kept)), " ")).otherwise(F.lower(F.trim(col(text))))
 
 
 def intent_similarity(a: Column, b: Column) -> Column:
@@ -98,9 +110,31 @@ def path_language(path: Value, languages: dict[str, str], fallback: str = "text"
     return F.coalesce(known[F.lower(F.regexp_extract(col(path), r"\.([A-Za-z0-9]+)$", 1))], F.lit(fallback))
 
 
-#: Labels by pattern, first match wins.
-COMMIT_RULES = [(r"^(fix|bugfix|hotfix)\b|\bfix(es|ed)?\b", "fix"), (r"^feat\b|\badd(s|ed)?\b", "feature"), (r"^refactor\b|\brefactor", "refactor"), (r"^docs?\b|\bdocument", "docs"), (r"^tests?\b|\btests?\b", "test"), (r"^chore\b|\bbump\b", "chore")]
-REFLOG_RULES = [(r"^commit \(merge\)|^merge", "merge"), (r"^commit \(amend\)", "amend"), (r"^commit", "commit"), (r"^rebase", "rebase"), (r"^reset", "reset"), (r"^checkout", "checkout"), (r"^pull", "pull"), (r"^revert", "revert"), (r"^cherry-pick", "cherry-pick")]
-DOCUMENT_RULES = [(r"(?i)readme", "readme"), (r"(?i)changelog|history", "changelog"), (r"(?i)/adr/|decision", "adr"), (r"(?i)guide|tutorial|how-?to", "guide"), (r"(?i)api|reference", "reference")]
+#: Labels by pattern of a lower-cased text, first match wins.
+COMMIT_RULES = [
+    (r"^(fix|bugfix|hotfix)[\s:(]", "bugfix"), (r"^(feat|feature|add)[\s:(]", "feature"), (r"^(refactor|cleanup|clean)[\s:(]", "refactor"), (r"^(test|tests|spec)[\s:(]", "test"),
+    (r"^(docs|doc|readme)[\s:(]", "docs"), (r"^(chore|build|ci|deps|bump)[\s:(]", "chore"), (r"^(perf|performance|optimize)[\s:(]", "perf"), (r"^(style|format|lint)[\s:(]", "style"), (r"^(revert)[\s:(]", "revert"),
+    (r"\b(fix|bug|issue|resolve|patch)\b", "bugfix"), (r"\b(feat|feature|implement|add|new)\b", "feature"), (r"\b(refactor|restructure|reorganize|simplify)\b", "refactor"),
+    (r"\b(test|spec|coverage)\b", "test"), (r"\b(doc|docs|documentation|readme|comment)\b", "docs"),
+]
+REFLOG_RULES = [(r"^commit:|^commit \(initial\):", "commit"), (r"^rebase", "rebase"), (r"^reset:", "reset"), (r"^merge", "merge"), (r"^checkout:", "checkout"), (r"^cherry-pick", "cherry-pick"), (r"^revert", "revert"), (r"^pull:|fast-forward", "pull")]
+CACHE_RULES = [(r"\b(error|exception|bug|failed|failing|timeout|trace|stack)\b|why does", "diagnostic"), (r"\bhow does\b|\barchitecture\b|\bdesign\b|\boverview\b|\bconcept\b", "conceptual")]
+DOCUMENT_RULES = [(r"readme", "readme"), (r"changelog|history", "changelog"), (r"/adr/|decision", "adr"), (r"guide|tutorial|how-?to", "guide"), (r"api|reference", "reference")]
 SECRET_RULES = [(r"AKIA[0-9A-Z]{16}", "aws_key"), (r"gh[pousr]_[A-Za-z0-9]{36}", "github_token"), (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "jwt"), (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "private_key"), (r"(?i)(password|passwd|pwd)\s*[:=]\s*\S{6,}", "password"), (r"(?i)(secret|token|api[_-]?key)\s*[:=]\s*\S{8,}", "generic_secret")]
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "c": "c", "cpp": "cpp", "cs": "csharp", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "sql": "sql", "sh": "shell"}
+
+
+def commit_category(message: Value) -> Column:
+    """Prefix rules look at the first line, keyword rules at all of the message."""
+    low = F.lower(col(message))
+    line = F.element_at(F.split(low, "\n"), 1)
+    prefix = first_rule(line, COMMIT_RULES[:9], "")
+    return F.when(low.isNull(), "other").when(prefix != "", prefix).otherwise(first_rule(low, COMMIT_RULES[9:], "other"))
+
+
+def reflog_action(message: Value) -> Column:
+    return first_rule(F.lower(col(message)), REFLOG_RULES, "other")
+
+
+def cache_category(intent: Value) -> Column:
+    return first_rule(F.lower(col(intent)), CACHE_RULES, "lookup")

@@ -33,7 +33,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def communities(edges: DataFrame, most_edges: int = 500_000, sweeps: int = 20, l
             graph = coarse
         return pd.DataFrame({"id": list(of), "community": list(of.values())})
 
-    found = e.groupBy(F.lit(0)).applyInPandas(run, f"id {kind}, community {kind}")
+    found = e.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"id {kind}, community {kind}")
     return nodes(edges).join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
