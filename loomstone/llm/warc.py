@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, to: str, least_revisit: int = LEAST_REVISIT
             store, folder = fs.FileSystem.from_uri(to)
             store.create_dir(folder, recursive=True)
             name = f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
-            with store.open_output_stream(f"{folder}/{name}") as f:
+            with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 n = write_archive(f, records)
             return pa.RecordBatch.from_arrays([pa.array([f"{to}/{name}"]), pa.array([len(records)], pa.int64()), pa.array([n], pa.int64())], names=["path", "records", "bytes"])
 
@@ -175,7 +175,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with store.open_input_stream(name) as f:
+                with store.open_input_stream(name, compression=None) as f:
                     for head, block in read_archive(f):
                         at = block.index(b"\r\n\r\n") + 4
                         http = dict(x.split(": ", 1) for x in block[: at - 4].decode().split("\r\n")[1:])
