@@ -319,7 +319,7 @@ def communities(edges: DataFrame, most_edges: int = 500_000, sweeps: int = 20, l
                         if u != v:
                             links[label[u]] = links.get(label[u], 0) + 1
                     total[mine] -= k
-                    best, gain = mine, links.get(mine, 0) - k * total[mine] / (2 * m)
+                    best, gain = mine, 0.0
                     for c in sorted(links):
                         g = links[c] - k * total[c] / (2 * m)
                         if g > gain + 1e-9:

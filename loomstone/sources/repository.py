@@ -58,7 +58,7 @@ def markdown_parts(texts: DataFrame) -> DataFrame:
 
 def decisions(texts: DataFrame) -> DataFrame:
     """(path, title, status, context, decision, consequences) of architecture decision records."""
-    multi = lambda name: F.trim(F.regexp_extract("text", rf"(?ims)^##\s*{name}\s*$\n(.*?)(?=^##\s|\z)", 1))
+    multi = lambda name: F.regexp_replace(F.regexp_extract("text", rf"(?ims)^##\s*{name}\s*$\n(.*?)(?=^##\s|\z)", 1), r"^\s+|\s+$", "")
     return texts.select("path", F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1).alias("title"), *[multi(n).alias(n) for n in ("status", "context", "decision", "consequences")])
 
 

@@ -12,23 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with a watermark on its time, which must have a time zone for that; a batch as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def debounce(events: DataFrame, key: str, ts: str, quiet: str = "200 milliseconds", late: str = "10 seconds") -> DataFrame:
     """(key, start, end, events, last): one row for each burst of a key that ends in a quiet period. Batch or stream."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = watermarked(events, ts, late)
     g = e.groupBy(F.session_window(ts, quiet).alias("w"), key).agg(F.count(F.lit(1)).alias("events"), F.max(ts).alias("last"))
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "last")
 
 
 def batches(events: DataFrame, key: str, ts: str, width: str, storm: int = 200, late: str = "10 seconds") -> DataFrame:
     """(start, events, keys, storm): tumbling windows with their number of events and distinct keys; a storm is `storm` events or more."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = watermarked(events, ts, late)
     keys = F.approx_count_distinct(key) if events.isStreaming else F.countDistinct(key)
     g = e.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("events"), keys.alias("keys"))
     return g.select(F.col("w.start").alias("start"), "events", "keys", (F.col("events") >= storm).alias("storm"))
 
 
 def sliding(events: DataFrame, ts: str, width: str, step: str, by: list[str], late: str = "10 seconds", **aggs: Column) -> DataFrame:
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = watermarked(events, ts, late)
     g = e.groupBy(F.window(ts, width, step).alias("w"), *by).agg(*[c.alias(k) for k, c in aggs.items()])
     return g.select(F.col("w.start").alias("start"), *by, *aggs)
 
@@ -41,7 +46,7 @@ def changed_only(events: DataFrame, known: DataFrame, key: str, checksum: str) -
 
 def distinct_events(events: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
     """The first of events with equal keys; on a stream the memory of keys ends with the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return watermarked(events, ts, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def subscribe(stream: DataFrame, where: Column, handler: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
@@ -109,9 +114,9 @@ def learn_stream(outcomes: DataFrame, key: str, success: str, forget: str = "NoT
 
 def join_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str, wait: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Predictions (key, made, p) with the outcomes (key, seen, y) that come within `wait`: a stream-stream join whose state the watermarks bound, or a batch join."""
-    p = predictions.withWatermark("made", late) if predictions.isStreaming else predictions
+    p = watermarked(predictions, "made", late)
     o = outcomes.withColumnRenamed(key, "_k")
-    o = o.withWatermark("seen", late) if outcomes.isStreaming else o
+    o = watermarked(o, "seen", late)
     return p.join(o, (F.col(key) == F.col("_k")) & (F.col("seen") >= F.col("made")) & (F.col("seen") <= F.col("made") + F.expr(f"INTERVAL {wait}"))).drop("_k")
 
 
