@@ -21,6 +21,8 @@ class CollectionBWT:
         self.n = len(offsets) - 1
         self.length = np.diff(offsets)
         self.folder = tempfile.TemporaryDirectory(dir=folder)
+        self.files = {name: [open(os.path.join(self.folder.name, f"{name}{k}"), "w+b", buffering=0) for k in (0, 1)] for name in ("bwt", "lcp")}  # noqa: SIM115  held until close()
+        self.size = 0
         try:
             self._build()
         except BaseException:
@@ -28,32 +30,40 @@ class CollectionBWT:
             raise
 
     def close(self) -> None:
+        for both in self.files.values():
+            for f in both:
+                f.close()
         self.folder.cleanup()
 
-    def _file(self, name: str, which: int) -> str:
-        return os.path.join(self.folder.name, f"{name}{which}")
-
     def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self._file(name, self.now), np.uint8)
+        """One of the two finished files, front to back."""
+        f = self.files[name][self.now]
+        f.seek(0)
+        return np.fromfile(f, np.uint8, self.size)
+
+    def _write(self, name: str, which: int, values: np.ndarray) -> None:
+        """Front to back over what the file held: it is never cut, so its pages stay."""
+        f, data, at = self.files[name][which], memoryview(values), 0
+        f.seek(0)
+        while at < len(data):
+            at += f.write(data[at : at + (1 << 24)])
 
     def _build(self) -> None:
+        """Besides the two files, memory holds `order`: the transform's positions by (symbol, position), which a round maps on and merges into instead of sorting anew."""
         n = self.n
         self.now = 0
-        at, who = np.arange(n), np.arange(n)  # positions of the newest suffixes, ascending, and whose they are
         symbol = self.codes[self.offsets[1:] - 1]
-        symbol.tofile(self._file("bwt", 0))
-        np.zeros(n, np.uint8).tofile(self._file("lcp", 0))
+        self._write("bwt", 0, np.ascontiguousarray(symbol))
+        self._write("lcp", 0, np.zeros(n, np.uint8))
+        self.size = n
+        order = np.argsort(symbol, kind="stable").astype(np.int32)
+        count = np.bincount(symbol, minlength=256)  # of each symbol in the transform
+        slot, who = np.arange(n), order.astype(np.int64)  # places of the newest suffixes in order, and whose they are
         done = 1
-        while len(at):
+        while len(slot):
             bwt, lcp = self.read("bwt"), self.read("lcp")
-            size = len(bwt)
-            order = np.argsort(bwt, kind="stable")
-            ended = size - int(np.count_nonzero(bwt))
-            newest = np.zeros(size, bool)
-            newest[at] = True
-            slot = np.flatnonzero(newest[order])  # in the order of (symbol, position), which is that of the new suffixes
-            by_symbol = np.argsort(symbol, kind="stable")
-            who, place = who[by_symbol], n + slot - ended
+            size, ended = len(bwt), int(count[0])
+            place = n + slot - ended  # by (symbol, position): the order of the new suffixes
 
             # A new suffix shares one symbol more with a neighbour of its symbol than the suffixes behind them share.
             touched = np.empty(2 * len(slot), np.int64)
@@ -81,21 +91,34 @@ class CollectionBWT:
             old[place] = False
             grown = np.empty(size + len(place), np.uint8)
             grown[old], grown[place] = bwt, nxt
-            grown.tofile(self._file("bwt", 1 - self.now))
+            self._write("bwt", 1 - self.now, grown)
             grown[old] = lcp
             grown[n + touched - ended] = shared
-            grown.tofile(self._file("lcp", 1 - self.now))
-            self.now = 1 - self.now
-            at, who, symbol = place[left], who[left], nxt[left]
+            self._write("lcp", 1 - self.now, grown)
+            self.now, self.size = 1 - self.now, len(grown)
+
+            moved = np.flatnonzero(old).astype(np.int32)[order]  # where the old symbols stand now, still by (symbol, position)
+            by_symbol = np.argsort(nxt, kind="stable")
+            new_at, new_symbol = place[by_symbol], nxt[by_symbol]
+            new_slot = np.arange(len(new_at))
+            start = np.cumsum(count) - count
+            cut = np.searchsorted(new_symbol, np.arange(257))
+            for c in np.flatnonzero(np.diff(cut)):
+                mine = slice(cut[c], cut[c + 1])
+                new_slot[mine] += start[c] + np.searchsorted(moved[start[c] : start[c] + count[c]], new_at[mine])
+            stay = np.ones(len(moved) + len(new_at), bool)
+            stay[new_slot] = False
+            order = np.empty(len(stay), np.int32)
+            order[stay], order[new_slot] = moved, new_at
+            count = count + np.diff(cut)
+            on = new_symbol > 0
+            slot, who = new_slot[on], who[by_symbol][on]
+        self._order = order
 
     def places(self, longest: int):
         """Yield (length, who, position): where the suffix of each length up to `longest` of each sequence stands in the sorted order."""
-        bwt = self.read("bwt")
-        order = np.argsort(bwt, kind="stable")
-        ended = int(np.count_nonzero(bwt == 0))
-        step = np.empty(len(bwt), np.int64)
-        step[order] = np.arange(self.n - ended, self.n - ended + len(bwt))
-        del order
+        step = np.empty(len(self._order), np.int32)
+        step[self._order] = np.arange(len(step), dtype=np.int32)  # all n sequences have ended: the symbols that end them come first, as their suffixes do
         at, who = np.arange(self.n), np.arange(self.n)
         for length in range(1, longest + 1):
             keep = self.length[who] >= length
