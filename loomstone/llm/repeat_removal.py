@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.collection_bwt import CollectionBWT
 from loomstone.llm.common import drop, partitions, ready, staged, table
-from loomstone.llm.textkernel import chars, span_hash, text_bytes
+from loomstone.llm.textkernel import chars, mix, span_hash, text_bytes
 from loomstone.llm.windows import MOST_WINDOWS, segments
 
 WIDTH = 50
@@ -126,39 +126,56 @@ def _ask(width: int, shards: int):
     return kernel
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's blobs -> (doc_id, minimisers): what a document shares with another."""
-    values, docs = [], []
+def _answer(blocks: int):
+    """A shard's blobs -> (block, blob): which minimisers documents share with others, a row for each of the `blocks` of documents."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, docs, known_values, known_docs = [], [], [], []
+        for b in batches:
+            for one, blob in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if one is None:
+                    v, d = unpack(blob.as_buffer(), np.uint64, np.int64)
+                    values.append(v)
+                    docs.append(d)
+                else:
+                    known_values.append(np.frombuffer(blob.as_buffer(), np.uint64).copy())
+                    known_docs.append(np.full(len(known_values[-1]), one))
+        if values:
+            v, d = np.concatenate(values), np.concatenate(docs)
+            order = np.argsort(v, kind="stable")
+            v, d = v[order], d[order]
+            first = np.ones(len(v), bool)
+            first[1:] = v[1:] != v[:-1]
+            group = np.cumsum(first) - 1
+            shared = ((np.bincount(group) > 1)[group]) & (d != MANY)
+            known_values.append(v[shared])
+            known_docs.append(d[shared])
+        if not known_values:
+            return
+        v, d = np.concatenate(known_values), np.concatenate(known_docs)
+        order, cut = _by_group((mix(d.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
+        some = [k for k in range(blocks) if cut[k] < cut[k + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(d[order[cut[k] : cut[k + 1]]], v[order[cut[k] : cut[k + 1]]]) for k in some], pa.binary())], names=["block", "blob"])
+
+    return kernel
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All blobs of a block -> (doc_id, minimisers), a row a document."""
     for b in batches:
-        asked = b.column(1).is_null().to_numpy(zero_copy_only=False)
-        known = b.filter(pa.array(~asked))
-        if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], names=["doc_id", "minimisers"])
-        for blob in b.filter(pa.array(asked)).column(2):
-            v, d = unpack(blob.as_buffer(), np.uint64, np.int64)
-            values.append(v)
-            docs.append(d)
-    if not values:
-        return
-    v, d = np.concatenate(values), np.concatenate(docs)
-    order = np.argsort(v, kind="stable")
-    v, d = v[order], d[order]
-    first = np.ones(len(v), bool)
-    first[1:] = v[1:] != v[:-1]
-    group = np.cumsum(first) - 1
-    shared = ((np.bincount(group) > 1)[group]) & (d != MANY)
-    v, d = v[shared], d[shared]
-    order = np.argsort(d, kind="stable")
-    v, d = v[order], d[order]
-    start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    cut = np.append(start, len(d))
-    for k in range(0, len(start), 4096):
-        part = range(k, min(k + 4096, len(start)))
-        yield pa.RecordBatch.from_arrays([pa.array(d[start[part]]), pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], names=["doc_id", "minimisers"])
-
-
-def _cut(width: int, shards: int):
-    """Documents with their shared minimisers -> (shard, chunk, blob): the distinct segments of a chunk for each shard, and the chunk's own list of where they stand (shard -1)."""
+        for blobs in b.column(0):
+            parts = [unpack(x.as_buffer(), np.int64, np.uint64) for x in blobs.values]
+            d, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(d, kind="stable")
+            d, v = d[order], v[order]
+            start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            cut = np.append(start, len(d))
+            yield pa.RecordBatch.from_arrays([pa.array(d[start]), pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in range(len(start))], pa.binary())], names=["doc_id", "minimisers"])
+
+
+def _cut(width: int, groups: int):
+    """Documents with their shared minimisers -> (shards, chunk, blobs): the distinct segments of a chunk, a row for each group of SHARDS_EACH shards and a blob a shard; and the chunk's own list of where they stand (shards -1)."""
+    shards = groups * SHARDS_EACH
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,21 +196,24 @@ def _cut(width: int, shards: int):
             assert same.all()
             shard = (col["value"][first] % np.uint64(shards)).astype(np.int64)
             order, cut = _by_group(shard, shards)
-            for s in range(shards):
-                mine = order[cut[s] : cut[s + 1]]
-                if len(mine):
+            for g in range(groups):
+                blobs = []
+                for k in range(g * SHARDS_EACH, (g + 1) * SHARDS_EACH):
+                    mine = order[cut[k] : cut[k + 1]]
                     n = col["length"][first[mine]]
-                    rows.append((s, chunk, pack(mine.astype(np.int32), n.astype(np.uint8), least[mine], gather(col["bytes"], start[first[mine]], n))))
-            rows.append((-1, chunk, pack(col["doc"], col["text"], col["at"], which.astype(np.int32))))
-            s, c, blob = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int64()), pa.array(blob, pa.binary())], names=["shard", "chunk", "blob"])
+                    blobs.append(pack(mine.astype(np.int32), n.astype(np.uint8), least[mine], gather(col["bytes"], start[first[mine]], n)) if len(mine) else b"")
+                if any(blobs):
+                    rows.append((g, chunk, blobs))
+            rows.append((-1, chunk, [pack(col["doc"], col["text"], col["at"], which.astype(np.int32))]))
+            g, c, blobs = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(c, pa.int64()), pa.array(blobs, pa.list_(pa.binary()))], names=["shards", "chunk", "blobs"])
 
         for b in batches:
             data, at = text_bytes(b.column(2))
             of, start, windows, value = segments(data, at, width)
             lists = b.column(3)
-            n = [sum(len(x.as_buffer()) for x in row) // 8 for row in lists]
-            wanted = np.frombuffer(b"".join(x.as_buffer() for row in lists for x in row), np.uint64)
+            n = [len(x.as_buffer()) // 8 for x in lists]
+            wanted = np.frombuffer(b"".join(x.as_buffer() for x in lists), np.uint64)
             key = np.sort(wanted | (np.repeat(np.arange(b.num_rows), n).astype(np.uint64) << np.uint64(48)))
             mine = value | (of.astype(np.uint64) << np.uint64(48))
             found = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
@@ -240,7 +260,7 @@ def least_docs(data: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int
 
 
 def _compare(width: int):
-    """A shard's segments -> (chunk, blob): runs of windows with the same least document, of each segment of a chunk."""
+    """Segments of some shards -> (chunk, blobs): runs of windows with the same least document, of each segment of a chunk, a blob a shard."""
 
     def groups(data: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(segment, first window, windows) of the parts of one transform after another. Equal windows are always in the same one."""
@@ -250,7 +270,6 @@ def _compare(width: int):
             return
         at = np.concatenate([[0], np.cumsum(length)])
         from loomstone.llm.windows import GRAM, gram_hashes, sliding_min
-        from loomstone.llm.textkernel import mix
 
         second = sliding_min(mix(gram_hashes(data) ^ np.uint64(0xA5A5A5A5)), width - GRAM + 1)
         part = (second >> np.uint64(20)) % np.uint64(parts)
@@ -308,13 +327,18 @@ def _compare(width: int):
             yield int(chunks[part[0]]), pack(index[part], k.astype(np.uint8), run_length[take].astype(np.uint8), run_least[take])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard: dict[int, list] = {}  # packed as they came; one shard at a time is unpacked
+        by_shard: dict[tuple, list] = {}  # packed as they came; one shard at a time is unpacked
         for b in batches:
-            for shard, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                by_shard.setdefault(shard, []).append((chunk, blob))
+            for group, chunk, blobs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for k, blob in enumerate(blobs):
+                    if blob:
+                        by_shard.setdefault((group, k), []).append((chunk, blob))
+        answers: dict[int, list] = {}
         for shard in sorted(by_shard):
-            answers = list(compare(by_shard.pop(shard)))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in answers], pa.int64()), pa.array([x for _, x in answers], pa.binary())], names=["chunk", "blob"])
+            for chunk, blob in compare(by_shard.pop(shard)):
+                answers.setdefault(chunk, []).append(blob)
+        if answers:
+            yield pa.RecordBatch.from_arrays([pa.array(list(answers), pa.int64()), pa.array(list(answers.values()), pa.list_(pa.binary()))], names=["chunk", "blobs"])
 
     return kernel
 
@@ -378,19 +402,19 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_key, spans): of each document with any, the byte spans covered by `width`-byte strings that a document with a smaller doc_id also has."""
     spark = ready(docs.sparkSession)
     assert width + MOST_WINDOWS < 256
-    shards = 2 * partitions(spark)
+    n = partitions(spark)
     known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    asked = known.select("doc_id", "text").mapInArrow(_ask(width, shards), "shard int, doc_id long, blob binary")
-    shared = staged(asked.repartition(partitions(spark), "shard").mapInArrow(_answer, "doc_id long, minimisers binary"), "minimisers")
+    asked = known.select("doc_id", "text").mapInArrow(_ask(width, 2 * n), "shard int, doc_id long, blob binary")
+    shared = staged(asked.repartition(n, "shard").mapInArrow(_answer(n), "block int, blob binary"), "minimisers")
     _release(spark)
-    lists = shared.groupBy("doc_id").agg(F.collect_list("minimisers").alias("minimisers"))
-    texts = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(lists, "doc_id").sortWithinPartitions("doc_id", "text_key")
-    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(_cut(width, SHARDS_EACH * partitions(spark)), "shard int, chunk long, blob binary"), "segments")
+    lists = shared.groupBy("block").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(_lists, "doc_id long, minimisers binary")
+    texts = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(lists.hint("merge"), "doc_id").sortWithinPartitions("doc_id", "text_key")
+    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(_cut(width, n), "shards int, chunk long, blobs array<binary>"), "segments")
     drop(shared)
     _release(spark)
-    compared = cut.where("shard >= 0").repartition(partitions(spark), "shard").mapInArrow(_compare(width), "chunk long, blob binary")
-    answers = compared.groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
-    places = cut.where("shard < 0").select("chunk", F.col("blob").alias("places"))
+    compared = cut.where("shards >= 0").repartitionById(n, F.col("shards")).mapInArrow(_compare(width), "chunk long, blobs array<binary>")
+    answers = compared.groupBy("chunk").agg(F.flatten(F.collect_list("blobs")).alias("answers"))
+    places = cut.where("shards < 0").select("chunk", F.col("blobs")[0].alias("places"))
     spans = staged(answers.join(places, "chunk").select("answers", "places").mapInArrow(_spans(width), "doc_id long, text_key long, spans binary"), "spans")
     drop(cut)
     _release(spark)

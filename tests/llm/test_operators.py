@@ -164,9 +164,9 @@ def test_repeats_over_a_large_shard(spark, monkeypatch):
         of, start, count, value = windows.segments(b, np.array([0, len(b)]), 50)
         cut += [(d, int(s), b[s : s + c + 49]) for s, c in zip(start, count, strict=True)]
     blob = repeat_removal.pack(np.arange(len(cut), dtype=np.int32), np.array([len(x) for *_, x in cut], np.uint8), np.array([d for d, *_ in cut], np.int64), np.concatenate([x for *_, x in cut]))
-    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([9], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "chunk", "blob"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([9], pa.int64()), pa.array([[b"", blob]], pa.list_(pa.binary()))], names=["shards", "chunk", "blobs"])
     (out,) = list(kernel(iter([batch])))
-    index, k, run, least = repeat_removal.unpack(out.column(1)[0].as_buffer(), np.int32, np.uint8, np.uint8, np.int64)
+    index, k, run, least = repeat_removal.unpack(out.column(1)[0][0].as_buffer(), np.int32, np.uint8, np.uint8, np.int64)
     runs = np.split(np.repeat(least, run), np.cumsum([r.sum() for r in np.split(run.astype(int), np.cumsum(k))[:-1]])[:-1])
     first = {}
     for d, t in rows:
