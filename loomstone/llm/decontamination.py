@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ready, table
+from loomstone.llm.common import ready, table, tidy
 from loomstone.llm.textkernel import doc_of, lower_words, span_hash, text_bytes
 
 WINDOW = 10
@@ -193,14 +193,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep
         rows = docs.select("doc_id", *keep, F.xxhash64("text").alias("_text"), F.col("text").alias("_read"))
         passes = None
         for b in blocks:
-            one = rows.drop(*keep).mapInArrow(_kernel(b, window, 2), f"doc_id long, _text long, n_words long, matches {MATCH}").where("size(matches) > 0").dropDuplicates(["doc_id", "_text"])
+            one = rows.drop(*keep).mapInArrow(tidy(_kernel(b, window, 2)), f"doc_id long, _text long, n_words long, matches {MATCH}").where("size(matches) > 0").dropDuplicates(["doc_id", "_text"])
             passes = one if passes is None else passes.union(one)
         found = passes.groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("matches")).alias("matches"))
         counted = rows.mapInArrow(_kernel(spark.sparkContext.broadcast(([], pa.array([], pa.large_string()))), window, 2 + len(keep)), f"{head}, _text long, n_words long, matches {MATCH}").drop("matches")
         joined = counted.alias("c").join(found.alias("f"), [F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("c._text").eqNullSafe(F.col("f._text"))], "left")
         out = joined.select(*[F.col(f"c.{c}") for c in ("doc_id", *keep, "n_words")], F.coalesce("f.matches", F.array().cast(MATCH)).alias("matches"))
     else:
-        out = rows.mapInArrow(_kernel(blocks[0], window, 1 + len(keep)), schema)
+        out = rows.mapInArrow(tidy(_kernel(blocks[0], window, 1 + len(keep))), schema)
     by_place = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b"))))
     covered = F.aggregate(by_place, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), lambda s, m: F.struct((s["n"] + F.greatest(m["b"] - F.greatest(m["a"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], m["b"]).alias("to")))
     return out.withColumn("n_hit", covered["n"]).withColumn("items", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import partitions, ready, staged, table
+from loomstone.llm.common import partitions, ready, staged, table, tidy
 from loomstone.llm.components import connected_components
 from loomstone.llm.textkernel import doc_of, lower_words, mix, span_hash, text_bytes
 
@@ -95,7 +95,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             band = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), band], names=["doc_id", "n", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(kernel), "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _verify(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def _links(blocks: DataFrame, similarity: float) -> DataFrame:
         if len(held) > 1:
             yield out()
 
-    return blocks.select("component", "i", "j", "side", "class_id", "copies", "shingles").mapInArrow(kernel, "class_id long, root long, classes long, documents long")
+    return blocks.select("component", "i", "j", "side", "class_id", "copies", "shingles").mapInArrow(tidy(kernel), "class_id long, root long, classes long, documents long")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -209,7 +209,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
 
     # Candidates grow with the corpus: the same shuffle at every size, no broadcast of those that happen to be few.
     texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("class_id"))
-    sets = texts.select("class_id", F.col("class_size").alias("copies"), "component", "blocks", "block", "text").mapInArrow(cut, "class_id long, copies long, component long, blocks int, block int, shingles binary")
+    sets = texts.select("class_id", F.col("class_size").alias("copies"), "component", "blocks", "block", "text").mapInArrow(tidy(cut), "class_id long, copies long, component long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = sets.select("*", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "class_id", "copies", "shingles")
     paired = paired.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ready, staged, table
+from loomstone.llm.common import ready, staged, table, tidy
 from loomstone.llm.textstats import COUNTS, count_texts, with_counts
 
 FEATURES = ["log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "same_next_share"]
@@ -167,7 +167,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = score_of(model.log_odds(features(count_texts(b.column(text))))) >= 0.5
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(tidy(kernel), docs.schema)
 
 
 def op5_quality_classifier(spark, sf_dir):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.collection_bwt import CollectionBWT
-from loomstone.llm.common import drop, partitions, ready, staged, table
+from loomstone.llm.common import drop, partitions, ready, staged, table, tidy
 from loomstone.llm.textkernel import chars, mix, span_hash, text_bytes
 from loomstone.llm.windows import MOST_WINDOWS, segments
 
@@ -404,18 +404,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     assert width + MOST_WINDOWS < 256
     n = partitions(spark)
     known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    asked = known.select("doc_id", "text").mapInArrow(_ask(width, 2 * n), "shard int, doc_id long, blob binary")
-    shared = staged(asked.repartition(n, "shard").mapInArrow(_answer(n), "block int, blob binary"), "minimisers")
+    asked = known.select("doc_id", "text").mapInArrow(tidy(_ask(width, 2 * n)), "shard int, doc_id long, blob binary")
+    shared = staged(asked.repartition(n, "shard").mapInArrow(tidy(_answer(n)), "block int, blob binary"), "minimisers")
     _release(spark)
-    lists = shared.groupBy("block").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(_lists, "doc_id long, minimisers binary")
+    lists = shared.groupBy("block").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(tidy(_lists), "doc_id long, minimisers binary")
     texts = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(lists.hint("merge"), "doc_id").sortWithinPartitions("doc_id", "text_key")
-    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(_cut(width, n), "shards int, chunk long, blobs array<binary>"), "segments")
+    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(tidy(_cut(width, n)), "shards int, chunk long, blobs array<binary>"), "segments")
     drop(shared)
     _release(spark)
-    compared = cut.where("shards >= 0").repartitionById(n, F.col("shards")).mapInArrow(_compare(width), "chunk long, blobs array<binary>")
+    compared = cut.where("shards >= 0").repartitionById(n, F.col("shards")).mapInArrow(tidy(_compare(width)), "chunk long, blobs array<binary>")
     answers = compared.groupBy("chunk").agg(F.flatten(F.collect_list("blobs")).alias("answers"))
     places = cut.where("shards < 0").select("chunk", F.col("blobs")[0].alias("places"))
-    spans = staged(answers.join(places, "chunk").select("answers", "places").mapInArrow(_spans(width), "doc_id long, text_key long, spans binary"), "spans")
+    spans = staged(answers.join(places, "chunk").select("answers", "places").mapInArrow(tidy(_spans(width)), "doc_id long, text_key long, spans binary"), "spans")
     drop(cut)
     _release(spark)
     return spans
@@ -454,7 +454,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
             spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["start", "end"]))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(np.diff(at)), spans, kept], names=["doc_id", *keep, "n_bytes", "spans", "kept"])
 
-    return kept.mapInArrow(kernel, schema)
+    return kept.mapInArrow(tidy(kernel), schema)
 
 
 def op2_repeat_removal(spark, sf_dir):

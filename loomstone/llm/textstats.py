@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomstone.llm.common import ready
+from loomstone.llm.common import ready, tidy
 from loomstone.llm.textkernel import SPACE, chars, doc_of, mix, per_doc, runs, span_hash, text_bytes
 
 #: Fixed characters: the symbols that n_symbols counts.
@@ -94,4 +94,4 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             counts = count_texts(b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=[*keep, *COUNTS])
 
-    return docs.select(*keep, "text").mapInArrow(kernel, schema)
+    return docs.select(*keep, "text").mapInArrow(tidy(kernel), schema)
