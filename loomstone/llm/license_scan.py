@@ -1,8 +1,10 @@
 """License scans by the Dice coefficient over word bigrams, in DataFrame operations only.
 
-The units of a document are its lines, its paragraphs and its whole text. A unit and a template can only reach the
-threshold t if the smaller has at least t / (2 - t) of the bigrams of the larger: units outside every template's bounds
-never get bigrams, and a unit meets a template by an equi-join on the bigram counts within the template's bounds.
+The units of a document are its lines, its paragraphs and its whole text, and windows of its words where a template is
+found across or within them. A unit and a template can only reach the threshold t if the smaller has at least t / (2 - t)
+of the bigrams of the larger: units outside every template's bounds never get bigrams, and a unit meets a template by an
+equi-join on the bigram counts within the template's bounds. A window that reaches t holds that many of the template's
+bigrams, and the best ones start and end with one: only windows between two of the template's bigrams are compared.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import ready, table
 
 THRESHOLD = 0.85
+#: Templates of more bigrams than this have windows tried at every 64th part of them, not at every bigram.
+EXACT = 400
 
 #: License texts and notices, by name.
 _MIT = (
@@ -83,9 +87,13 @@ TEMPLATES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def template_bigrams(text: str) -> list[str]:
+def template_words(text: str) -> list[str]:
     low = text.translate(str.maketrans(_UPPER, _LOWER))
-    words = "".join(c if c in _LOWER or c in "0123456789" else " " for c in low).split()
+    return "".join(c if c in _LOWER or c in "0123456789" else " " for c in low).split()
+
+
+def template_bigrams(text: str) -> list[str]:
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -94,6 +102,17 @@ def bounds(m: int, threshold: float) -> range:
     return range(ceil(m * threshold / (2 - threshold) - 1e-9), floor(m * (2 - threshold) / threshold + 1e-9) + 1)
 
 
+def anchors(bigrams: list[str], threshold: float) -> set[str]:
+    """Words without which a text misses too many of the bigrams to reach the threshold, rare (long) ones first."""
+    spare, left, found = len(bigrams) - bounds(len(bigrams), threshold).start, list(bigrams), set()
+    for w in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
+        if len(bigrams) - len(left) > spare:
+            break
+        found.add(w)
+        left = [b for b in left if w not in b.split()]
+    return found
+
+
 def normalised(text: Column) -> Column:
     """Lower-cased words of a-z and 0-9 with single spaces between; line ends stay."""
     return F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
@@ -103,13 +122,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     """(doc_id, kind, place, license, dice): a row for each unit and template at `threshold` or more.
 
     docs: doc_id, text (other columns are not read). Units: each line (kind 'line'), each paragraph between blank lines
-    ('paragraph', if there are several) and the whole text ('text'); place counts from 0. Words are runs of a-z and 0-9
+    ('paragraph', if there are several) and the whole text ('text'); place counts from 0. Beyond them the best windows of
+    consecutive words that don't overlap ('window', place is the first word), across lines and paragraphs, unless they
+    start or end in a unit that matches the same template already. A window has at most as many words as the longest
+    match, 2 / threshold - 1 times the template's; templates of over EXACT bigrams are tried at steps. Words are runs of a-z and 0-9
     after lower-casing A-Z; bigrams count once. Null and empty texts, and units of fewer than two words, match nothing.
     Repeated rows give repeated matches. An empty table gives an empty table. The templates are a parameter of fixed
     size; they are the only thing that is broadcast.
     """
     spark = ready(docs.sparkSession)
-    sets = {k: template_bigrams(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    texts = {k: template_words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    sets = {k: template_bigrams(" ".join(v)) for k, v in texts.items()}
     sets = {k: v for k, v in sets.items() if v}
     sized = [(n, k, len(v), v) for k, v in sets.items() for n in bounds(len(v), threshold)]
     known = spark.createDataFrame(sized, "n int, license string, m int, theirs array<string>")
@@ -129,7 +152,68 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     paired = fit.select("doc_id", "kind", "place", F.explode(F.array(F.array_distinct(pairs))).alias("ours")).where(F.exists("ours", lambda b: b.isin(vocabulary)))
     met = paired.withColumn("n", F.size("ours")).join(F.broadcast(known), "n")
     dice = 2 * F.size(F.array_intersect("ours", "theirs")) / (F.col("n") + F.col("m"))
-    return met.select("doc_id", "kind", "place", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    found = met.select("doc_id", "kind", "place", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    return found.union(_windows(docs, sets, texts, threshold))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once, however often it is read."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _pairs(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
+
+
+def _windows(docs: DataFrame, sets: dict[str, list[str]], words: dict[str, list[str]], threshold: float) -> DataFrame:
+    """The rows of kind 'window'. Everything happens within a document's row."""
+    spark = docs.sparkSession
+    rare = sorted(set().union(*[anchors(v, threshold) for v in sets.values()]))
+    vocabulary = sorted({b for v in sets.values() for b in v})
+    rows = [(k, len(v), bounds(len(v), threshold).start, floor((len(words[k]) - 1) * (2 - threshold) / threshold + 1e-9), max(1, len(v) // 64) if len(v) > EXACT else 1, v) for k, v in sets.items()]
+    known = spark.createDataFrame(rows, "license string, m int, need int, span int, step int, theirs array<string>")
+
+    d = _once(docs.select("doc_id", normalised(F.col("text")).alias("clean")), "words", _words(F.col("clean")))
+    d = d.where(F.arrays_overlap("words", F.array(*map(F.lit, rare)).cast("array<string>")))
+    d = _once(d, "pairs", _pairs(F.col("words")))
+    d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(b.isin(vocabulary), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
+    d = _once(d, "held", F.array_distinct(F.transform("hits", lambda i: F.get("pairs", i))))
+    d = d.join(F.broadcast(known), F.size(F.array_intersect("held", "theirs")) >= F.col("need"))
+    d = _once(d, "at", F.filter("hits", lambda i: F.array_contains("theirs", F.get("pairs", i))))
+
+    def dice(pairs: Column) -> Column:
+        ours = F.array_distinct(pairs)
+        return 2 * F.size(F.array_intersect(ours, F.col("theirs"))) / (F.size(ours) + F.col("m"))
+
+    # A window that can reach the threshold has `need` of the template's bigrams within `span` places.
+    firsts = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda k: (k % F.col("step") == 0) & (F.get("at", k + F.col("need") - 1) - F.get("at", k) < F.col("span")))
+
+    def ends(k: Column) -> Column:
+        rest = F.slice("at", k + F.col("need"), F.size("at"))
+        return F.filter(rest, lambda e, i: (i % F.col("step") == 0) & (e - F.get("at", k) < F.col("span")))
+
+    d = _once(d, "tried", F.flatten(F.transform(firsts, lambda k: F.transform(ends(k), lambda e: F.struct(F.get("at", k).alias("s"), e.alias("e"))))))
+    d = _once(d.where(F.size("tried") > 0), "scored", F.transform("tried", lambda w: F.struct((-dice(F.slice("pairs", w["s"] + 1, w["e"] - w["s"] + 1))).alias("less"), (w["e"] - w["s"]).alias("long"), w["s"].alias("s"), w["e"].alias("e"))))
+    best = F.array_sort(F.filter("scored", lambda w: -w["less"] >= threshold))
+    none = F.filter(F.col("scored"), lambda _: F.lit(False))
+    taken = F.aggregate(best, none, lambda acc, w: F.when(F.exists(acc, lambda a: (a["s"] <= w["e"] + 1) & (w["s"] <= a["e"] + 1)), acc).otherwise(F.concat(acc, F.array(w))))
+    d = _once(d, "taken", taken).where(F.size("taken") > 0)
+
+    # Words of each unit, and the unit of each word: what a unit matches is not found again.
+    for name, pieces in (("lines", F.split("clean", "\n")), ("paragraphs", F.split("clean", "\n[ \n]*\n"))):
+        d = _once(d, name, F.transform(pieces, _words))
+        d = _once(d, f"of_{name}", F.flatten(F.transform(name, lambda u, i: F.array_repeat(i, F.size(u)))))
+    whole = dice(F.col("pairs")) >= threshold
+    d = d.select("*", F.explode("taken").alias("w")).drop("taken", "scored", "tried")
+    found = whole
+    for name in ("lines", "paragraphs"):
+        for place in (F.col("w.s"), F.col("w.e") + 1):
+            found = found | (dice(_pairs(F.get(name, F.get(f"of_{name}", place)))) >= threshold)
+    return d.where(~found).select("doc_id", F.lit("window").alias("kind"), F.col("w.s").alias("place"), "license", (-F.col("w.less")).alias("dice"))
 
 
 def document_licenses(docs: DataFrame, **options) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import tempfile
+import textwrap
 
 import duckdb
 import numpy as np
@@ -201,6 +202,26 @@ def test_licenses(spark, none):
     assert license_scan.document_licenses(none).count() == 0
 
 
+def wrapped(text, width=70, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_licenses_within_long_documents(spark):
+    prose = " ".join(f"w{i}x of the v{i % 7}" for i in range(400))
+    t = license_scan.TEMPLATES
+    cut = t["mit-text"].index("The above copyright"), t["mit-text"].index("THE SOFTWARE IS")
+    mit = "\n\n".join(wrapped(p) for p in (t["mit-text"][: cut[0]], t["mit-text"][cut[0] : cut[1]], t["mit-text"][cut[1] :]))
+    bsd = t["bsd-3-text"].replace("met: 1.", "met:\n\n1.").replace(" 2. Redis", "\n\n2. Redis").replace(" 3. Neither", "\n\n3. Neither").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")
+    bsd = "\n\n".join(wrapped(p) for p in bsd.split("\n\n"))
+    apache, gpl = wrapped(t["apache-2-header"], mark=" * "), wrapped(t["gpl-3-header"], mark="# ")
+    texts = [f"{prose}\n\n{mit}\n\n{prose}", f"{prose}\n{bsd}\n{prose}", f"{apache}\nimport os\n{prose}", f"{gpl}\n{prose}", f"{prose} {t['gpl-2-notice']} {prose}", prose, f"{prose}\n\n{mit}\n\n{prose}\n\n{mit}"]
+    df = spark.createDataFrame([(i, x, "", "", 0) for i, x in enumerate(texts)], DOC)
+    got = {r["doc_id"]: r for r in license_scan.document_licenses(df).collect()}
+    for i, name in enumerate(["mit-text", "bsd-3-text", "apache-2-header", "gpl-3-header", "gpl-2-notice", None, "mit-text"]):
+        assert name in got[i]["licenses"].split(",") if name else got[i]["license"] is None, (i, got[i])
+    assert got[0]["dice"] == 1 and got[0]["n_units"] == 1 and got[6]["n_units"] == 2
+
+
 @pytest.mark.parametrize("m", [1, 5, 40, 200])
 def test_license_bounds_are_exact(m):
     inside = license_scan.bounds(m, 0.85)
