@@ -129,7 +129,8 @@ def robust_groups(rows: DataFrame, by: list[str], stats: list[str], support: flo
             cov = np.array([[total[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / total["rows"] - np.outer(mean, mean)
             cov = cov * (consistent if total["rows"] < n else 1.0)
             few = FEW / (FEW + n)
-            cov = (1 - few) * cov + few * np.diag(np.maximum(np.diag(cov), 4 * floor**2)) + np.diag(floor**2)
+            cov = (1 - few) * cov + few * np.diag(np.maximum(np.diag(cov), 4 * floor**2))
+            cov = cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0))
             factor = np.linalg.inv(np.linalg.cholesky(cov))
             return pd.DataFrame([[*keys, int(n), np.concatenate([mean, factor.ravel()])]], columns=[*by, "n", "model"])
 

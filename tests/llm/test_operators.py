@@ -334,6 +334,13 @@ def test_rules(spark, sf, docs, none):
     assert quality_rules.apply_rules(none).count() == 0
 
 
+def test_rules_widen_no_spread_over_the_floor(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    rows = quality_rules.op6_quality_rules(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("not base_failed")
+    kept = {r["quality"]: r["k"] for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[1] > 0.99 and kept[0] < 0.3
+
+
 def test_chi_square():
     assert quality_rules.chi2_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3) and quality_rules.chi2_quantile(0.99, 5) == pytest.approx(15.086, abs=1e-3)
 
