@@ -84,6 +84,32 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+#: Usual forms beyond those that the SQL knows.
+MORE_TEMPLATES = {
+    "mit-named": "This project is licensed under the MIT License.",
+    "apache-2-named": "This project is licensed under the Apache License 2.0.",
+    "gpl-3-named": "This project is licensed under the GNU GPL v3.",
+    "gpl-2-named": "This project is licensed under the GNU GPL v2.",
+    "mpl-2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense-head": "This is free and unencumbered software released into the public domain.",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
+    "isc-spdx": "SPDX-License-Identifier: ISC",
+    "zlib-spdx": "SPDX-License-Identifier: Zlib",
+    "unlicense-spdx": "SPDX-License-Identifier: Unlicense",
+    "apache-2-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "bsd-2-spdx": "SPDX-License-Identifier: BSD-2-Clause",
+    "bsd-3-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "mpl-2-spdx": "SPDX-License-Identifier: MPL-2.0",
+    "gpl-2-spdx": "SPDX-License-Identifier: GPL-2.0",
+    "gpl-3-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "lgpl-2-1-spdx": "SPDX-License-Identifier: LGPL-2.1",
+    "lgpl-3-spdx": "SPDX-License-Identifier: LGPL-3.0",
+    "agpl-3-spdx": "SPDX-License-Identifier: AGPL-3.0",
+    "cc0-1-spdx": "SPDX-License-Identifier: CC0-1.0",
+    "cc-by-4-spdx": "SPDX-License-Identifier: CC-BY-4.0",
+    "cc-by-sa-4-spdx": "SPDX-License-Identifier: CC-BY-SA-4.0",
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -131,7 +157,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     size; they are the only thing that is broadcast.
     """
     spark = ready(docs.sparkSession)
-    texts = {k: template_words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    texts = {k: template_words(v) for k, v in ({**TEMPLATES, **MORE_TEMPLATES} if templates is None else templates).items()}
     sets = {k: template_bigrams(" ".join(v)) for k, v in texts.items()}
     sets = {k: v for k, v in sets.items() if v}
     sized = [(n, k, len(v), v) for k, v in sets.items() for n in bounds(len(v), threshold)]

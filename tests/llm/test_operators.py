@@ -222,6 +222,17 @@ def test_licenses_within_long_documents(spark):
     assert got[0]["dice"] == 1 and got[0]["n_units"] == 1 and got[6]["n_units"] == 2
 
 
+def test_license_notices_among_other_words(spark):
+    known = {
+        "(c) 2021 All rights reserved": "all-rights-reserved", "Copyright 2020 Acme. All rights reserved.": "all-rights-reserved", "This page is licensed under CC BY 4.0.": "cc-by-4-notice",
+        "This project is released under the MIT License.": "mit-notice", "Licensed under the MIT License.": "mit-notice", "// SPDX-License-Identifier: GPL-3.0-only\nint x;": "gpl-3-spdx",
+        "# SPDX-License-Identifier: Apache-2.0": "apache-2-spdx", "/* SPDX-License-Identifier: MIT */ some code follows": "mit-spdx", "nothing of that kind here": None,
+    }
+    df = spark.createDataFrame([(i, x, "", "", 0) for i, x in enumerate(known)], DOC)
+    got = {r["doc_id"]: r for r in license_scan.document_licenses(df).collect()}
+    assert all(name in got[i]["licenses"].split(",") if name else got[i]["license"] is None for i, name in enumerate(known.values())), got
+
+
 @pytest.mark.parametrize("m", [1, 5, 40, 200])
 def test_license_bounds_are_exact(m):
     inside = license_scan.bounds(m, 0.85)
