@@ -108,6 +108,11 @@ def _(t):
     return G.closeness(tree(t), 4, few).withColumn("closeness", r6("closeness"))
 
 
+@query("closeness_bounded_all")
+def _(t):
+    return G.closeness(tree(t), 4).withColumn("closeness", r6("closeness"))
+
+
 @query("betweenness")
 def _(t):
     return G.betweenness(tree(t))

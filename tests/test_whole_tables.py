@@ -32,3 +32,19 @@ def test_fold_of_all_orders(run):
             p = min(0.95, max(0.05, p + 0.7 * (p * a / (p * a + (1 - p) * b) - p)))
         lines[k] = p
     assert {r["l_orderkey"]: r["p"] for r in got} == {k: pytest.approx(p, abs=2e-6) for k, p in lines.items()}
+
+
+def test_closeness_of_all_nodes(run):
+    t, got = run("closeness_bounded_all")
+    to, ids = defaultdict(set), set()
+    for a, b in tree(t).select("src", "dst").collect():
+        ids |= {a, b}
+        to[a].add(b)
+    want = {}
+    for root in ids:
+        depth, edge = {root: 0}, {root}
+        for d in range(1, 5):
+            edge = {y for x in edge for y in to[x]} - set(depth)
+            depth.update(dict.fromkeys(edge, d))
+        want[root] = (len(depth) - 1) / sum(depth.values()) if len(depth) > 1 else 0
+    assert len(want) > 60 and {r["id"]: r["closeness"] for r in got} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
