@@ -48,3 +48,9 @@ def test_closeness_of_all_nodes(run):
             depth.update(dict.fromkeys(edge, d))
         want[root] = (len(depth) - 1) / sum(depth.values()) if len(depth) > 1 else 0
     assert len(want) > 60 and {r["id"]: r["closeness"] for r in got} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_timeline_of_all_entities(run):
+    t, got = run("evolution_timeline_all")
+    want = [(a, b, "order") for a, b in t.orders.select("o_custkey", "o_orderdate").collect()] + [tuple(r) for r in t.events.select("user_id", "ts", "event_type").collect()]
+    assert Counter(map(tuple, got)) == Counter(want)
