@@ -67,3 +67,9 @@ def test_components_of_all_suppliers(run, sf):
     ids = {r[0] for r in t.supplier.select("s_suppkey").collect()}
     whole = {k for k in ids if {k - k % 5 + i for i in range(5)} <= ids}
     assert {r["id"]: (r["component"], r["size"]) for r in got if r["id"] in whole} == {k: (k - k % 5, 5) for k in whole} and ids <= {r["id"] for r in got}
+
+
+def test_clone_tokens_of_all_items(run, sf):
+    t, got = run("clone_tokens", sf.replace("sf0.001", "sf0.1"))
+    ids = {r[0] for r in t.benchmark.select("item_id").collect()}
+    assert len(ids) > 40 and {r["a"] for r in got} == {i for i in ids if i + 1 in ids}
