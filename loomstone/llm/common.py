@@ -54,11 +54,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomstone-{uuid.uuid4().hex[:12]}-{name}"
 
 
+#: Spark's setting by which a finished query deletes its own shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Once the table is written nothing reads the shuffle files behind it, so they go at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +83,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(keep, *made: str) -> None:
+    """Columns to keep must not be named like those that an operator makes."""
+    if clash := sorted({k.lower() for k in keep} & {m.lower() for m in made}):
+        raise ValueError(f"kept columns {clash} have names of the operator's own columns: rename them first")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

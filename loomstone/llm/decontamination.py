@@ -2,8 +2,8 @@
 
 Each shard (an Arrow batch of whole documents) gets a word-level suffix array; every test suffix is looked up in it by
 binary search, all at once. The range of suffixes that begin with a test window gives every verbatim occurrence with
-its place; windows in a row on one diagonal make the longest match. Hits are compared word for word afterwards, so a
-hash never decides. The benchmark goes round in blocks of bounded size.
+its place; windows in a row on one diagonal make the longest match. Words are numbered by their bytes (equal hashes are
+compared), so a hash never decides. The benchmark goes round in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ready, table, tidy
-from loomstone.llm.textkernel import doc_of, lower_words, span_hash, text_bytes
+from loomstone.llm.common import free_names, ready, table, tidy
+from loomstone.llm.textkernel import doc_of, exact_ids, lower_words, same_spans, span_hash, text_bytes
 
 WINDOW = 10
 #: Bytes of benchmark text in one block: one broadcast, and one pass over the documents.
@@ -64,15 +64,17 @@ def suffix_array(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """A block of test items: their words' hashes, and the windows to look up."""
+    """A block of test items: their distinct words with hashes, `word` (of each running word, which one it is), and the windows to look up."""
 
     def __init__(self, item_ids: list[int], texts: pa.Array, window: int):
         data, at = text_bytes(texts)
-        self.low, self.start, self.stop = lower_words(data, at)
-        item = doc_of(self.start, at)
+        self.low, start, stop = lower_words(data, at)
+        item = doc_of(start, at)
         count = np.bincount(item, minlength=len(item_ids))
         first = np.cumsum(count) - count
-        self.words = span_hash(self.low, self.start, self.stop)
+        key = span_hash(self.low, start, stop)
+        self.word, one = exact_ids(self.low, start, stop, key)
+        self.key, self.start, self.length = key[one], start[one], (stop - start)[one]
         width = np.minimum(count, window)
         begins = np.maximum(count - width + 1, 0) * (count > 0)
         self.item = np.repeat(np.arange(len(item_ids)), begins)
@@ -81,20 +83,30 @@ class Benchmark:
         self.first = first
         self.item_ids = np.array(item_ids, np.int64)
 
-    def word(self, i: int) -> bytes:
-        return self.low[self.start[i] : self.stop[i]].tobytes()
-
-
-def find_windows(words: np.ndarray, end: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    def numbered(self, low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, mine): a number for each document word, and for each distinct word of the block its number there or -1. Numbers are equal if and only if the bytes are."""
+        key = span_hash(low, start, stop)
+        ids, one = exact_ids(low, start, stop, key)
+        known, mine = key[one], np.full(len(self.key), -1)
+        at, todo = np.searchsorted(known, self.key), np.arange(len(self.key))
+        while len(todo := todo[at[todo] < len(known)]) and len(todo := todo[known[at[todo]] == self.key[todo]]):
+            theirs = one[at[todo]]
+            same = (stop - start)[theirs] == self.length[todo]
+            same[same] = same_spans(low, start[theirs[same]], self.low, self.start[todo[same]], self.length[todo[same]])
+            mine[todo[same]] = at[todo[same]]
+            todo = todo[~same]  # another word of the same hash comes next, if there is one
+            at[todo] += 1
+        return ids, mine
+
+
+def find_windows(ids: np.ndarray, mine: np.ndarray, end: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
     """(window, place) of every occurrence of every window among the document words."""
-    vocabulary, ids = np.unique(words, return_inverse=True)
-    mine = np.minimum(np.searchsorted(vocabulary, bench.words), max(len(vocabulary) - 1, 0))
-    there = vocabulary[mine] == bench.words
-    missing = np.concatenate([[0], np.cumsum(~there)])
+    mine = mine[bench.word]
+    missing = np.concatenate([[0], np.cumsum(mine < 0)])
     live = np.flatnonzero(missing[bench.at + bench.width] == missing[bench.at])  # the others have a word that no document here has
-    sa = suffix_array(ids, end)
     if not len(live):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sa = suffix_array(ids, end)
     at, width = bench.at[live], bench.width[live]
 
     def search(past_equal: bool) -> np.ndarray:
@@ -136,7 +148,7 @@ def _kernel(block, window: int, keep: int):
             ends = np.cumsum(n_words)
             hit_doc = np.zeros(0, np.int64)
             if len(start) and len(bench.at):
-                which, place = find_windows(span_hash(low, start, stop), ends[doc], bench)
+                which, place = find_windows(*bench.numbered(low, start, stop), ends[doc], bench)
                 # One match for each run of windows on one diagonal of one item and document.
                 first = ends - n_words
                 order = np.lexsort((place, place - bench.at[which], bench.item[which], doc[place]))
@@ -146,8 +158,6 @@ def _kernel(block, window: int, keep: int):
                 head = np.flatnonzero(new)
                 size = np.diff(np.append(head, len(which))) - 1 + bench.width[which[head]] if len(head) else head
                 which, place = which[head], place[head]
-                true = np.array([all(low[start[p + k] : stop[p + k]].tobytes() == bench.word(bench.at[w] + k) for k in range(n)) for w, p, n in zip(which.tolist(), place.tolist(), size.tolist(), strict=True)], bool)
-                which, place, size = which[true], place[true], size[true]
                 hit_doc = doc[place]
             counts = np.bincount(hit_doc, minlength=b.num_rows)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
@@ -182,8 +192,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep
     Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters; an item of fewer words than a
     window is one window. n_hit: words inside any match. items: the sorted distinct items. Null texts have no words; null
     items, items without words and an empty benchmark match nothing. Repeated documents and items are reported alike
-    (repeated item rows twice in matches, once in items). An empty table gives an empty table.
+    (repeated item rows twice in matches, once in items). An empty table gives an empty table. Columns of any name may be
+    there; one in `keep` that is named like a column made here is a ValueError.
     """
+    free_names(keep, "doc_id", "n_words", "matches", "n_hit", "items", "_read", "_text")
     spark = ready(docs.sparkSession)
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(([], pa.array([], pa.large_string())))]
     rows = docs.select("doc_id", *keep, F.col("text").alias("_read"))

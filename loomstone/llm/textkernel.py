@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-#: An odd multiplier and its inverse modulo 2**64, and one random 64-bit value for each byte.
-P = np.uint64(0x9E3779B97F4A7C15)
-P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Spans of more bytes than this are hashed one by one; shorter ones in rounds of eight bytes, all at once.
+LONG = 256
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,31 +33,6 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, at - at[0]
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    with np.errstate(over="ignore"):
-        step = base
-        while have < n:
-            more = min(have, n - have)
-            out[have : have + more] = out[:more] * step
-            step = step * step
-            have += more
-    return out[:n]
-
-
-_up: list[np.ndarray] = [powers(P, 1)]
-_down: list[np.ndarray] = [powers(P_INV, 1)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_up[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        _up[0], _down[0] = powers(P, size), powers(P_INV, size)
-    return _up[0], _down[0]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
@@ -63,15 +41,91 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as rows; beyond the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+
+
+def _word(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each position the next eight bytes as a number, `left` of them at most."""
+    return np.ascontiguousarray(eights[at]).view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end], from one cumulative sum."""
-    n = len(data)
-    up, down = _powers_to(n + 1)
-    total = np.zeros(n + 1, np.uint64)
+    """64-bit hash of each data[start:end]: a chain of mixed words, so that no pattern in the bytes cancels out.
+
+    Where a result is exact, equal hashes are not taken for equal bytes: see exact_ids.
+    """
+    start, length = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[data] * up[:n], out=total[1:])
-        h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+        h = length.astype(np.uint64) * _STEP + _SEED
+        eights = _eights(data)
+        todo = np.flatnonzero((length > 0) & (length <= LONG))
+        done = 0
+        while len(todo):
+            whole = len(todo) == len(h)
+            word = _word(eights, (start if whole else start[todo]) + done, (length if whole else length[todo]) - done)
+            new = mix((h if whole else h[todo]) * _STEP ^ word)
+            if whole:
+                h = new
+            else:
+                h[todo] = new
+            done += 8
+            todo = todo[length[todo] > done]
+        for i in np.flatnonzero(length > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + length[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Is data[a : a + length] equal, byte for byte, to other[b : b + length]?"""
+    mine = _eights(data)
+    theirs = mine if other is data else _eights(other)
+    same = np.ones(len(a), bool)
+    todo = np.flatnonzero((length > 0) & (length <= LONG))
+    done = 0
+    while len(todo):
+        left = length[todo] - done
+        ok = _word(mine, a[todo] + done, left) == _word(theirs, b[todo] + done, left)
+        same[todo[~ok]] = False
+        done += 8
+        todo = todo[ok & (left > 8)]
+    for i in np.flatnonzero(length > LONG).tolist():
+        n = int(length[i])
+        same[i] = np.array_equal(data[a[i] : a[i] + n], other[b[i] : b[i] + n])
+    return same
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): spans have equal ids if and only if their bytes are equal, and `first` is one span of each id, the earliest.
+
+    key: their span_hash, if known. It brings equal spans together; then neighbours are compared byte for byte, and
+    spans that differ under one hash are told apart. Ids are in the order of the hashes.
+    """
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = span_hash(data, start, end) if key is None else key
+    length = end - start
+    order = np.argsort(key, kind="stable")
+    alike = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    one, two = order[alike], order[alike + 1]
+    equal = length[one] == length[two]
+    equal[equal] = same_spans(data, start[one[equal]], data, start[two[equal]], length[one[equal]])
+    new = np.ones(n, bool)
+    new[alike + 1] = False
+    if not equal.all():
+        kind = np.zeros(n, np.int64)  # within one hash
+        for k in np.unique(key[one[~equal]]):
+            seen: dict[bytes, int] = {}
+            for i in order[np.searchsorted(key[order], k) : np.searchsorted(key[order], k, side="right")].tolist():
+                kind[i] = seen.setdefault(data[start[i] : end[i]].tobytes(), len(seen))
+        order = np.lexsort((kind, key))
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (kind[order[1:]] != kind[order[:-1]])
+    ids = np.empty(n, np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return ids, order[new]
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomstone.llm.common import ready, tidy
-from loomstone.llm.textkernel import SPACE, chars, doc_of, mix, per_doc, runs, span_hash, text_bytes
+from loomstone.llm.textkernel import SPACE, chars, doc_of, exact_ids, per_doc, runs, text_bytes
 
 #: Fixed characters: the symbols that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
@@ -22,30 +22,34 @@ _DIGIT = np.isin(np.arange(256), np.arange(ord("0"), ord("9") + 1))
 _MARK = np.array([0x21 <= b < 0x7F and not (_UPPER[b] or _LOWER[b] or _DIGIT[b]) and chr(b) not in ".," for b in range(256)])
 
 
-def _equal_to_earlier(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For items in text order: is it equal to an earlier one of its text; does it occur at least twice there."""
-    if not len(key):
+def _equal_to_earlier(doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items in text order, with equal ids if equal: is it equal to an earlier one of its text; does it occur at least twice there."""
+    if not len(item):
         return np.zeros(0, bool), np.zeros(0, bool)
-    both = mix(key ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    both = doc.astype(np.int64) * (int(item.max()) + 1) + item
     order = np.argsort(both, kind="stable")
-    same = np.zeros(len(key), bool)
-    k, d = key[order], doc[order]
-    same[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
+    same = np.zeros(len(item), bool)
+    same[1:] = both[order[1:]] == both[order[:-1]]
     twice = same.copy()
     twice[:-1] |= same[1:]
-    earlier, often = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    earlier, often = np.zeros(len(item), bool), np.zeros(len(item), bool)
     earlier[order], often[order] = same, twice
     return earlier, often
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An id of each pair of ids: equal if and only if both are equal."""
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+
 def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
-    """Every count of COUNTS for every text of an Arrow column. Null is an empty text; every count of it is 0."""
+    """Every count of COUNTS for every text of an Arrow column, exact: equal words and lines are compared byte for byte. Null is an empty text; every count of it is 0."""
     data, at = text_bytes(column)
     n = len(at) - 1
     space = SPACE[data]
     start, end = runs(~space, at)
     doc = doc_of(start, at)
-    word = span_hash(data, start, end)
+    word, _ = exact_ids(data, start, end)
     code = chars(data)
     out = {"n_words": np.bincount(doc, minlength=n), "word_chars": per_doc(code & ~space, at), "n_symbols": per_doc(_SYMBOL[data], at)}
 
@@ -56,14 +60,13 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
     worded = seen[line_end] > seen[line_start]
     line_start, line_end = line_start[worded], line_end[worded]
     line_doc = doc_of(line_start, at)
-    earlier, _ = _equal_to_earlier(line_doc, span_hash(data, line_start, line_end))
+    earlier, _ = _equal_to_earlier(line_doc, exact_ids(data, line_start, line_end)[0])
     out["n_dup_lines"] = np.bincount(line_doc[earlier], minlength=n)
     out["n_lines"] = np.bincount(line_doc, minlength=n)
 
     covered = np.zeros(len(word) + 3, bool)
     if len(word) > 2:
-        with np.errstate(over="ignore"):
-            triple = mix(word[:-2] * np.uint64(3) + mix(word[1:-1] * np.uint64(5) + mix(word[2:])))
+        triple = _pairs(_pairs(word[:-2], word[1:-1]), word[2:])
         whole = np.flatnonzero(doc[:-2] == doc[2:])
         _, often = _equal_to_earlier(doc[whole], triple[whole])
         for i in range(3):
