@@ -56,9 +56,10 @@ class CollectionBWT:
         self._write("bwt", 0, np.ascontiguousarray(symbol))
         self._write("lcp", 0, np.zeros(n, np.uint8))
         self.size = n
-        order = np.argsort(symbol, kind="stable").astype(np.int32)
+        order = np.argsort(symbol, kind="stable")
+        every = np.arange(len(self.codes) + n)
         count = np.bincount(symbol, minlength=256)  # of each symbol in the transform
-        slot, who = np.arange(n), order.astype(np.int64)  # places of the newest suffixes in order, and whose they are
+        slot, who = np.arange(n), order  # places of the newest suffixes in order, and whose they are
         done = 1
         while len(slot):
             bwt, lcp = self.read("bwt"), self.read("lcp")
@@ -97,7 +98,7 @@ class CollectionBWT:
             self._write("lcp", 1 - self.now, grown)
             self.now, self.size = 1 - self.now, len(grown)
 
-            moved = np.flatnonzero(old).astype(np.int32)[order]  # where the old symbols stand now, still by (symbol, position)
+            moved = np.take(every[: len(old)][old], order, mode="clip")  # where the old symbols stand now, still by (symbol, position)
             by_symbol = np.argsort(nxt, kind="stable")
             new_at, new_symbol = place[by_symbol], nxt[by_symbol]
             new_slot = np.arange(len(new_at))
@@ -108,7 +109,7 @@ class CollectionBWT:
                 new_slot[mine] += start[c] + np.searchsorted(moved[start[c] : start[c] + count[c]], new_at[mine])
             stay = np.ones(len(moved) + len(new_at), bool)
             stay[new_slot] = False
-            order = np.empty(len(stay), np.int32)
+            order = np.empty(len(stay), np.int64)
             order[stay], order[new_slot] = moved, new_at
             count = count + np.diff(cut)
             on = new_symbol > 0

@@ -2,12 +2,16 @@
 
 A transform of whole documents, built column by column, needs as many rounds as the longest document has bytes, and each
 round rewrites everything. So windows first meet by minimiser (windows.py): only segments whose minimiser several
-documents have are compared, each shard of minimisers builds the transform of its distinct segments in rounds bounded by
-a segment's length, and runs of common prefixes of `width` or more are the repeated windows. Nothing is sampled: equal
-windows always meet, and each answer is the least doc_id that has the window.
-
-Messages travel as blobs, one a chunk of documents and shard: a string that a third of all documents hold is one
-entry a chunk.
+documents have are compared. All windows of a segment hold the minimiser's GRAM bytes, so these are one symbol (a few
+digits, where there are more of them than symbols); each shard of minimisers builds the transform of its distinct
+segments, one symbol of each a round, and runs of common prefixes as long as a window are the repeated windows. Nothing
+is sampled: equal windows always meet, and each answer is the least doc_id that has the window. Hashes only bring equal
+strings together; whatever is taken for equal is compared byte for byte.
+
+Messages travel as blobs, one a chunk of documents and shard, and each holds an entry at least: a string that a third of
+all documents hold is one entry a chunk. A minimiser with more different segments than a shard's fair share of them all
+is hot: its segments are cut into single windows, which are dealt by their own bytes, so that the many surroundings of a
+frequent string don't meet in one task. There are fewer hot minimisers than shards.
 """
 
 from __future__ import annotations
@@ -22,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.collection_bwt import CollectionBWT
-from loomstone.llm.common import drop, partitions, ready, staged, table, tidy
-from loomstone.llm.textkernel import chars, mix, span_hash, text_bytes
-from loomstone.llm.windows import MOST_WINDOWS, segments
+from loomstone.llm.common import drop, free_names, partitions, ready, staged, table, tidy
+from loomstone.llm.textkernel import chars, exact_ids, mix, span_hash, text_bytes
+from loomstone.llm.windows import GRAM, segments
 
 WIDTH = 50
 #: Segments of a chunk: what a task gathers before it sends blobs to the shards.
 CHUNK_SEGMENTS = 400_000
 #: Shards of a partition: each builds a transform of its own, one after another.
 SHARDS_EACH = 8
-#: Bytes of the segments of one transform; a shard with more builds several, split by a second minimiser.
+#: Bytes of the segments of one transform; a shard with more builds several.
 TRANSFORM_BYTES = 4 << 20
+#: A minimiser with this many segments, or fewer, is never hot.
+HOT_SEGMENTS = 100_000
 
 _pack = zstandard.ZstdCompressor(level=1).compress
 _unpack = zstandard.ZstdDecompressor().decompress
@@ -76,11 +82,24 @@ def _by_group(group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 MANY = np.int64(np.iinfo(np.int64).min)
 
 
-def _ask(width: int, shards: int):
-    """Documents -> (shard, doc_id, blob): questions to the shards, one entry a chunk and minimiser, and for each document the minimisers known to be shared within the chunk."""
+def _look(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What tells most segments of a minimiser apart: a hash of the first and last eight bytes and the length."""
+    with np.errstate(over="ignore"):
+        return mix(span_hash(data, start, start + 8) * np.uint64(3) + span_hash(data, end - 8, end)) + (end - start).astype(np.uint64)
 
-    def flush(value: list, doc: list) -> Iterator[tuple]:
-        v, d = np.concatenate(value), np.concatenate(doc)
+
+def _ask(width: int, shards: int):
+    """Documents -> (shard, doc_id, blob): questions to the shards, one entry a chunk and minimiser, with the number of its different segments there; and for each document the minimisers known to be shared within the chunk."""
+
+    def flush(value: list, doc: list, looks: list) -> Iterator[tuple]:
+        v, d, look = np.concatenate(value), np.concatenate(doc), np.concatenate(looks)
+        order = np.lexsort((look, v))
+        sv, sl = v[order], look[order]
+        head = np.ones(len(sv), bool)
+        head[1:] = sv[1:] != sv[:-1]
+        other = head.copy()
+        other[1:] |= sl[1:] != sl[:-1]
+        kinds = np.add.reduceat(other.astype(np.int64), np.flatnonzero(head))
         order = np.lexsort((d, v))
         v, d = v[order], d[order]
         once = np.ones(len(v), bool)
@@ -102,60 +121,70 @@ def _ask(width: int, shards: int):
         for s in range(shards):
             mine = order[cut[s] : cut[s + 1]]
             if len(mine):
-                yield s, None, pack(v[mine], d[mine])
+                yield s, None, pack(v[mine], d[mine], kinds[mine])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, doc, held = [], [], 0
+        value, doc, looks, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            rows = list(zip(*flush(value, doc), strict=True)) or [(), (), ()]
+            rows = list(zip(*flush(value, doc, looks), strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["shard", "doc_id", "blob"])
 
         for b in batches:
             data, at = text_bytes(b.column(1))
-            of, _, _, v = segments(data, at, width)
+            of, start, windows, v, _ = segments(data, at, width)
             value.append(v)
             doc.append(b.column(0).to_numpy(zero_copy_only=False)[of])
+            looks.append(_look(data, start, start + windows + width - 1))
             held += len(v)
             if held > CHUNK_SEGMENTS:
                 yield out()
-                value, doc, held = [], [], 0
+                value, doc, looks, held = [], [], [], 0
         if held:
             yield out()
 
     return kernel
 
 
-def _answer(blocks: int):
-    """A shard's blobs -> (block, blob): which minimisers documents share with others, a row for each of the `blocks` of documents."""
+def _answer(blocks: int, least_hot: int):
+    """A shard's blobs -> (block, blob, segments): which minimisers documents share with others, a row for each of the `blocks` of documents.
+
+    Besides, the number of all segments (block -1), and each minimiser of more than `least_hot` segments (block -2).
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, docs, known_values, known_docs = [], [], [], []
+        values, docs, kinds, known_values, known_docs = [], [], [], [], []
         for b in batches:
             for one, blob in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 if one is None:
-                    v, d = unpack(blob.as_buffer(), np.uint64, np.int64)
+                    v, d, k = unpack(blob.as_buffer(), np.uint64, np.int64, np.int64)
                     values.append(v)
                     docs.append(d)
+                    kinds.append(k)
                 else:
                     known_values.append(np.frombuffer(blob.as_buffer(), np.uint64).copy())
                     known_docs.append(np.full(len(known_values[-1]), one))
+        rows = []
         if values:
-            v, d = np.concatenate(values), np.concatenate(docs)
+            v, d, k = np.concatenate(values), np.concatenate(docs), np.concatenate(kinds)
             order = np.argsort(v, kind="stable")
-            v, d = v[order], d[order]
+            v, d, k = v[order], d[order], k[order]
             first = np.ones(len(v), bool)
             first[1:] = v[1:] != v[:-1]
             group = np.cumsum(first) - 1
             shared = ((np.bincount(group) > 1)[group]) & (d != MANY)
             known_values.append(v[shared])
             known_docs.append(d[shared])
-        if not known_values:
-            return
-        v, d = np.concatenate(known_values), np.concatenate(known_docs)
-        order, cut = _by_group((mix(d.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
-        some = [k for k in range(blocks) if cut[k] < cut[k + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(d[order[cut[k] : cut[k + 1]]], v[order[cut[k] : cut[k + 1]]]) for k in some], pa.binary())], names=["block", "blob"])
+            total = np.add.reduceat(k, np.flatnonzero(first))
+            rows.append((-1, None, int(total.sum())))
+            rows += [(-2, one.tobytes(), int(n)) for one, n in zip(v[first][total > least_hot], total[total > least_hot], strict=True)]
+        if known_values:
+            v, d = np.concatenate(known_values), np.concatenate(known_docs)
+            order, cut = _by_group((mix(d.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
+            rows += [(k, pack(d[order[cut[k] : cut[k + 1]]], v[order[cut[k] : cut[k + 1]]]), None) for k in range(blocks) if cut[k] < cut[k + 1]]
+        if rows:
+            block, blob, n = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(blob, pa.binary()), pa.array(n, pa.int64())], names=["block", "blob", "segments"])
 
     return kernel
 
@@ -173,35 +202,55 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d[start]), pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in range(len(start))], pa.binary())], names=["doc_id", "minimisers"])
 
 
-def _cut(width: int, groups: int):
+def _units(data: np.ndarray, at: np.ndarray, minimisers: pa.Array, width: int, shards: int, hot_values: np.ndarray) -> dict[str, np.ndarray]:
+    """What documents have to compare: row, start, length, place (of the minimiser, from the start) and shard of each segment of a shared minimiser, or of each of its windows where the minimiser is hot."""
+    of, start, windows, value, place = segments(data, at, width)
+    n = [len(x.as_buffer()) // 8 for x in minimisers]
+    wanted = np.frombuffer(b"".join(x.as_buffer() for x in minimisers), np.uint64)
+    key = np.sort(wanted | (np.repeat(np.arange(len(n)), n).astype(np.uint64) << np.uint64(48)))
+    mine = value | (of.astype(np.uint64) << np.uint64(48))
+    found = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
+    some = np.flatnonzero(key[found] == mine) if len(key) else np.zeros(0, np.int64)
+    of, start, windows, value, place = of[some], start[some], windows[some], value[some], place[some]
+    hot = np.isin(value, hot_values)
+    shard = (value % np.uint64(shards)).astype(np.int64)
+    if hot.any():
+        each = np.where(hot, windows, 1)
+        which = np.repeat(np.arange(len(of)), each)
+        start = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        of, windows, place, hot, shard = of[which], np.where(hot, 1, windows)[which], place[which], hot[which], shard[which]
+        shard[hot] = (span_hash(data, start[hot], start[hot] + width) % np.uint64(shards)).astype(np.int64)
+    return {"row": of, "start": start, "length": windows + width - 1, "place": place - start, "shard": shard}
+
+
+def _cut(width: int, groups: int, hot):
     """Documents with their shared minimisers -> (shards, chunk, blobs): the distinct segments of a chunk, a row for each group of SHARDS_EACH shards and a blob a shard; and the chunk's own list of where they stand (shards -1)."""
-    shards = groups * SHARDS_EACH
+    shards = groups * SHARDS_EACH  # hot: a broadcast
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         held: dict[str, list] = {}
-        size = number = 0
+        size = distinct = number = 0
 
         def out() -> pa.RecordBatch:
             chunk = (task << 32) + number
             col = {k: np.concatenate(x) for k, x in held.items()}
-            rows = []
-            _, first, which = np.unique(col["hash"], return_index=True, return_inverse=True)
             start = np.concatenate([[0], np.cumsum(col["length"])])
-            same = col["length"] == col["length"][first][which]
+            ids, first = exact_ids(col["bytes"], start[:-1], start[1:])
+            which = ids[col["which"]]
             least = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(least, which, col["doc"])
-            assert same.all()
-            shard = (col["value"][first] % np.uint64(shards)).astype(np.int64)
-            order, cut = _by_group(shard, shards)
+            order, cut = _by_group(col["shard"][first], shards)
+            rows = []
             for g in range(groups):
                 blobs = []
                 for k in range(g * SHARDS_EACH, (g + 1) * SHARDS_EACH):
                     mine = order[cut[k] : cut[k + 1]]
-                    n = col["length"][first[mine]]
-                    blobs.append(pack(mine.astype(np.int32), n.astype(np.uint8), least[mine], gather(col["bytes"], start[first[mine]], n)) if len(mine) else b"")
+                    seg = first[mine]
+                    n = col["length"][seg]
+                    blobs.append(pack(mine.astype(np.int32), n.astype(np.uint8), col["place"][seg].astype(np.uint8), least[mine], gather(col["bytes"], start[seg], n)) if len(mine) else b"")
                 if any(blobs):
                     rows.append((g, chunk, blobs))
             rows.append((-1, chunk, [pack(col["doc"], col["text"], col["at"], which.astype(np.int32))]))
@@ -210,40 +259,56 @@ def _cut(width: int, groups: int):
 
         for b in batches:
             data, at = text_bytes(b.column(2))
-            of, start, windows, value = segments(data, at, width)
-            lists = b.column(3)
-            n = [len(x.as_buffer()) // 8 for x in lists]
-            wanted = np.frombuffer(b"".join(x.as_buffer() for x in lists), np.uint64)
-            key = np.sort(wanted | (np.repeat(np.arange(b.num_rows), n).astype(np.uint64) << np.uint64(48)))
-            mine = value | (of.astype(np.uint64) << np.uint64(48))
-            found = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
-            some = np.flatnonzero(key[found] == mine) if len(key) else np.zeros(0, np.int64)
-            if not len(some):
+            u = _units(data, at, b.column(3), width, shards, hot.value)
+            if not len(u["row"]):
                 continue
-            of, start, windows, value = of[some], start[some], windows[some], value[some]
-            length = windows + width - 1
-            doc = b.column(0).to_numpy(zero_copy_only=False)[of]
-            text = b.column(1).to_numpy(zero_copy_only=False)[of]
-            new = {"hash": span_hash(data, start, start + length), "length": length, "value": value, "doc": doc, "text": text, "at": (start - at[of]).astype(np.int64), "bytes": gather(data, start, length)}
+            ids, first = exact_ids(data, u["start"], u["start"] + u["length"])
+            doc = b.column(0).to_numpy(zero_copy_only=False)[u["row"]]
+            text = b.column(1).to_numpy(zero_copy_only=False)[u["row"]]
+            new = {"length": u["length"][first], "place": u["place"][first], "shard": u["shard"][first], "bytes": gather(data, u["start"][first], u["length"][first])}
+            new |= {"doc": doc, "text": text, "at": u["start"] - at[u["row"]], "which": ids + distinct}
             for k, x in new.items():
                 held.setdefault(k, []).append(x)
-            size += len(some)
+            size += len(ids)
+            distinct += len(first)
             if size > CHUNK_SEGMENTS:
                 yield out()
-                held, size, number = {}, 0, number + 1
+                held, size, distinct, number = {}, 0, 0, number + 1
         if size:
             yield out()
 
     return kernel
 
 
-def least_docs(data: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """For every window of every segment, in order, the least doc of the segments that hold it: by transform and common prefixes."""
-    offsets = np.concatenate([[0], np.cumsum(length)])
-    windows = length - width + 1
-    out_at = np.concatenate([[0], np.cumsum(windows)])
+def encode(data: np.ndarray, at: np.ndarray, gram: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(codes, offsets, symbols a byte, digits): the segments data[at[i] : at[i + 1]] as symbols 1 to 255.
+
+    The GRAM bytes at each segment's `place` become the digits of `gram`, their number, in symbols that no byte has; so
+    equal symbols mean equal bytes. Bytes are one symbol each, or two if nearly all 256 values occur (never in UTF-8).
+    """
+    present = np.bincount(data, minlength=256) > 0
+    each, used = (1, int(present.sum())) if present.sum() < 250 else (2, 32)
+    base, digits = 255 - used, 1
+    while base**digits <= int(gram.max(initial=0)):
+        digits += 1
+    spot = at[:-1] + place
+    if each == 1:
+        out, keep = np.cumsum(present).astype(np.uint8)[data], np.ones(len(data), bool)
+    else:
+        out, keep = np.stack([1 + (data >> 4), 17 + (data & 15)], axis=1).astype(np.uint8).ravel(), np.ones(2 * len(data), bool)
+    for k in range(digits):
+        out[each * spot + k] = used + 1 + gram // base**k % base
+    for k in range(digits, each * GRAM):
+        keep[each * spot + k] = False
+    return out[keep], each * at + np.arange(len(at)) * (digits - each * GRAM), each, digits
+
+
+def least_docs(codes: np.ndarray, offsets: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """For every `width` symbols in a row of every sequence, in order, the least doc of the sequences that hold them: by transform and common prefixes."""
+    length = np.diff(offsets)
+    out_at = np.concatenate([[0], np.cumsum(length - width + 1)])
     out = np.empty(out_at[-1], np.int64)
-    bwt = CollectionBWT(data + np.uint8(1), offsets)
+    bwt = CollectionBWT(codes, offsets)
     try:
         run = np.cumsum(bwt.read("lcp") < width)
         least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
@@ -259,58 +324,70 @@ def least_docs(data: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int
     return out
 
 
-def _compare(width: int):
-    """Segments of some shards -> (chunk, blobs): runs of windows with the same least document, of each segment of a chunk, a blob a shard."""
+def window_docs(data: np.ndarray, length: np.ndarray, place: np.ndarray, doc: np.ndarray, width: int, part_bytes: int | None = None) -> np.ndarray:
+    """For every window of every segment, in order, the least doc of the segments that hold it.
 
-    def groups(data: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(segment, first window, windows) of the parts of one transform after another. Equal windows are always in the same one."""
-        parts = -(-len(data) // TRANSFORM_BYTES)
-        if parts <= 1:
-            yield np.arange(len(length)), np.zeros(len(length), np.int64), length - width + 1
-            return
-        at = np.concatenate([[0], np.cumsum(length)])
-        from loomstone.llm.windows import GRAM, gram_hashes, sliding_min
-
-        second = sliding_min(mix(gram_hashes(data) ^ np.uint64(0xA5A5A5A5)), width - GRAM + 1)
-        part = (second >> np.uint64(20)) % np.uint64(parts)
-        windows = length - width + 1
-        first = np.repeat(at[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-        of = np.repeat(np.arange(len(length)), windows)
-        part = part[first]
-        new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(part)))
-        for p in range(parts):
-            mine = np.flatnonzero(part[start] == p)
+    One transform holds segments of `part_bytes` in all; segments of one gram always share one. Only a gram that has
+    more than that by itself is cut, into its windows, which are dealt to transforms by their bytes.
+    """
+    part_bytes = part_bytes or TRANSFORM_BYTES
+    at = np.concatenate([[0], np.cumsum(length)])
+    windows = length - width + 1
+    out_at = np.concatenate([[0], np.cumsum(windows)])
+    out = np.empty(out_at[-1], np.int64)
+    spot = at[:-1] + place
+    gram, _ = exact_ids(data, spot, spot + GRAM)
+
+    def one(seg: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """`count` windows from the `first` on of some segments, in one transform."""
+        n = count + width - 1
+        begin = np.concatenate([[0], np.cumsum(n)])
+        _, number = np.unique(gram[seg], return_inverse=True)
+        codes, offsets, each, digits = encode(gather(data, at[seg] + first, n), begin, number, place[seg] - first)
+        found = least_docs(codes, offsets, doc[seg], each * (width - GRAM) + digits)
+        some = each * (count - 1) + 1
+        e = np.cumsum(count)
+        nth = np.arange(e[-1]) - np.repeat(e - count, count)
+        out[np.repeat(out_at[seg] + first, count) + nth] = found[np.repeat(np.cumsum(some) - some, count) + each * nth]
+
+    size = np.bincount(gram, weights=length)
+    large = size > part_bytes
+    part = np.cumsum(np.where(large, 0, size)) // part_bytes
+    order = np.argsort(part[gram], kind="stable")
+    order = order[~large[gram[order]]]
+    if len(order):
+        for seg in np.split(order, np.flatnonzero(np.diff(part[gram[order]])) + 1):
+            one(seg, np.zeros(len(seg), np.int64), windows[seg])
+    for g in np.flatnonzero(large):
+        seg = np.flatnonzero(gram == g)
+        which = np.repeat(seg, windows[seg])
+        first = np.arange(len(which)) - np.repeat(np.cumsum(windows[seg]) - windows[seg], windows[seg])
+        parts = -(-len(which) * width // part_bytes)
+        dealt = span_hash(data, at[which] + first, at[which] + first + width) % np.uint64(parts)
+        for k in range(parts):
+            mine = np.flatnonzero(dealt == k)
             if len(mine):
-                yield of[start[mine]], first[start[mine]] - at[of[start[mine]]], count[mine]
+                one(which[mine], first[mine], np.ones(len(mine), np.int64))
+    return out
+
+
+def _compare(width: int):
+    """Segments of some shards -> (chunk, blobs): runs of windows with the same least document, of each segment of a chunk, a blob a shard."""
 
     def compare(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         """The answers to one shard's blobs."""
-        chunks, index, length, doc, data = [], [], [], [], []
+        held = []
         for chunk, blob in blobs:
-            i, n, d, x = unpack(blob, np.int32, np.uint8, np.int64, np.uint8)
-            chunks.append(np.full(len(i), chunk))
-            index.append(i)
-            length.append(n.astype(np.int64))
-            doc.append(d)
-            data.append(x)
-        chunks, index, length, doc, data = (np.concatenate(x) for x in (chunks, index, length, doc, data))
+            i, n, p, d, x = unpack(blob, np.int32, np.uint8, np.uint8, np.int64, np.uint8)
+            held.append((np.full(len(i), chunk), i, n.astype(np.int64), p.astype(np.int64), d, x))
+        chunks, index, length, place, doc, data = (np.concatenate(x) for x in zip(*held, strict=True))
         at = np.concatenate([[0], np.cumsum(length)])
-        _, first, which = np.unique(span_hash(data, at[:-1], at[1:]), return_index=True, return_inverse=True)
+        which, first = exact_ids(data, at[:-1], at[1:])
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         n = length[first]
-        data = gather(data, at[first], n)
-        begin = np.cumsum(n) - n
-        windows = n - width + 1
-        window_at = np.concatenate([[0], np.cumsum(windows)])
-        found = np.empty(window_at[-1], np.int64)
-        for seg, w0, count in groups(data, n):
-            size = count + width - 1
-            e = np.cumsum(count)
-            found[np.repeat(window_at[seg] + w0 - (e - count), count) + np.arange(e[-1])] = least_docs(gather(data, begin[seg] + w0, size), size, least[seg], width)
+        found = window_docs(gather(data, at[first], n), n, place[first], least, width)
+        window_at = np.concatenate([[0], np.cumsum(n - width + 1)])
         new = np.ones(len(found), bool)
         new[1:] = found[1:] != found[:-1]
         new[window_at[:-1]] = True
@@ -398,18 +475,28 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_key, spans): of each document with any, the byte spans covered by `width`-byte strings that a document with a smaller doc_id also has."""
+def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_segments: int | None = None) -> DataFrame:
+    """(doc_id, text_key, spans): of each document with any, the byte spans covered by `width`-byte strings that a document with a smaller doc_id also has.
+
+    width: GRAM to 127. hot_segments: segments beyond which a minimiser is hot; HOT_SEGMENTS, or the mean of all shards
+    if that is more, unless given.
+    """
+    if not GRAM <= width < 128:
+        raise ValueError(f"width must be {GRAM} to 127, not {width}")
     spark = ready(docs.sparkSession)
-    assert width + MOST_WINDOWS < 256
     n = partitions(spark)
     known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     asked = known.select("doc_id", "text").mapInArrow(tidy(_ask(width, 2 * n)), "shard int, doc_id long, blob binary")
-    shared = staged(asked.repartition(n, "shard").mapInArrow(tidy(_answer(n)), "block int, blob binary"), "minimisers")
+    shared = staged(asked.repartition(n, "shard").mapInArrow(tidy(_answer(n, HOT_SEGMENTS if hot_segments is None else hot_segments)), "block int, blob binary, segments long"), "minimisers")
     _release(spark)
-    lists = shared.groupBy("block").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(tidy(_lists), "doc_id long, minimisers binary")
+    if hot_segments is None:
+        every = shared.where("block = -1").agg(F.coalesce(F.sum("segments"), F.lit(0))).first()[0]
+        hot_segments = max(HOT_SEGMENTS, every // (n * SHARDS_EACH))  # so fewer than n * SHARDS_EACH minimisers have more
+    hot = [r[0] for r in shared.where((F.col("block") == -2) & (F.col("segments") > hot_segments)).select("blob").collect()]
+    hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(hot), np.uint64)))
+    lists = shared.where("block >= 0").groupBy("block").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(tidy(_lists), "doc_id long, minimisers binary")
     texts = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(lists.hint("merge"), "doc_id").sortWithinPartitions("doc_id", "text_key")
-    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(tidy(_cut(width, n)), "shards int, chunk long, blobs array<binary>"), "segments")
+    cut = staged(texts.select("doc_id", "text_key", "text", "minimisers").mapInArrow(tidy(_cut(width, n, hot)), "shards int, chunk long, blobs array<binary>"), "segments")
     drop(shared)
     _release(spark)
     compared = cut.where("shards >= 0").repartitionById(n, F.col("shards")).mapInArrow(tidy(_compare(width)), "chunk long, blobs array<binary>")
@@ -417,6 +504,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     places = cut.where("shards < 0").select("chunk", F.col("blobs")[0].alias("places"))
     spans = staged(answers.join(places, "chunk").select("answers", "places").mapInArrow(tidy(_spans(width)), "doc_id long, text_key long, spans binary"), "spans")
     drop(cut)
+    hot.unpersist()
     _release(spark)
     return spans
 
@@ -426,8 +514,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
 
     whole_characters: a character of which a span takes some bytes goes altogether, so that kept is valid UTF-8.
     Null texts are empty; texts shorter than `width` are kept whole. Rows with equal doc_ids don't remove from one
-    another. Rows with a null doc_id are kept whole and remove nothing. An empty table gives an empty table.
+    another. Rows with a null doc_id are kept whole and remove nothing. An empty table gives an empty table. Columns of
+    any name may be there; one in `keep` that is named like a column made here is a ValueError.
     """
+    free_names(keep, "doc_id", "n_bytes", "spans", "kept", "text_key", "_text")
     rows = docs.select("doc_id", *keep, F.col("text").alias("_text"), F.xxhash64("text").alias("text_key"))
     joined = rows.join(repeated_spans(docs, width).dropDuplicates(["doc_id", "text_key"]), ["doc_id", "text_key"], "left")
     kept = joined.select("doc_id", *keep, "_text", "spans")

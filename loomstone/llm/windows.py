@@ -1,8 +1,9 @@
 """Windows of bytes and their minimisers: how equal 50-byte strings of different documents come to meet in one place.
 
-Every window of `width` bytes has the least hash of its `gram`-byte strings as its minimiser. Equal windows have equal
-minimisers, so a minimiser that one document alone has can't belong to a shared window. Consecutive windows of one
-minimiser make a segment: the unit that is compared.
+Every window of `width` bytes has as its minimiser the least hash of its GRAM-byte strings, at the leftmost place that has
+it. Equal windows have equal minimisers at equal places, so a minimiser that one document alone has can't belong to a
+shared window. Consecutive windows of one minimiser at one place make a segment, the unit that is compared: all its
+windows hold the same GRAM bytes, which stand for one symbol there.
 """
 
 from __future__ import annotations
@@ -11,29 +12,26 @@ import numpy as np
 
 from loomstone.llm.textkernel import mix
 
-GRAM = 16
-#: Windows of a segment at most; longer runs are cut into several segments, each with all bytes of its windows.
-MOST_WINDOWS = 40
+#: A multiple of 8.
+GRAM = 24
 #: Minimisers are kept to 48 bits; two that are equal by chance cost a comparison and change no result.
 MINIMISER_BITS = np.uint64(16)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM = 16 bytes at each position."""
+    """A hash of the GRAM bytes at each position, to 48 bits."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     view = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data), (len(data) - 7, 8), (1, 1))
     eight = np.ascontiguousarray(view).view(np.uint64).ravel()
+    h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     with np.errstate(over="ignore"):
-        h = (eight[:n] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h += eight[8 : 8 + n]
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return h
+        for k in range(0, GRAM, 8):
+            h ^= eight[k : k + n]
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return mix(h) >> MINIMISER_BITS
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -46,12 +44,13 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - more], h[more:]) if more else h
 
 
-def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, windows, minimiser) of every segment: the byte where its first window starts and how many windows it has."""
+def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, windows, minimiser, place) of every segment: the byte where its first window starts, how many windows it has, and the byte where the minimiser's GRAM bytes start."""
     if len(data) < width:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    value = sliding_min(gram_hashes(data), width - GRAM + 1) >> MINIMISER_BITS
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
+    gram = gram_hashes(data)
+    value = sliding_min(gram, width - GRAM + 1)
     inside = np.zeros(len(value) + 1, np.int8)  # windows that end within their text
     first, last = at[:-1], at[1:] - width
     some = last >= first
@@ -59,16 +58,17 @@ def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     np.add.at(inside, last[some] + 1, -1)
     inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
     new = inside.copy()
-    new[1:] &= (value[1:] != value[:-1]) | ~inside[:-1]
+    # The next window has another minimiser, or the same hash at a later place.
+    new[1:] &= (value[1:] != value[:-1]) | (gram[: len(value) - 1] == value[:-1]) | ~inside[:-1]
     new[first[some]] = True
     start = np.flatnonzero(new)
     total = np.zeros(len(inside) + 1, np.int64)
     np.cumsum(inside, out=total[1:])
     count = np.append(total[start[1:]], total[-1]) - total[start]
-    pieces = -(-count // MOST_WINDOWS)
-    if len(start) and pieces.max() > 1:
-        which = np.repeat(np.arange(len(start)), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        count = np.minimum(count[which] - nth * MOST_WINDOWS, MOST_WINDOWS)
-        start = start[which] + nth * MOST_WINDOWS
-    return np.searchsorted(at, start, side="right") - 1, start, count, value[start]
+    value = value[start]
+    place = start + count - 1  # every window holds the last one's first gram; the minimiser starts there or later
+    todo = np.flatnonzero(gram[place] != value)
+    while len(todo):
+        place[todo] += 1
+        todo = todo[gram[place[todo]] != value[todo]]
+    return np.searchsorted(at, start, side="right") - 1, start, count, value, place

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm import chat_format, collection_bwt, decontamination, license_scan, ngram_join, quality_classifier, quality_rules, repeat_removal, source_mix, token_counts, warc, windows
-from loomstone.llm.textkernel import text_bytes
+from loomstone.llm.textkernel import exact_ids, text_bytes
 from loomstone.llm.textstats import count_texts
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -139,43 +139,95 @@ def test_transform_of_small_collections():
 def test_segments_hold_every_window_once():
     texts = pa.array(["abc" * 60, "", None, "x" * 49, "y" * 50, BASE * 3])
     data, at = text_bytes(texts)
-    of, start, count, _ = windows.segments(data, at, 50)
+    of, start, count, _, _ = windows.segments(data, at, 50)
     found = sorted((int(d), int(s) + k) for d, s, c in zip(of, start, count, strict=True) for k in range(c))
     assert found == sorted((i, at[i] + k) for i in range(6) for k in range(at[i + 1] - at[i] - 49))
 
 
+def test_minimisers_are_the_leftmost_least():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 200))) for _ in range(20)] + ["a" * 300, "ab" * 100]
+    data, at = text_bytes(pa.array(texts))
+    gram, size = windows.gram_hashes(data), 50 - windows.GRAM + 1
+    for of, start, count, value, place in zip(*windows.segments(data, at, 50), strict=True):
+        for w in range(start, start + count):
+            assert at[of] <= w and w + 50 <= at[of + 1] and (gram[w : w + size].min(), w + gram[w : w + size].argmin()) == (value, place)
+
+
 def test_repeats_as_brute_force(real, docs):
     got = digest(repeat_removal.remove_repeats(real))
     assert got == sorted(covered([tuple(r) for r in real.select("doc_id", "text").collect()]), key=repr)
-    rows = [r[:2] for r in odd_rows() if r[0] not in (6, 7)]
-    small = docs.where("doc_id is null or doc_id not in (6, 7)")
-    assert digest(repeat_removal.remove_repeats(small, keep=("lang",))) == sorted(covered(rows), key=repr)
-
-
-def test_repeats_over_a_large_shard(spark, monkeypatch):
-    monkeypatch.setattr(repeat_removal, "TRANSFORM_BYTES", 700)
-    rng = random.Random(5)
-    base = "".join(rng.choice("abcd ") for _ in range(400))
-    texts = [base[rng.randint(0, 150) : rng.randint(200, 400)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 80))) for _ in range(40)]
-    rows = list(enumerate(texts))
-    kernel = repeat_removal._compare(50)
-    cut = []
-    for d, t in rows:
-        b = np.frombuffer(t.encode(), np.uint8)
-        of, start, count, value = windows.segments(b, np.array([0, len(b)]), 50)
-        cut += [(d, int(s), b[s : s + c + 49]) for s, c in zip(start, count, strict=True)]
-    blob = repeat_removal.pack(np.arange(len(cut), dtype=np.int32), np.array([len(x) for *_, x in cut], np.uint8), np.array([d for d, *_ in cut], np.int64), np.concatenate([x for *_, x in cut]))
-    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([9], pa.int64()), pa.array([[b"", blob]], pa.list_(pa.binary()))], names=["shards", "chunk", "blobs"])
-    (out,) = list(kernel(iter([batch])))
-    index, k, run, least = repeat_removal.unpack(out.column(1)[0][0].as_buffer(), np.int32, np.uint8, np.uint8, np.int64)
-    runs = np.split(np.repeat(least, run), np.cumsum([r.sum() for r in np.split(run.astype(int), np.cumsum(k))[:-1]])[:-1])
-    first = {}
-    for d, t in rows:
+    assert digest(repeat_removal.remove_repeats(docs, keep=("lang",))) == sorted(covered([r[:2] for r in odd_rows()]), key=repr)
+
+
+def test_repeats_of_hot_strings(spark, real):
+    """Every shared minimiser is hot: the result is the same."""
+    line = "this very line of more than fifty bytes is in each of all the documents here"
+    rng = random.Random(8)
+    rows = [(d, f"{rng.random()} {rng.random()} {line} {rng.random()}\n{line[:55]}{rng.random()}", "", "", 0) for d in range(60)]
+    df = spark.createDataFrame(rows, DOC)
+    made = repeat_removal.repeated_spans(df, hot_segments=1)
+    want = {d: n for d, _, n, _, _ in covered([r[:2] for r in rows])}
+    found = {r["doc_id"]: int(np.diff(np.frombuffer(r["spans"], np.int64).reshape(-1, 2)).sum()) for r in made.collect()}
+    assert found == {d: n for d, n in want.items() if n}
+    shared = {r["doc_id"]: int(np.diff(np.frombuffer(r["spans"], np.int64).reshape(-1, 2)).sum()) for r in repeat_removal.repeated_spans(real, hot_segments=1).collect()}
+    assert shared == {d: n for d, _, n, _, _ in covered([tuple(r) for r in real.select("doc_id", "text").collect()]) if n}
+
+
+@pytest.mark.parametrize(("sigma", "part"), [(2, 4 << 20), (4, 3000), (4, 200), (256, 5000)])
+def test_windows_of_segments_as_brute_force(sigma, part):
+    rng = random.Random(sigma)
+    texts = [bytes(rng.randrange(256 - sigma, 256) for _ in range(rng.randint(50, 300))) for _ in range(20)]
+    texts += [t[: len(t) // 2] + b"-" + t[len(t) // 2 :] for t in texts] + texts[:3]
+    doc = np.array(rng.sample(range(100), len(texts)))
+    data, at = text_bytes(pa.array(texts, pa.binary()))
+    of, start, count, _, place = windows.segments(data, at, 50)
+    least = {}
+    for t, d in zip(texts, doc, strict=True):
         for i in range(len(t) - 49):
-            first.setdefault(t[i : i + 50], d)
-    for i, got in zip(index, runs, strict=True):
-        text = cut[i][2].tobytes().decode()
-        assert got.tolist() == [first[text[j : j + 50]] for j in range(len(text) - 49)]
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], 1000))
+    got = repeat_removal.window_docs(repeat_removal.gather(data, start, count + 49), count + 49, place - start, doc[of], 50, part)
+    assert got.tolist() == [least[data[s + k : s + k + 50].tobytes()] for s, c in zip(start, count, strict=True) for k in range(c)]
+
+
+def test_kept_columns_with_names_of_made_ones(docs, spark):
+    items = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    clash = docs.withColumn("score", F.lit(1))
+    for call in (lambda: repeat_removal.remove_repeats(docs, keep=("spans",)), lambda: decontamination.find_leaks(docs, items, keep=("N_words",)), lambda: quality_classifier.score_quality(clash, labels, keep=("score",)), lambda: source_mix.mix_sources(docs, carry=("size",))):
+        with pytest.raises(ValueError, match="rename"):
+            call()
+
+
+def mirrored(n):
+    """A Thue-Morse text and its complement: equal under any hash that sums byte values times powers of an odd base modulo 2**64."""
+    a = "A"
+    while len(a) < n:
+        a += a.translate(str.maketrans("AB", "BA"))
+    return a, a.translate(str.maketrans("AB", "BA"))
+
+
+def test_hashes_of_mirrored_texts(spark):
+    a, b = mirrored(1024)
+    (dup,) = count_texts(pa.array([f"{a}\n{b}"]))["n_dup_lines"]
+    (rep,) = count_texts(pa.array([f"{a} p q z {b} p q"]))["n_repeat_words"]
+    assert (dup, rep) == (0, 0)
+    rows = [(i, t, "", "", 0) for i, t in enumerate([f"{a} x y z q", f"{b} x y z q", f"{BASE} {a} {BASE}"])]
+    df = spark.createDataFrame(rows, DOC)
+    assert {r["n_links"] for r in ngram_join.ngram_join(df).collect()} == {0} and ngram_join.one_of_each(df).count() == 3
+    items = [(5, f"{BASE} {b} {BASE}")]
+    got = decontamination.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got.collect()) == sorted(leaks([r[:2] for r in rows], items))
+    assert digest(repeat_removal.remove_repeats(df)) == sorted(covered([r[:2] for r in rows]), key=repr)
+
+
+def test_equal_spans_under_one_hash():
+    data = np.frombuffer(b"abcabcxyzabcxyzab" + b"q" * 600, np.uint8)
+    start, end = np.array([0, 3, 6, 9, 12, 15, 20, 300]), np.array([3, 6, 9, 12, 15, 17, 280, 560])
+    for key in (None, np.zeros(8, np.uint64)):
+        ids, first = exact_ids(data, start, end, key)
+        assert [data[start[f] : end[f]].tobytes() for f in first[ids]] == [data[s:e].tobytes() for s, e in zip(start, end, strict=True)]
+        assert len(first) == 4 and first.tolist() == [min(np.flatnonzero(ids == k)) for k in range(4)]
 
 
 def test_repeats_whole_characters(spark, none):
