@@ -2,8 +2,8 @@
 
 Every copy of a document gets a virtual finish time, its source's cumulative words divided by the
 source's target, in a fixed shuffled order; copies are range-sorted by that time and the sorted list
-is cut at the total budget. Running sums are built in two levels (within a slice, over slices), so no
-task ever holds a source or the whole order.
+is cut at the total budget. Running sums are built in two levels (within a slice, over slices; within
+a range, over ranges), so no task ever holds a source or the whole order.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import drop, ready, staged, table
+from loomstone.llm.common import drop, free_names, partitions, ready, staged, table
 
 #: The weights of the sources in order, over and over; share of all words; passes over a source at most.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-#: Slices of a source's shuffled order are the first hex digits of the shuffle key; slices of the time line, per unit.
-SLICE_DIGITS, TIME_SLICES = 3, 1024
+#: Slices of a source's shuffled order are the first hex digits of the shuffle key.
+SLICE_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,7 +52,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes:
     of the whole text; a null text has size 0. A null source is a source of its own, after all others. Repeated rows
     are separate documents; ties in the shuffle fall to doc_id and size. A document is taken whole, 0 to `passes` times.
     Documents of size 0 are placed like others and take nothing. An empty table gives an empty table. Reruns agree.
+    Other columns may have any name; one in carry that is named like a column made here is a ValueError.
     """
+    free_names(carry, *"doc_id source size source_size target copies taken mix_key slice slice_size base within cumulative source_rank".split())
     spark = ready(docs.sparkSession)
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = staged(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"), key.alias("mix_key")), "sized")
@@ -71,27 +73,30 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes:
         return F.when(F.col("target") > 0, (F.col("source_size") * p + F.col("cumulative")) / F.col("target")).otherwise(F.lit(0.0))
 
     copies = placed.where("size > 0").select("size", "source_rank", "cumulative", F.explode(F.array(*[F.lit(p) for p in range(passes)])).alias("pass"), "source_size", "target")
-    copies = copies.withColumn("finish", finish(F.col("pass"))).withColumn("time_slice", F.floor(F.col("finish") * TIME_SLICES))
+    order = ("finish", "source_rank", "cumulative")
+    copies = copies.select("size", *order[1:], finish(F.col("pass")).alias("finish")).repartitionByRange(partitions(spark), *order)
+    copies = staged(copies.sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
     budget = F.sum("source_size") * share
     whole = sources.agg(F.least(budget, (F.sum("source_size") * passes).cast("double")).alias("budget"))
-    ends = copies.groupBy("time_slice").agg(F.sum("size").alias("words"))
-    ends = ends.withColumn("until", F.sum("words").over(Window.orderBy("time_slice").rowsBetween(Window.unboundedPreceding, 0)))
-    # One row: the slice of the time line in which the budget runs out.
-    last = ends.join(F.broadcast(whole)).where("until > budget").agg(F.min_by(F.struct("time_slice", (F.col("until") - F.col("words")).alias("before"), "budget"), "time_slice").alias("r")).first()["r"]
+    ends = copies.groupBy("range").agg(F.sum("size").alias("words"))
+    ends = ends.withColumn("until", F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
+    # One row: the range in which the budget runs out.
+    last = ends.join(F.broadcast(whole)).where("until > budget").agg(F.min_by(F.struct("range", (F.col("until") - F.col("words")).alias("before"), "budget"), "range").alias("r")).first()["r"]
 
-    order = ("finish", "source_rank", "cumulative")
     if last is None:  # the budget covers every copy
         took = F.lit(passes)
     else:
         running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        edge = copies.where(F.col("time_slice") == last["time_slice"]).withColumn("running", running + F.lit(last["before"]))
-        cut = edge.where(F.col("running") <= F.lit(last["budget"])).agg(F.max(F.struct(*order)).alias("c")).first()["c"]
+        edge = copies.where(F.col("range") == last["range"]).withColumn("running", running + F.lit(last["before"]))
+        within = edge.where(F.col("running") <= F.lit(last["budget"])).agg(F.max(F.struct(*order)).alias("c"))
+        before = copies.where(F.col("range") < last["range"]).agg(F.max(F.struct(*order)).alias("c"))
+        cut = within.union(before).agg(F.max("c").alias("c")).first()["c"]  # the last copy that the mix takes
 
         def inside_cut(p: int) -> Column:
-            mine = finish(p)
-            slot = F.floor(mine * TIME_SLICES)
-            past = F.lit(False) if cut is None else F.struct(mine, "source_rank", "cumulative") <= F.struct(F.lit(cut["finish"]), F.lit(cut["source_rank"]), F.lit(cut["cumulative"]).cast("long"))
-            return ((slot < last["time_slice"]) | ((slot == last["time_slice"]) & past)).cast("int")
+            if cut is None:
+                return F.lit(0)
+            mine = F.struct(finish(p).alias("finish"), "source_rank", "cumulative")
+            return (mine <= F.struct(F.lit(cut["finish"]), F.lit(cut["source_rank"]), F.lit(cut["cumulative"]).cast("long"))).cast("int")
 
         took = sum((inside_cut(p) for p in range(1, passes)), inside_cut(0))
     out = placed.withColumn("copies", F.when(F.col("size") > 0, took).otherwise(0).cast("int"))
@@ -104,7 +109,7 @@ def op7_source_mix(spark, sf_dir):
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  SELECT ROW_NUMBER() OVER () AS rn, doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS k
   FROM documents),
 src AS (
@@ -121,7 +126,7 @@ lvl AS (SELECT *, MAX(CASE WHEN cap > w * level THEN level END) OVER () AS at_le
 tgt AS (
   SELECT source, rk, source_size, CASE WHEN at_level IS NULL OR cap <= w * at_level THEN cap ELSE w * at_level END AS target FROM lvl),
 placed AS (
-  SELECT d.doc_id, d.size, t.rk, t.source_size, t.target,
+  SELECT d.rn, d.doc_id, d.size, t.rk, t.source_size, t.target,
          SUM(d.size) OVER (PARTITION BY t.rk ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
 items AS (
@@ -130,7 +135,7 @@ items AS (
 cut AS (
   SELECT *, SUM(size) OVER (ORDER BY fin, rk, cum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM items WHERE size > 0),
 budget AS (SELECT CAST(SUM(source_size) AS DOUBLE) * 1.5 AS b FROM src),
-took AS (SELECT doc_id, SUM(CASE WHEN running <= b THEN size ELSE 0 END) AS taken FROM cut, budget GROUP BY doc_id)
+took AS (SELECT rn, SUM(CASE WHEN running <= b THEN size ELSE 0 END) AS taken FROM cut, budget GROUP BY rn)
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(COALESCE(t.taken, 0) AS BIGINT) AS taken
-FROM placed p LEFT JOIN took t ON p.doc_id IS NOT DISTINCT FROM t.doc_id
+FROM placed p LEFT JOIN took t ON p.rn = t.rn
 """
