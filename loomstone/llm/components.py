@@ -26,7 +26,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) -> (node, component): the least node of each node's component; nodes without edges are not returned.
+    """edges (a, b), of any one type that has an order -> (node, component): the least node of each node's component; nodes without edges are not returned.
 
     Each round is two grouped minima (combined before the shuffle, so a hub costs one row a task) and two joins whose
     skewed keys Spark may split. Rounds grow with the logarithm of the longest chain. Loops and repeated edges are
