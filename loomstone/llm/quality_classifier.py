@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ready, staged, table, tidy
+from loomstone.llm.common import free_names, ready, staged, table, tidy
 from loomstone.llm.textstats import COUNTS, count_texts, with_counts
 
 FEATURES = ["log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "same_next_share"]
@@ -136,7 +136,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()
 
     Null and empty texts are scored like any text, with all counts 0. Repeated rows score alike. A null doc_id is not
     held out and never joins a label. Without any label every score is 0.5. An empty table gives an empty table.
+    Repeated labels count as often as they are there, and a document with both labels counts for both classes. Other
+    columns may have any name; one in `keep` that is named like a column made here is a ValueError.
     """
+    free_names(keep, "doc_id", "held_out", "score", "predicted", "label", *COUNTS)
     ready(docs.sparkSession)
     counts = staged(with_counts(docs, ["doc_id", *keep]).withColumn("held_out", held_out(F.col("doc_id"))), "counts")
     model = fit_quality(counts, labels)
