@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.collection_bwt import CollectionBWT
 from loomstone.llm.common import drop, free_names, partitions, ready, staged, table, tidy
-from loomstone.llm.textkernel import chars, exact_ids, mix, span_hash, text_bytes
-from loomstone.llm.windows import GRAM, segments
+from loomstone.llm.textkernel import chars, exact_ids, mix, span_hash, text_bytes, words_at
+from loomstone.llm.windows import GRAM, minimiser_places, segments
 
 WIDTH = 50
 #: Segments of a chunk: what a task gathers before it sends blobs to the shards.
@@ -82,25 +82,21 @@ def _by_group(group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 MANY = np.int64(np.iinfo(np.int64).min)
 
 
-def _look(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """What tells most segments of a minimiser apart: a hash of the first and last eight bytes and the length."""
+def _looks(data: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Minimisers with 16 bits of their segment's first and last eight bytes and length, which tell most segments apart."""
     with np.errstate(over="ignore"):
-        return mix(span_hash(data, start, start + 8) * np.uint64(3) + span_hash(data, end - 8, end)) + (end - start).astype(np.uint64)
+        look = mix(words_at(data, start) + mix(words_at(data, end - 8)) + (end - start).astype(np.uint64))
+    return value << np.uint64(16) | look >> np.uint64(48)
 
 
 def _ask(width: int, shards: int):
     """Documents -> (shard, doc_id, blob): questions to the shards, one entry a chunk and minimiser, with the number of its different segments there; and for each document the minimisers known to be shared within the chunk."""
 
     def flush(value: list, doc: list, looks: list) -> Iterator[tuple]:
-        v, d, look = np.concatenate(value), np.concatenate(doc), np.concatenate(looks)
-        order = np.lexsort((look, v))
-        sv, sl = v[order], look[order]
-        head = np.ones(len(sv), bool)
-        head[1:] = sv[1:] != sv[:-1]
-        other = head.copy()
-        other[1:] |= sl[1:] != sl[:-1]
-        kinds = np.add.reduceat(other.astype(np.int64), np.flatnonzero(head))
-        order = np.lexsort((d, v))
+        v, d, look = np.concatenate(value), np.concatenate(doc), np.sort(np.concatenate(looks))
+        look = look[np.concatenate([[True], look[1:] != look[:-1]])] >> np.uint64(16)
+        kinds = np.diff(np.flatnonzero(np.concatenate([[True], look[1:] != look[:-1], [True]])))
+        order = np.argsort(v, kind="stable")  # a document's segments stand together, so they do within a minimiser
         v, d = v[order], d[order]
         once = np.ones(len(v), bool)
         once[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
@@ -135,7 +131,7 @@ def _ask(width: int, shards: int):
             of, start, windows, v, _ = segments(data, at, width)
             value.append(v)
             doc.append(b.column(0).to_numpy(zero_copy_only=False)[of])
-            looks.append(_look(data, start, start + windows + width - 1))
+            looks.append(_looks(data, v, start, start + windows + width - 1))
             held += len(v)
             if held > CHUNK_SEGMENTS:
                 yield out()
@@ -204,14 +200,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(data: np.ndarray, at: np.ndarray, minimisers: pa.Array, width: int, shards: int, hot_values: np.ndarray) -> dict[str, np.ndarray]:
     """What documents have to compare: row, start, length, place (of the minimiser, from the start) and shard of each segment of a shared minimiser, or of each of its windows where the minimiser is hot."""
-    of, start, windows, value, place = segments(data, at, width)
+    of, start, windows, value, gram = segments(data, at, width)
     n = [len(x.as_buffer()) // 8 for x in minimisers]
     wanted = np.frombuffer(b"".join(x.as_buffer() for x in minimisers), np.uint64)
     key = np.sort(wanted | (np.repeat(np.arange(len(n)), n).astype(np.uint64) << np.uint64(48)))
     mine = value | (of.astype(np.uint64) << np.uint64(48))
     found = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
     some = np.flatnonzero(key[found] == mine) if len(key) else np.zeros(0, np.int64)
-    of, start, windows, value, place = of[some], start[some], windows[some], value[some], place[some]
+    of, start, windows, value = of[some], start[some], windows[some], value[some]
+    place = minimiser_places(gram, start, windows, value)
     hot = np.isin(value, hot_values)
     shard = (value % np.uint64(shards)).astype(np.int64)
     if hot.any():
@@ -238,7 +235,7 @@ def _cut(width: int, groups: int, hot):
             chunk = (task << 32) + number
             col = {k: np.concatenate(x) for k, x in held.items()}
             start = np.concatenate([[0], np.cumsum(col["length"])])
-            ids, first = exact_ids(col["bytes"], start[:-1], start[1:])
+            ids, first = exact_ids(col["bytes"], start[:-1], start[1:], col["hash"])
             which = ids[col["which"]]
             least = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(least, which, col["doc"])
@@ -262,10 +259,11 @@ def _cut(width: int, groups: int, hot):
             u = _units(data, at, b.column(3), width, shards, hot.value)
             if not len(u["row"]):
                 continue
-            ids, first = exact_ids(data, u["start"], u["start"] + u["length"])
+            key = span_hash(data, u["start"], u["start"] + u["length"])
+            ids, first = exact_ids(data, u["start"], u["start"] + u["length"], key)
             doc = b.column(0).to_numpy(zero_copy_only=False)[u["row"]]
             text = b.column(1).to_numpy(zero_copy_only=False)[u["row"]]
-            new = {"length": u["length"][first], "place": u["place"][first], "shard": u["shard"][first], "bytes": gather(data, u["start"][first], u["length"][first])}
+            new = {"hash": key[first], "length": u["length"][first], "place": u["place"][first], "shard": u["shard"][first], "bytes": gather(data, u["start"][first], u["length"][first])}
             new |= {"doc": doc, "text": text, "at": u["start"] - at[u["row"]], "which": ids + distinct}
             for k, x in new.items():
                 held.setdefault(k, []).append(x)

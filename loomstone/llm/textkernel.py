@@ -52,6 +52,11 @@ def _word(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(eights[at]).view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
 
 
+def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number."""
+    return _word(_eights(data), at, np.full(len(at), 8))
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each data[start:end]: a chain of mixed words, so that no pattern in the bytes cancels out.
 
