@@ -15,7 +15,7 @@ def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
         high.append(a)
         value.append(v)
         weight.append(k)
-        while len(value) > 1 and value[-2] >= value[-1]:
+        while len(value) > 1 and value[-2] > value[-1]:
             total = weight[-2] + weight[-1]
             value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / total]
             weight[-2:] = [total]
@@ -24,10 +24,10 @@ def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array(low), np.array(high), np.array(value)
 
 
-def fit_isotonic(samples: DataFrame, score: str, outcome: str, digits: int = 3) -> DataFrame:
-    """(low, high, value): the steps of the fitted map. Scores are grouped to `digits` decimals first, so that 10 ** digits + 1 rows at most are pooled."""
-    grouped = samples.groupBy(F.round(score, digits).alias("x")).agg(F.avg(outcome).alias("y"), F.count(F.lit(1)).alias("w"))
-    rows = sorted((r["x"], r["y"], r["w"]) for r in grouped.collect())
+def fit_isotonic(samples: DataFrame, score: str, outcome: str) -> DataFrame:
+    """(low, high, value): the steps of the fitted map. Samples of equal scores are pooled first; the driver then holds a row for each distinct score."""
+    grouped = samples.groupBy(F.col(score).cast("double").alias("x")).agg(F.avg(outcome).alias("y"), F.count(F.lit(1)).alias("w"))
+    rows = sorted((r["x"], r["y"], r["w"]) for r in grouped.where("x is not null and y is not null").toLocalIterator())
     if not rows:
         return samples.sparkSession.createDataFrame([], "low double, high double, value double")
     low, high, value = pool(*(np.array(c, float) for c in zip(*rows, strict=True)))

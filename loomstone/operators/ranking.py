@@ -25,15 +25,13 @@ def fuse_rrf(lists: DataFrame, by: list[str], source: str, item: str, similarity
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(*by, item, "rrf", "similarity", "rank")
 
 
-def mmr(df: DataFrame, by: list[str], item: str, relevance: str, vector: str, balance: float = 0.5, depth: int = 200) -> DataFrame:
-    """Greedy maximal marginal relevance over the best `depth` of each query: (by..., item, place).
+def mmr(df: DataFrame, by: list[str], item: str, relevance: str, vector: str, balance: float = 0.5) -> DataFrame:
+    """Greedy maximal marginal relevance over all candidates of each query: (by..., item, place).
 
-    Ties go to the lower input place; if every relevance is 0 the order is the input's. Each query's candidates are
-    bounded by depth, so a group always fits a task.
+    Ties go to the more relevant, then the lower item; if every relevance is 0 that is the order. A query's candidates
+    are one task's: they are what a search returned.
     """
-    from loomstone.operators.windows import first_per
-
-    few = first_per(df.select(*by, item, relevance, vector), by, [F.desc(relevance), item], depth)
+    few = df.select(*by, item, relevance, vector)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in few.select(*by, item).schema] + ["place int"])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -38,26 +38,34 @@ def choose_tables(similarity: float, recall: float, bits: int) -> int:
     return ceil(log(1 - recall) / log(1 - meet))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, least: float, recall: float = 0.999, bits: int = 6) -> DataFrame:
+#: Rows that share a bucket by chance, at most, on average.
+BUCKET_ROWS = 64
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, least: float, recall: float = 0.999, bits: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of the pairs at `least` or more, by random hyperplanes: vectors meet in buckets, met pairs are verified exactly.
 
-    The number of hash tables follows from the recall wanted at the threshold. Pairs come from equi-joins on buckets.
+    The bits of a bucket grow with the logarithm of the rows, so that a bucket holds BUCKET_ROWS by chance at any size;
+    the number of hash tables follows from the bits and the recall wanted at the threshold. Pairs come from equi-joins
+    on buckets and carry ids alone; vectors are fetched once for each distinct pair.
     """
     first = df.select(vector).head()
     if first is None:
         return df.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    bits = bits or max(4, ceil(log(max(df.count(), 1) / BUCKET_ROWS, 2)))
     dim, tables = len(first[0]), choose_tables(least, recall, bits)
     planes = np.random.default_rng(7).normal(size=(tables, bits, dim))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def buckets(v: pd.Series) -> pd.Series:
         m = np.stack(v.map(np.asarray).to_numpy()).astype(float)
         bit = np.einsum("nd,tbd->ntb", m, planes) > 0
-        return pd.Series(list((bit << np.arange(bits)).sum(axis=2).astype(np.int32)))
-
-    hashed = with_norm(df.select(key, vector), vector).withColumn("_h", buckets(F.col(vector)))
-    placed = hashed.select(key, vector, "norm", F.posexplode("_h").alias("_t", "_b"))
-    left = placed.select(F.col(key).alias("a"), F.col(vector).alias("va"), F.col("norm").alias("na"), "_t", "_b")
-    right = placed.select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.col("norm").alias("nb"), "_t", "_b")
-    met = left.join(right, ["_t", "_b"]).where("a < b").dropDuplicates(["a", "b"])
-    return met.withColumn("similarity", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+        return pd.Series(list((bit.astype(np.int64) << np.arange(bits)).sum(axis=2)))
+
+    placed = df.select(key, F.posexplode(buckets(F.col(vector))).alias("_t", "_b"))
+    met = placed.withColumnRenamed(key, "a").join(placed.withColumnRenamed(key, "b"), ["_t", "_b"]).where("a < b").select("a", "b").distinct()
+    vectors = with_norm(df.select(key, vector), vector)
+    left = vectors.select(F.col(key).alias("a"), F.col(vector).alias("va"), F.col("norm").alias("na"))
+    right = vectors.select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.col("norm").alias("nb"))
+    both = met.join(left, "a").join(right, "b").where((F.col("na") > 0) & (F.col("nb") > 0))
+    return both.withColumn("similarity", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")

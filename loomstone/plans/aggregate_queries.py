@@ -171,9 +171,25 @@ def _(t):
     return rounded(A.compare_methods(m.select("query", F.col("ndcg5").alias("v")), m.select("query", F.col("mrr").alias("v")), "v"), "mean_a", "mean_b", "change")
 
 
-@query("causal_lift", "WITH o AS (SELECT user_id * 100 + day(ts) AS unit, CASE WHEN event_type <> 'error' THEN event_type END AS cause, CASE WHEN event_type = 'error' THEN 'error' || CAST(event_id % 3 AS VARCHAR) END AS effect FROM events), c AS (SELECT DISTINCT unit, cause FROM o WHERE cause IS NOT NULL), e AS (SELECT DISTINCT unit, effect FROM o WHERE effect IS NOT NULL), n AS (SELECT COUNT(DISTINCT unit) AS n FROM o), j AS (SELECT cause, effect, COUNT(*) AS joint FROM c JOIN e USING (unit) GROUP BY 1, 2), x AS (SELECT cause, effect, joint, joint / nc AS probability, ne / n AS base_rate FROM j JOIN (SELECT cause, COUNT(*) AS nc FROM c GROUP BY 1) USING (cause) JOIN (SELECT effect, COUNT(*) AS ne FROM e GROUP BY 1) USING (effect), n WHERE joint >= 2) SELECT cause, effect, joint, round(probability / base_rate, 6) AS lift, round(probability, 6) AS probability, round(base_rate, 6) AS base_rate, round(least(1.0, (probability / base_rate - 1) / 2) * least(1.0, joint / 10.0), 6) AS confidence FROM x WHERE probability / base_rate >= 1.0")
-def _(t):
-    o = t.events.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("unit"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("cause"), F.when(F.col("event_type") == "error", F.concat(F.lit("error"), (F.col("event_id") % 3).cast("string"))).alias("effect"))
+CAUSAL = """
+WITH o AS (SELECT user_id AS unit, CASE WHEN event_type <> 'error' THEN event_type || CAST(event_id % 4 AS VARCHAR) END AS cause,
+                  CASE WHEN event_type = 'error' THEN 'error' || CAST(event_id % 5 AS VARCHAR) END AS effect FROM events),
+c AS (SELECT DISTINCT unit, cause FROM o WHERE cause IS NOT NULL), e AS (SELECT DISTINCT unit, effect FROM o WHERE effect IS NOT NULL),
+n AS (SELECT COUNT(DISTINCT unit) AS n FROM o),
+nc AS (SELECT cause, COUNT(*) AS n_cause FROM c GROUP BY 1 HAVING COUNT(*) >= 3), ne AS (SELECT effect, COUNT(*) AS n_effect FROM e GROUP BY 1 HAVING COUNT(*) >= 3),
+j AS (SELECT cause, effect, COUNT(*) AS joint FROM c JOIN e USING (unit) GROUP BY 1, 2 HAVING COUNT(*) >= 2),
+x AS (SELECT cause, effect, joint, joint / n_cause AS probability, n_effect / n AS base_rate FROM j JOIN nc USING (cause) JOIN ne USING (effect), n)
+SELECT cause, effect, joint, round(probability / base_rate, 6) AS lift, round(probability, 6) AS probability, round(base_rate, 6) AS base_rate,
+       round(least(1.0, (probability / base_rate - 1) / 2) * least(1.0, joint / 10.0), 6) AS confidence
+FROM x WHERE probability / base_rate >= 1.0"""
+
+
+@query("causal_lift", CAUSAL)
+def _(t):
+    error, part = F.col("event_type") == "error", F.col("event_id")
+    cause = F.when(~error, F.concat("event_type", (part % 4).cast("string")))
+    effect = F.when(error, F.concat(F.lit("error"), (part % 5).cast("string")))
+    o = t.events.select(F.col("user_id").alias("unit"), cause.alias("cause"), effect.alias("effect"))
     return rounded(A.causal_lift(o, "unit", "cause", "effect", least_lift=1.0), "lift", "probability", "base_rate", "confidence")
 
 

@@ -186,14 +186,6 @@ def _(t):
     return G.without_incoming(edges(t), 7)
 
 
-@query("importance_unified", TREE + VALUES + ", d AS (SELECT dst AS id, COUNT(*) AS c FROM e GROUP BY 1) SELECT v.id, round(least(1.0, 0.4 * COALESCE(c, 0) / greatest((SELECT max(c) FROM d), 0.001) + 0.3 * value + 0.3 * 0.5), 6) AS importance FROM v LEFT JOIN d USING (id)")
-def _(t):
-    from loomstone.operators.windows import over_max
-
-    d = over_max(tree(t).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("c")), "c", "share")
-    return values(t).join(d, "id", "left").select("id", r6(F.least(F.lit(1.0), 0.4 * F.coalesce("share", F.lit(0.0)) + 0.3 * F.col("value") + 0.15)).alias("importance"))
-
-
 def flagship(t):
     """Files that change together, weighed by hotspot and owner: co-change, ownership and top-k in one plan."""
     pairs = A.cochange(t.lineitem, "l_orderkey", "l_partkey")

@@ -214,3 +214,31 @@ def test_event_bus(spark):
     bus.on("b", lambda b: got.setdefault("b", b.count()))
     bus.dispatch(spark.createDataFrame([("a",), ("a",), ("b",)], "kind string"))
     assert got == {"a": 2, "b": 1} and len(bus.errors) == 1
+
+
+def test_similar_pairs_recall(spark):
+    """Near pairs among many others, by brute force: at least the recall asked for, and nothing below the threshold."""
+    import numpy as np
+
+    from loomstone.operators import vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16))
+    x = np.concatenate([x, x[:200] + rng.normal(size=(200, 16)) * 0.25])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(cos >= 0.9), strict=True) if i < j}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(df, "id", "v", 0.9, recall=0.99).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 50
+    assert vectors.similar_pairs(df.limit(0), "id", "v", 0.9).count() == 0
+
+
+def test_isotonic_keeps_ties_and_scores_apart(spark):
+    from loomstone.functions import isotonic
+
+    df = spark.createDataFrame([(0.1001, 0.0), (0.1002, 0.5), (0.2, 0.5), (0.3, 0.2), (0.3, 0.4), (None, 1.0)], "x double, y double")
+    got = [tuple(r) for r in isotonic.fit_isotonic(df, "x", "y").orderBy("low").collect()]
+    assert [g[:2] for g in got] == [(0.1001, 0.1001), (0.1002, 0.3)] and abs(got[1][2] - 0.4) < 1e-12
+    tie = spark.createDataFrame([(0.1, 0.5), (0.2, 0.5)], "x double, y double")
+    assert isotonic.fit_isotonic(tie, "x", "y").count() == 2

@@ -44,6 +44,7 @@ def test_same_as_sql(name, spark, sf, duck):
     assert sorted(theirs_names) == names
     theirs = sorted((tuple(plain(r[theirs_names.index(c)]) for c in names) for r in found.fetchall()), key=repr)
     assert mine == theirs
+    assert mine or name not in ("vec_pair_clones", "clone_types", "causal_lift")
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.PLANS) - set(registry.SQL)))
