@@ -2,9 +2,10 @@
 
 The units of a document are its lines, its paragraphs and its whole text, and windows of its words where a template is
 found across or within them. A unit and a template can only reach the threshold t if the smaller has at least t / (2 - t)
-of the bigrams of the larger: units outside every template's bounds never get bigrams, and a unit meets a template by an
-equi-join on the bigram counts within the template's bounds. A window that reaches t holds that many of the template's
-bigrams, and the best ones start and end with one: only windows between two of the template's bigrams are compared.
+of the bigrams of the larger: units outside every template's bounds never get bigrams, and a unit is compared with a
+template within the template's bounds, if its document holds enough of the template's bigrams at all. A window that
+reaches t holds that many of the template's bigrams, and the best ones start and end with one: only windows between two
+of the template's bigrams are compared.
 """
 
 from __future__ import annotations
@@ -140,8 +141,8 @@ def anchors(bigrams: list[str], threshold: float) -> set[str]:
 
 
 def normalised(text: Column) -> Column:
-    """Lower-cased words of a-z and 0-9 with single spaces between; line ends stay."""
-    return F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
+    """Lower-cased words of a-z and 0-9 with single spaces between; line ends stay. Only ASCII is left when cases are folded."""
+    return F.lower(F.regexp_replace(text, "[^a-zA-Z0-9\n]+", " "))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,32 +155,35 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     match, 2 / threshold - 1 times the template's; templates of over EXACT bigrams are tried at steps. Words are runs of a-z and 0-9
     after lower-casing A-Z; bigrams count once. Null and empty texts, and units of fewer than two words, match nothing.
     Repeated rows give repeated matches. An empty table gives an empty table. The templates are a parameter of fixed
-    size; they are the only thing that is broadcast.
+    size; they are the only thing that is broadcast. Everything happens within a document's row: it is split into words
+    once, and goes no further without enough of a template's bigrams, which every matching unit or window of it would hold.
     """
     spark = ready(docs.sparkSession)
     texts = {k: template_words(v) for k, v in ({**TEMPLATES, **MORE_TEMPLATES} if templates is None else templates).items()}
     sets = {k: template_bigrams(" ".join(v)) for k, v in texts.items()}
     sets = {k: v for k, v in sets.items() if v}
-    sized = [(n, k, len(v), v) for k, v in sets.items() for n in bounds(len(v), threshold)]
-    known = spark.createDataFrame(sized, "n int, license string, m int, theirs array<string>")
-    most = max((n for n, *_ in sized), default=0)
+    rare = sorted(set().union(*[anchors(v, threshold) for v in sets.values()]))
     vocabulary = sorted({b for v in sets.values() for b in v})
+    rows = [
+        (k, len(v), bounds(len(v), threshold).start, floor((len(texts[k]) - 1) * (2 - threshold) / threshold + 1e-9), max(1, len(v) // 64) if len(v) > EXACT else 1, v)
+        for k, v in sets.items()
+    ]
+    known = spark.createDataFrame(rows, "license string, m int, need int, span int, step int, theirs array<string>")
+    most = max((bounds(len(v), threshold).stop - 1 for v in sets.values()), default=0)
 
-    def units(kind: str, pieces: Column) -> DataFrame:
-        """Arrays of words, made before the explode: what an explode returns is not computed again for each bigram."""
-        return docs.select("doc_id", F.lit(kind).alias("kind"), F.posexplode(F.transform(pieces, lambda u: F.split(F.trim(F.regexp_replace(u, "[ \n]+", " ")), " "))).alias("place", "words"))
-
-    clean = normalised(F.col("text"))
-    paragraphs = F.split(clean, "\n[ \n]*\n")
-    every = units("line", F.split(clean, "\n")).union(units("paragraph", F.when(F.size(paragraphs) > 1, paragraphs))).union(units("text", F.array(clean)))
-    # n distinct words make at least n - 1 distinct bigrams: units beyond every template's bounds go here.
-    fit = every.where((F.size("words") > 1) & (F.size(F.array_distinct("words")) <= most + 1))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)))
-    paired = fit.select("doc_id", "kind", "place", F.explode(F.array(F.array_distinct(pairs))).alias("ours")).where(F.exists("ours", lambda b: b.isin(vocabulary)))
-    met = paired.withColumn("n", F.size("ours")).join(F.broadcast(known), "n")
-    dice = 2 * F.size(F.array_intersect("ours", "theirs")) / (F.col("n") + F.col("m"))
-    found = met.select("doc_id", "kind", "place", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-    return found.union(_windows(docs, sets, texts, threshold))
+    # A text without any of the anchors goes on its words alone, which take a split and no rewritten text.
+    words = F.filter(F.split(F.translate("text", _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
+    d = _once(docs.select("doc_id", "text"), "words", words).where(F.arrays_overlap("words", F.array(*map(F.lit, rare)).cast("array<string>")))
+    d = d.select("doc_id", "words", normalised(F.col("text")).alias("clean"))
+    d = _once(d, "pairs", _pairs(F.col("words")))
+    d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(b.isin(vocabulary), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
+    d = _once(d, "held", F.array_distinct(F.transform("hits", lambda i: F.get("pairs", i))))
+    d = _units(d, vocabulary, most)
+    d = d.join(F.broadcast(known), F.size(F.array_intersect("held", "theirs")) >= F.col("need"))
+    d = _once(d, "matched", _matches(threshold))
+    d = _windows(d, threshold)
+    windows = F.transform("taken", lambda w: F.struct(F.lit("window").alias("kind"), w["s"].alias("place"), (-w["less"]).alias("dice")))
+    return d.select("doc_id", "license", F.explode(F.concat("matched", windows)).alias("u")).select("doc_id", "u.kind", "u.place", "license", "u.dice")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -188,32 +192,46 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _pairs(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
 
 
-def _windows(docs: DataFrame, sets: dict[str, list[str]], words: dict[str, list[str]], threshold: float) -> DataFrame:
-    """The rows of kind 'window'. Everything happens within a document's row."""
-    spark = docs.sparkSession
-    rare = sorted(set().union(*[anchors(v, threshold) for v in sets.values()]))
-    vocabulary = sorted({b for v in sets.values() for b in v})
-    rows = [(k, len(v), bounds(len(v), threshold).start, floor((len(words[k]) - 1) * (2 - threshold) / threshold + 1e-9), max(1, len(v) // 64) if len(v) > EXACT else 1, v) for k, v in sets.items()]
-    known = spark.createDataFrame(rows, "license string, m int, need int, span int, step int, theirs array<string>")
+def _dice(ours: Column) -> Column:
+    """Of distinct bigrams and the template's."""
+    return 2 * F.size(F.array_intersect(ours, F.col("theirs"))) / (F.size(ours) + F.col("m"))
+
+
+def _units(d: DataFrame, vocabulary: list[str], most: int) -> DataFrame:
+    """d with `units` (kind, place, distinct bigrams) that some template's bounds let in, and `of_lines` and `of_paragraphs`, the unit of each word."""
+
+    def fit(kind: str, units: Column) -> Column:
+        """n distinct words make at least n - 1 distinct bigrams: units beyond every template's bounds get none."""
+        sized = F.transform(units, lambda u, i: F.struct(i.alias("place"), u.alias("words")))
+        sized = F.filter(sized, lambda u: (F.size(u["words"]) > 1) & (F.size(F.array_distinct(u["words"])) <= most + 1))
+        paired = F.transform(sized, lambda u: F.struct(F.lit(kind).alias("kind"), u["place"].alias("place"), F.array_distinct(_pairs(u["words"])).alias("ours")))
+        return F.filter(paired, lambda u: F.exists(u["ours"], lambda b: b.isin(vocabulary)))
+
+    for name, end in (("lines", "\n"), ("paragraphs", "\n[ \n]*\n")):
+        d = _once(d, name, F.transform(F.split("clean", end), _words))
+        d = _once(d, f"of_{name}", F.flatten(F.transform(name, lambda u, i: F.array_repeat(i, F.size(u)))))
+    several = F.when(F.size("paragraphs") > 1, F.col("paragraphs")).otherwise(F.slice("paragraphs", 1, 0))
+    return _once(d, "units", F.concat(fit("line", F.col("lines")), fit("paragraph", several), fit("text", F.array("words")))).drop("lines", "paragraphs", "words", "clean")
 
-    d = _once(docs.select("doc_id", normalised(F.col("text")).alias("clean")), "words", _words(F.col("clean")))
-    d = d.where(F.arrays_overlap("words", F.array(*map(F.lit, rare)).cast("array<string>")))
-    d = _once(d, "pairs", _pairs(F.col("words")))
-    d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(b.isin(vocabulary), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
-    d = _once(d, "held", F.array_distinct(F.transform("hits", lambda i: F.get("pairs", i))))
-    d = d.join(F.broadcast(known), F.size(F.array_intersect("held", "theirs")) >= F.col("need"))
-    d = _once(d, "at", F.filter("hits", lambda i: F.array_contains("theirs", F.get("pairs", i))))
 
-    def dice(pairs: Column) -> Column:
-        ours = F.array_distinct(pairs)
-        return 2 * F.size(F.array_intersect(ours, F.col("theirs"))) / (F.size(ours) + F.col("m"))
+def _matches(threshold: float) -> Column:
+    """(kind, place, dice) of the units that reach the threshold against the row's template; those outside its bounds can't."""
+    near = F.filter("units", lambda u: F.size(u["ours"]).between(F.col("need"), F.floor(F.col("m") * ((2 - threshold) / threshold) + 1e-9)))
+    scored = F.transform(near, lambda u: F.struct(u["kind"].alias("kind"), u["place"].alias("place"), _dice(u["ours"]).alias("dice")))
+    return F.filter(scored, lambda u: u["dice"] >= threshold)
+
+
+def _windows(d: DataFrame, threshold: float) -> DataFrame:
+    """d with `taken`: the best windows that don't overlap, without those that touch a matched unit."""
+    d = _once(d, "at", F.filter("hits", lambda i: F.array_contains("theirs", F.get("pairs", i))))
 
     # A window that can reach the threshold has `need` of the template's bigrams within `span` places.
     firsts = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda k: (k % F.col("step") == 0) & (F.get("at", k + F.col("need") - 1) - F.get("at", k) < F.col("span")))
@@ -222,24 +240,26 @@ def _windows(docs: DataFrame, sets: dict[str, list[str]], words: dict[str, list[
         rest = F.slice("at", k + F.col("need"), F.size("at"))
         return F.filter(rest, lambda e, i: (i % F.col("step") == 0) & (e - F.get("at", k) < F.col("span")))
 
+    def score(w: Column) -> Column:
+        dice = _dice(F.array_distinct(F.slice("pairs", w["s"] + 1, w["e"] - w["s"] + 1)))
+        return F.struct((-dice).alias("less"), (w["e"] - w["s"]).alias("long"), w["s"].alias("s"), w["e"].alias("e"))
+
     d = _once(d, "tried", F.flatten(F.transform(firsts, lambda k: F.transform(ends(k), lambda e: F.struct(F.get("at", k).alias("s"), e.alias("e"))))))
-    d = _once(d.where(F.size("tried") > 0), "scored", F.transform("tried", lambda w: F.struct((-dice(F.slice("pairs", w["s"] + 1, w["e"] - w["s"] + 1))).alias("less"), (w["e"] - w["s"]).alias("long"), w["s"].alias("s"), w["e"].alias("e"))))
+    d = _once(d, "scored", F.transform("tried", score))
     best = F.array_sort(F.filter("scored", lambda w: -w["less"] >= threshold))
     none = F.filter(F.col("scored"), lambda _: F.lit(False))
-    taken = F.aggregate(best, none, lambda acc, w: F.when(F.exists(acc, lambda a: (a["s"] <= w["e"] + 1) & (w["s"] <= a["e"] + 1)), acc).otherwise(F.concat(acc, F.array(w))))
-    d = _once(d, "taken", taken).where(F.size("taken") > 0)
-
-    # Words of each unit, and the unit of each word: what a unit matches is not found again.
-    for name, pieces in (("lines", F.split("clean", "\n")), ("paragraphs", F.split("clean", "\n[ \n]*\n"))):
-        d = _once(d, name, F.transform(pieces, _words))
-        d = _once(d, f"of_{name}", F.flatten(F.transform(name, lambda u, i: F.array_repeat(i, F.size(u)))))
-    whole = dice(F.col("pairs")) >= threshold
-    d = d.select("*", F.explode("taken").alias("w")).drop("taken", "scored", "tried")
-    found = whole
-    for name in ("lines", "paragraphs"):
-        for place in (F.col("w.s"), F.col("w.e") + 1):
-            found = found | (dice(_pairs(F.get(name, F.get(f"of_{name}", place)))) >= threshold)
-    return d.where(~found).select("doc_id", F.lit("window").alias("kind"), F.col("w.s").alias("place"), "license", (-F.col("w.less")).alias("dice"))
+    apart = F.aggregate(best, none, lambda acc, w: F.when(F.exists(acc, lambda a: (a["s"] <= w["e"] + 1) & (w["s"] <= a["e"] + 1)), acc).otherwise(F.concat(acc, F.array(w))))
+    d = _once(d, "apart", apart)
+
+    def touches(w: Column, u: Column) -> Column:
+        """What a unit matches is not found again: the window starts or ends in it."""
+        inside = u["kind"] == "text"
+        for kind, of in (("line", "of_lines"), ("paragraph", "of_paragraphs")):
+            for place in (w["s"], w["e"] + 1):
+                inside = inside | ((u["kind"] == kind) & (u["place"] == F.get(of, place)))
+        return inside
+
+    return _once(d, "taken", F.filter("apart", lambda w: ~F.exists("matched", lambda u: touches(w, u))))
 
 
 def document_licenses(docs: DataFrame, **options) -> DataFrame:
