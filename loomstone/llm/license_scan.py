@@ -10,6 +10,7 @@ of the template's bigrams are compared.
 
 from __future__ import annotations
 
+from json import dumps
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
@@ -155,20 +156,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     match, 2 / threshold - 1 times the template's; templates of over EXACT bigrams are tried at steps. Words are runs of a-z and 0-9
     after lower-casing A-Z; bigrams count once. Null and empty texts, and units of fewer than two words, match nothing.
     Repeated rows give repeated matches. An empty table gives an empty table. The templates are a parameter of fixed
-    size; they are the only thing that is broadcast. Everything happens within a document's row: it is split into words
+    size and part of the plan; nothing is joined or broadcast. Everything happens within a document's row: it is split into words
     once, and goes no further without enough of a template's bigrams, which every matching unit or window of it would hold.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     texts = {k: template_words(v) for k, v in ({**TEMPLATES, **MORE_TEMPLATES} if templates is None else templates).items()}
     sets = {k: template_bigrams(" ".join(v)) for k, v in texts.items()}
     sets = {k: v for k, v in sets.items() if v}
     rare = sorted(set().union(*[anchors(v, threshold) for v in sets.values()]))
     vocabulary = sorted({b for v in sets.values() for b in v})
-    rows = [
-        (k, len(v), bounds(len(v), threshold).start, floor((len(texts[k]) - 1) * (2 - threshold) / threshold + 1e-9), max(1, len(v) // 64) if len(v) > EXACT else 1, v)
-        for k, v in sets.items()
-    ]
-    known = spark.createDataFrame(rows, "license string, m int, need int, span int, step int, theirs array<string>")
+    rows = []
+    for k, v in sets.items():
+        span = floor((len(texts[k]) - 1) * (2 - threshold) / threshold + 1e-9)
+        step = max(1, len(v) // 64) if len(v) > EXACT else 1
+        rows.append({"license": k, "m": len(v), "need": bounds(len(v), threshold).start, "span": span, "step": step, "theirs": v})
+    known = F.from_json(F.lit(dumps(rows)), "array<struct<license: string, m: int, need: int, span: int, step: int, theirs: array<string>>>")
     most = max((bounds(len(v), threshold).stop - 1 for v in sets.values()), default=0)
 
     # A text without any of the anchors goes on its words alone, which take a split and no rewritten text.
@@ -179,7 +181,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(b.isin(vocabulary), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
     d = _once(d, "held", F.array_distinct(F.transform("hits", lambda i: F.get("pairs", i))))
     d = _units(d, vocabulary, most)
-    d = d.join(F.broadcast(known), F.size(F.array_intersect("held", "theirs")) >= F.col("need"))
+    near = F.filter(known, lambda t: F.size(F.array_intersect("held", t["theirs"])) >= t["need"])
+    d = d.select("*", F.explode(near).alias("t")).select("*", "t.*").drop("t", "held")
     d = _once(d, "matched", _matches(threshold))
     d = _windows(d, threshold)
     windows = F.transform("taken", lambda w: F.struct(F.lit("window").alias("kind"), w["s"].alias("place"), (-w["less"]).alias("dice")))
