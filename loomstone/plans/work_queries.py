@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import debts as D
 from loomstone.functions import priorities as P
 from loomstone.functions import scores as S
-from loomstone.operators import causal
+from loomstone.operators import causal, evidence
 from loomstone.plans.graph_queries import TREE, start, tree
 from loomstone.plans.registry import query
 
@@ -147,3 +147,59 @@ def _(t):
     cause = F.when(event % 3 == 0, named("e", event + 1 - event % 4))
     events = t.events.select(named("e", event).alias("id"), event.alias("seq"), cause.alias("cause"), named("f", F.col("user_id")).alias("source"))
     return causal.causal_edges(calls, events)
+
+
+CLAIMS = """
+WITH d AS (SELECT event_id, ['rebutting', 'undercutting', 'undermining'][event_id % 3 + 1] AS type, ['active', 'resolved'][user_id % 2 + 1] AS status,
+  ['full', 'partial', 'warning'][user_id % 3 + 1] AS severity, [user_id, event_id % 50] AS affected, user_id AS claim_a, event_id % 50 AS claim_b FROM events)
+"""
+
+
+def claims(t):
+    k, user = F.col("event_id"), F.col("user_id")
+    type_, status = pick(["rebutting", "undercutting", "undermining"], k % 3), pick(["active", "resolved"], user % 2)
+    severity = pick(["full", "partial", "warning"], user % 3)
+    return t.events.select("event_id", type_.alias("type"), status.alias("status"), severity.alias("severity"), F.array(user, k % 50).alias("affected"), user.alias("claim_a"), (k % 50).alias("claim_b"))
+
+
+@query("defeater_scan", CLAIMS + "SELECT event_id, type, severity FROM d WHERE status = 'active' AND type = 'undercutting' AND list_contains(affected, 7)")
+def _(t):
+    return evidence.defeaters(claims(t), type="undercutting", status="active", claim=7).select("event_id", "type", "severity")
+
+
+@query("contradiction_scan", CLAIMS + "SELECT event_id, claim_a, claim_b FROM d WHERE severity = 'partial' AND (claim_a = 7 OR claim_b = 7)")
+def _(t):
+    return evidence.contradictions(claims(t), severity="partial", claim=7).select("event_id", "claim_a", "claim_b")
+
+
+@query("epistemic_risks", """
+WITH r AS (SELECT p_partkey AS id, p_size / 50.0 * (1 - COALESCE(CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 11) / 10.0 END, 0.5)) * (1 + (p_partkey % 5) / 4.0) AS risk FROM part)
+SELECT id, round(risk, 6) AS risk, CASE WHEN round(risk, 9) >= 0.8 THEN 'critical' WHEN round(risk, 9) >= 0.6 THEN 'high' WHEN round(risk, 9) >= 0.4 THEN 'medium' ELSE 'low' END AS level
+FROM r WHERE round(risk, 9) >= 0.3""")
+def _(t):
+    k = F.col("p_partkey")
+    raw = t.part.select(k.alias("id"), (F.col("p_size") / 50).alias("load"), F.when(k % 3 > 0, k % 11 / 10).alias("confidence"), (k % 5 / 4).alias("vulnerability"))
+    risk = evidence.epistemic_risk("load", "confidence", "vulnerability")
+    # Rounded before it is held against edges: both engines' sums may differ in the last bit.
+    return raw.withColumn("risk", F.round(risk, 9)).where(F.col("risk") >= evidence.LEAST_RISK).select("id", F.round("risk", 6).alias("risk"), evidence.risk_level("risk").alias("level"))
+
+
+@query("progress_trend", """
+WITH s AS (SELECT user_id, value / 100 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events WHERE value IS NOT NULL),
+l AS (SELECT user_id, COUNT(*) AS periods, regr_slope(y, x) AS slope, regr_r2(y, x) AS fit, min(y) AS low, max(y) AS high FROM s GROUP BY user_id)
+SELECT user_id, CASE WHEN periods = 1 THEN CASE WHEN low > 0 THEN 'improving' ELSE 'stable' END WHEN slope > 0.05 THEN 'improving' WHEN slope < -0.05 THEN 'declining' ELSE 'stable' END AS trend,
+  round(CASE WHEN periods = 1 THEN low ELSE slope END, 6) AS rate, periods,
+  round(CASE WHEN periods = 1 THEN 0.1 WHEN low = high THEN 0 ELSE least(1.0, sqrt(fit) * least(1.0, periods / 10)) END, 6) AS confidence FROM l""")
+def _(t):
+    scored = t.events.withColumn("y", F.col("value") / 100)
+    out = evidence.progress_trend(scored, ["user_id"], ["ts", "event_id"], "y")
+    return out.withColumns({"rate": F.round("rate", 6), "confidence": F.round("confidence", 6)})
+
+
+@query("calibration_trend", """
+WITH r AS (SELECT user_id, value / 100 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events),
+c AS (SELECT *, COUNT(*) OVER (PARTITION BY user_id) AS samples FROM r WHERE n <= 5),
+h AS (SELECT user_id, max(samples) AS samples, avg(e) FILTER (n > samples // 2) - avg(e) FILTER (n <= samples // 2) AS better FROM c GROUP BY user_id)
+SELECT user_id, CASE WHEN better > 0.02 THEN 'improving' WHEN better < -0.02 THEN 'degrading' ELSE 'stable' END AS trend, samples FROM h""")
+def _(t):
+    return evidence.calibration_trend(t.events.withColumn("e", F.col("value") / 100), ["user_id"], [F.desc("ts"), F.desc("event_id")], "e")
