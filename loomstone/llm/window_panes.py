@@ -48,6 +48,9 @@ STREAM_SETTINGS = {
     PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A start is one batch: the panes that its rows make due wait for the next one's.
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # A start's state is many small stores: without space put by for each, and with what changed uploaded instead of whole stores.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
