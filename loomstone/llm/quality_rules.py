@@ -27,11 +27,13 @@ from loomstone.llm.textstats import COUNTS, with_counts
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 STATS = ["x_words", "x_length", "x_symbols", "x_dup_lines", "x_repeats"]
 #: Share of a group that the estimate rests on; chi-square quantile of a rejected distance.
-SUPPORT, CUTOFF = 0.75, 0.99999
-#: Below this spread a statistic counts as constant: a group of equal rows has no outliers by rounding alone.
-LEAST_SPREAD = np.array([0.5, 0.05, 0.04, 0.25, 0.15])
-#: Groups with fewer rows than this borrow all but a little of the covariance of the whole table.
-FEW = 40
+SUPPORT, CUTOFF = 0.75, 0.999
+#: Below this spread a statistic counts as constant: a group of equal rows has no outliers by rounding alone. Each is so small that its statistic can reject alone, whatever the size of the group.
+LEAST_SPREAD = np.array([0.5, 0.06, 0.03, 0.15, 0.12])
+#: Groups of about so many rows take half of their covariance from fixed spreads, LEAN times the least; smaller ones more.
+FEW, LEAN = 20, 2.0
+#: The error of measuring: one line, and the words of one window, may be repeated by chance.
+FREE_LINES, FREE_WORDS = 1, 3
 #: Starts of the concentration steps, and the relative fall of a log determinant that still counts as one.
 STARTS, LEAST_FALL = 3, 1e-5
 #: Parts of a range of distances; rows of a part that are no longer counted but listed.
@@ -67,16 +69,16 @@ def statistics(counts: DataFrame) -> DataFrame:
     """The transformed vector of each document, from its counts."""
     words = F.col("n_words") + 1.0
 
-    def root_share(part: str, whole):
-        """Square roots of shares: a few of many are near 0, and all of them is 1."""
-        return F.sqrt(F.col(part) / F.greatest(whole, F.lit(1)))
+    def root_share(part: str, whole, free: int = 0):
+        """Square roots of shares: a few of many are near 0, and all of them is near 1; the first `free` don't count."""
+        return F.sqrt(F.greatest(F.col(part) - free, F.lit(0)) / F.greatest(whole, F.lit(1)))
 
     return counts.withColumns({
         "x_words": F.log(words),
         "x_length": F.log((F.col("word_chars") + 5.0) / words),
         "x_symbols": root_share("n_symbols", F.greatest("word_chars", "n_symbols")),
-        "x_dup_lines": root_share("n_dup_lines", F.col("n_lines")),
-        "x_repeats": root_share("n_repeat_words", F.col("n_words")),
+        "x_dup_lines": root_share("n_dup_lines", F.col("n_lines"), FREE_LINES),
+        "x_repeats": root_share("n_repeat_words", F.col("n_words"), FREE_WORDS),
     })
 
 
@@ -261,7 +263,7 @@ def robust_groups(rows: DataFrame, by: list[str], stats: list[str], support: flo
             taken = (count * share).sum()
             mean = total[:p] / taken
             cov = (_square(total, p) / taken - np.outer(mean, mean)) * (consistent if need < n else 1.0)
-            cov = (1 - lean) * cov + lean * np.diag(np.maximum(np.diag(cov), 4 * floor**2))
+            cov = (1 - lean) * cov + lean * np.diag(np.maximum(np.diag(cov), LEAN * floor**2))
             cov = cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0))
             lower = np.linalg.cholesky(cov)
             det = 2 * float(np.log(np.diag(lower)).sum())
@@ -322,7 +324,7 @@ def _arrays(b: pa.RecordBatch, k: int, p: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def apply_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """One row per document: doc_id, the counts, base_failed, distance (squared, null where base_failed), kept.
+    """One row per document: doc_id, the counts, base_failed, kept, distance (squared, null where base_failed).
 
     Documents that fail a base rule are rejected first and take no part in the estimates. A null or empty text has no
     words and fails. A null lang or source is a group of its own. Groups of few rows lean on wide fixed spreads; equal
@@ -342,11 +344,11 @@ def apply_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         for b in batches:
             x, model = _arrays(b, len(by), p)
             d = _distance(x, model, p)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(np.zeros(len(d), bool)), pa.array(d), pa.array(d <= limit)], names=[*keep, "base_failed", "distance", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(np.zeros(len(d), bool)), pa.array(d <= limit), pa.array(d)], names=[*keep, "base_failed", "kept", "distance"])
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, distance double, kept boolean"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, distance double"
     tested = _with_models(passed, models, by, STATS, keep).mapInArrow(verdict, schema)
-    rejected = rows.where("base_failed").select(*keep, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    rejected = rows.where("base_failed").select(*keep, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return tested.unionByName(rejected)
 
 
