@@ -5,22 +5,25 @@ found across or within them. A unit and a template can only reach the threshold
 of the bigrams of the larger: units outside every template's bounds never get bigrams, and a unit is compared with a
 template within the template's bounds, if its document holds enough of the template's bigrams at all. A window that
 reaches t holds that many of the template's bigrams, and the best ones start and end with one: only windows between two
-of the template's bigrams are compared.
+of the template's bigrams are compared. As a window grows, its bigrams are counted on: one is new in the window if it
+occurred last before the window began.
 """
 
 from __future__ import annotations
 
 from json import dumps
 from math import ceil, floor
+from pathlib import Path
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import ready, table
 
 THRESHOLD = 0.85
-#: Templates of more bigrams than this have windows tried at every 64th part of them, not at every bigram.
-EXACT = 400
+#: Whole licenses, as text files beside this module: one template a file, named like it.
+TEXTS = Path(__file__).with_name("licenses")
 
 #: License texts and notices, by name.
 _MIT = (
@@ -86,8 +89,7 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
-#: Usual forms beyond those that the SQL knows.
-MORE_TEMPLATES = {
+TEMPLATES |= {
     "mit-named": "This project is licensed under the MIT License.",
     "apache-2-named": "This project is licensed under the Apache License 2.0.",
     "gpl-3-named": "This project is licensed under the GNU GPL v3.",
@@ -112,6 +114,8 @@ MORE_TEMPLATES = {
     "cc-by-sa-4-spdx": "SPDX-License-Identifier: CC-BY-SA-4.0",
 }
 
+TEMPLATES |= {f"{f.stem.lower()}-full": f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -150,45 +154,81 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     """(doc_id, kind, place, license, dice): a row for each unit and template at `threshold` or more.
 
     docs: doc_id, text (other columns are not read). Units: each line (kind 'line'), each paragraph between blank lines
-    ('paragraph', if there are several) and the whole text ('text'); place counts from 0. Beyond them the best windows of
+    ('paragraph', if there are several) and the whole text ('text'); place counts from 0. Beyond them windows of
     consecutive words that don't overlap ('window', place is the first word), across lines and paragraphs, unless they
     start or end in a unit that matches the same template already. A window has at most as many words as the longest
-    match, 2 / threshold - 1 times the template's; templates of over EXACT bigrams are tried at steps. Words are runs of a-z and 0-9
+    match, 2 / threshold - 1 times the template's. From left to right: where a window begins that reaches the threshold,
+    the best of the windows that begin within it and overlap is a match, and the best that fits before that one; the
+    search goes on after the match. Of windows with one beginning the best counts, of equal ones the shortest. One that
+    could begin a word earlier, with one more of the template's bigrams, doesn't begin. Words are runs of a-z and 0-9
     after lower-casing A-Z; bigrams count once. Null and empty texts, and units of fewer than two words, match nothing.
     Repeated rows give repeated matches. An empty table gives an empty table. The templates are a parameter of fixed
     size and part of the plan; nothing is joined or broadcast. Everything happens within a document's row: it is split into words
     once, and goes no further without enough of a template's bigrams, which every matching unit or window of it would hold.
     """
     ready(docs.sparkSession)
-    texts = {k: template_words(v) for k, v in ({**TEMPLATES, **MORE_TEMPLATES} if templates is None else templates).items()}
+    texts = {k: template_words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
     sets = {k: template_bigrams(" ".join(v)) for k, v in texts.items()}
     sets = {k: v for k, v in sets.items() if v}
-    rare = sorted(set().union(*[anchors(v, threshold) for v in sets.values()]))
-    vocabulary = sorted({b for v in sets.values() for b in v})
+    vocabulary = _Bits({b for v in sets.values() for b in v})
     rows = []
     for k, v in sets.items():
         span = floor((len(texts[k]) - 1) * (2 - threshold) / threshold + 1e-9)
-        step = max(1, len(v) // 64) if len(v) > EXACT else 1
-        rows.append({"license": k, "m": len(v), "need": bounds(len(v), threshold).start, "span": span, "step": step, "theirs": v})
-    known = F.from_json(F.lit(dumps(rows)), "array<struct<license: string, m: int, need: int, span: int, step: int, theirs: array<string>>>")
+        rows.append({"license": k, "m": len(v), "need": bounds(len(v), threshold).start, "span": span, "theirs": v})
+    known = F.from_json(F.lit(dumps(rows)), "array<struct<license: string, m: int, need: int, span: int, theirs: array<string>>>")
     most = max((bounds(len(v), threshold).stop - 1 for v in sets.values()), default=0)
 
     # A text without any of the anchors goes on its words alone, which take a split and no rewritten text.
     words = F.filter(F.split(F.translate("text", _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
-    d = _once(docs.select("doc_id", "text"), "words", words).where(F.arrays_overlap("words", F.array(*map(F.lit, rare)).cast("array<string>")))
+    d = _once(docs.select("doc_id", "text"), "words", words).where(_may_match(sets, threshold))
     d = d.select("doc_id", "words", normalised(F.col("text")).alias("clean"))
     d = _once(d, "pairs", _pairs(F.col("words")))
-    d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(b.isin(vocabulary), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
+    d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(vocabulary.may_have(b), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
     d = _once(d, "held", F.array_distinct(F.transform("hits", lambda i: F.get("pairs", i))))
     d = _units(d, vocabulary, most)
+    d = _around(d)
     near = F.filter(known, lambda t: F.size(F.array_intersect("held", t["theirs"])) >= t["need"])
     d = d.select("*", F.explode(near).alias("t")).select("*", "t.*").drop("t", "held")
     d = _once(d, "matched", _matches(threshold))
-    d = _windows(d, threshold)
-    windows = F.transform("taken", lambda w: F.struct(F.lit("window").alias("kind"), w["s"].alias("place"), (-w["less"]).alias("dice")))
+    d = _windows(d, vocabulary, threshold)
+    windows = F.transform("taken", lambda w: F.struct(F.lit("window").alias("kind"), w["s"].alias("place"), w["dice"].alias("dice")))
     return d.select("doc_id", "license", F.explode(F.concat("matched", windows)).alias("u")).select("doc_id", "u.kind", "u.place", "license", "u.dice")
 
 
+class _Bits:
+    """A set of strings as bits of their hashes, one literal of the plan: what is in it is always found, and of a hundred others about one is too. Only a first sieve."""
+
+    LOG = 20
+
+    def __init__(self, strings: set[str]):
+        words = [0] * (1 << self.LOG - 6)
+        for b in strings:
+            at = xxhash.xxh64_intdigest(b.encode(), 42) & (1 << self.LOG) - 1
+            words[at >> 6] |= 1 << (at & 63)
+        self.bits = F.from_json(F.lit(dumps([w - (1 << 64) * (w >> 63) for w in words])), "array<long>")
+
+    def may_have(self, b: Column) -> Column:
+        at = F.xxhash64(b)
+        word = F.get(self.bits, F.shiftrightunsigned(at.bitwiseAND((1 << self.LOG) - 1), 6).cast("int"))
+        return F.getbit(word, at.bitwiseAND(63).cast("int")) == 1
+
+
+#: Templates of more bigrams are only looked for in texts that have as many words as a match needs.
+LONG = 400
+
+
+def _may_match(sets: dict[str, list[str]], threshold: float) -> Column:
+    """Does the row with these `words` have an anchor of a template, and words enough for one of the long templates?"""
+    some = F.lit(False)
+    for long in (False, True):
+        these = [v for v in sets.values() if (len(v) > LONG) == long]
+        if these:
+            rare = sorted(set().union(*[anchors(v, threshold) for v in these]))
+            least = min(bounds(len(v), threshold).start for v in these)
+            some = some | ((F.size("words") > least) & F.arrays_overlap("words", F.from_json(F.lit(dumps(rare)), "array<string>")))
+    return some
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once, however often it is read."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -208,7 +248,7 @@ def _dice(ours: Column) -> Column:
     return 2 * F.size(F.array_intersect(ours, F.col("theirs"))) / (F.size(ours) + F.col("m"))
 
 
-def _units(d: DataFrame, vocabulary: list[str], most: int) -> DataFrame:
+def _units(d: DataFrame, vocabulary: _Bits, most: int) -> DataFrame:
     """d with `units` (kind, place, distinct bigrams) that some template's bounds let in, and `of_lines` and `of_paragraphs`, the unit of each word."""
 
     def fit(kind: str, units: Column) -> Column:
@@ -216,7 +256,7 @@ def _units(d: DataFrame, vocabulary: list[str], most: int) -> DataFrame:
         sized = F.transform(units, lambda u, i: F.struct(i.alias("place"), u.alias("words")))
         sized = F.filter(sized, lambda u: (F.size(u["words"]) > 1) & (F.size(F.array_distinct(u["words"])) <= most + 1))
         paired = F.transform(sized, lambda u: F.struct(F.lit(kind).alias("kind"), u["place"].alias("place"), F.array_distinct(_pairs(u["words"])).alias("ours")))
-        return F.filter(paired, lambda u: F.exists(u["ours"], lambda b: b.isin(vocabulary)))
+        return F.filter(paired, lambda u: F.exists(u["ours"], vocabulary.may_have))
 
     for name, end in (("lines", "\n"), ("paragraphs", "\n[ \n]*\n")):
         d = _once(d, name, F.transform(F.split("clean", end), _words))
@@ -232,27 +272,79 @@ def _matches(threshold: float) -> Column:
     return F.filter(scored, lambda u: u["dice"] >= threshold)
 
 
-def _windows(d: DataFrame, threshold: float) -> DataFrame:
-    """d with `taken`: the best windows that don't overlap, without those that touch a matched unit."""
-    d = _once(d, "at", F.filter("hits", lambda i: F.array_contains("theirs", F.get("pairs", i))))
+def _around(d: DataFrame) -> DataFrame:
+    """d with `around`: of each bigram the places (before, after) where it occurs last before, and next; -1 and a place beyond all if it doesn't."""
+    far = F.lit((1 << 31) - 1)
+    d = _once(d, "in_order", F.array_sort(F.transform("pairs", lambda b, i: F.struct(b.alias("b"), i.alias("i")))))
 
-    # A window that can reach the threshold has `need` of the template's bigrams within `span` places.
-    firsts = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda k: (k % F.col("step") == 0) & (F.get("at", k + F.col("need") - 1) - F.get("at", k) < F.col("span")))
+    def beside(x: Column, k: Column, none: Column) -> Column:
+        other = F.get("in_order", k)
+        return F.coalesce(F.when(other["b"] == x["b"], other["i"]), none)
+
+    placed = F.transform("in_order", lambda x, k: F.struct(x["i"].alias("i"), F.when(k > 0, beside(x, k - 1, F.lit(-1))).otherwise(-1).alias("before"), beside(x, k + 1, far).alias("after")))
+    return _once(d, "around", F.array_sort(placed)).drop("in_order")
 
-    def ends(k: Column) -> Column:
-        rest = F.slice("at", k + F.col("need"), F.size("at"))
-        return F.filter(rest, lambda e, i: (i % F.col("step") == 0) & (e - F.get("at", k) < F.col("span")))
 
-    def score(w: Column) -> Column:
-        dice = _dice(F.array_distinct(F.slice("pairs", w["s"] + 1, w["e"] - w["s"] + 1)))
-        return F.struct((-dice).alias("less"), (w["e"] - w["s"]).alias("long"), w["s"].alias("s"), w["e"].alias("e"))
+def _windows(d: DataFrame, vocabulary: _Bits, threshold: float) -> DataFrame:
+    """d with `taken`: the matching windows (s, e, dice), without those that touch a matched unit."""
+    d = _once(d, "at", F.when(F.exists("matched", lambda u: u["kind"] == "text"), F.slice("hits", 1, 0)).otherwise(F.filter("hits", lambda i: F.array_contains("theirs", F.get("pairs", i)))))
+    # Of each place: before, after, and whether the template has its bigram.
+    d = _once(d, "marks", F.when(F.size("at") < F.col("need"), F.array().cast("array<struct<before: int, after: int, hit: boolean>>")).otherwise(F.transform("pairs", lambda b, i: F.struct(F.get("around", i)["before"].alias("before"), F.get("around", i)["after"].alias("after"), F.when(vocabulary.may_have(b), F.array_contains("theirs", b)).otherwise(False).alias("hit")))))
 
-    d = _once(d, "tried", F.flatten(F.transform(firsts, lambda k: F.transform(ends(k), lambda e: F.struct(F.get("at", k).alias("s"), e.alias("e"))))))
-    d = _once(d, "scored", F.transform("tried", score))
-    best = F.array_sort(F.filter("scored", lambda w: -w["less"] >= threshold))
-    none = F.filter(F.col("scored"), lambda _: F.lit(False))
-    apart = F.aggregate(best, none, lambda acc, w: F.when(F.exists(acc, lambda a: (a["s"] <= w["e"] + 1) & (w["s"] <= a["e"] + 1)), acc).otherwise(F.concat(acc, F.array(w))))
-    d = _once(d, "apart", apart)
+    def best(s: Column, end: Column) -> Column:
+        """The best window (s, e, dice) that begins at s and ends before `end`; dice 0 if there is none."""
+
+        def grow(w: Column, x: Column) -> Column:
+            new = F.when(x["before"] < s, 1).otherwise(0)
+            d, h = w["d"] + new, w["h"] + F.when(x["hit"], new).otherwise(0)
+            dice = 2 * h / (d + F.col("m"))
+            better = x["hit"] & (dice > w["dice"])
+            return F.struct(d.alias("d"), h.alias("h"), F.when(better, dice).otherwise(w["dice"]).alias("dice"), F.when(better, w["i"]).otherwise(w["e"]).alias("e"), (w["i"] + 1).alias("i"))
+
+        start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("h"), F.lit(0.0).cast("double").alias("dice"), s.alias("e"), s.alias("i"))
+        return F.aggregate(F.slice("marks", s + 1, F.least(F.col("span"), end - s)), start, grow, lambda w: F.struct(s.alias("s"), w["e"].alias("e"), w["dice"].alias("dice")))
+
+    # A window that can reach the threshold has `need` of the template's bigrams within `span` places.
+    dense = F.transform(F.filter(F.transform("at", lambda s, k: F.struct(s.alias("s"), F.get("at", k + F.col("need") - 1).alias("to"))), lambda x: x["to"] - x["s"] < F.col("span")), lambda x: x["s"])
+
+    def begins(s: Column) -> Column:
+        earlier = F.get("marks", s - 1)
+        return (s == 0) | ~F.coalesce(earlier["hit"], F.lit(False)) | (earlier["after"] - s < F.col("span")) | (s - F.get("marks", s)["before"] < F.col("span"))
+
+    d = _once(d, "starts", F.when(F.size("marks") > 0, F.filter(dense, begins)).otherwise(F.slice("hits", 1, 0)))
+    d = _once(d, "bests", F.filter(F.transform("starts", lambda s: best(s, F.size("marks"))), lambda w: w["dice"] >= threshold))
+
+    # What is being looked at: the window `now`, the beginning `first` and end `block` of the first one there.
+    kind = "struct<s: int, e: int, dice: double, first: int, block: int>"
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
+
+    def look(acc: Column, w: Column) -> Column:
+        now = acc["now"]
+        fresh = F.struct(w["s"].alias("s"), w["e"].alias("e"), w["dice"].alias("dice"), w["s"].alias("first"), w["e"].alias("block"))
+        better = F.struct(w["s"].alias("s"), w["e"].alias("e"), w["dice"].alias("dice"), now["first"].alias("first"), now["block"].alias("block"))
+        over = w["s"] > F.least(now["block"], now["e"] + 1)
+        closed = F.concat(acc["done"], F.array(now))
+        ahead = (w["dice"] > now["dice"]) | ((w["dice"] == now["dice"]) & (w["e"] - w["s"] < now["e"] - now["s"]))
+        blocked = F.coalesce(w["s"] <= F.try_element_at(acc["done"], F.lit(-1))["e"] + 1, F.lit(False))
+        return (
+            F.when(now.isNull(), F.struct(acc["done"].alias("done"), F.when(~blocked, fresh).cast(kind).alias("now")))
+            .when(over, F.struct(closed.alias("done"), F.when(w["s"] > now["e"] + 1, fresh).cast(kind).alias("now")))
+            .otherwise(F.struct(acc["done"].alias("done"), F.when(ahead, better).otherwise(now).cast(kind).alias("now")))
+        )
+
+    d = _once(d, "apart", F.aggregate("bests", none, look, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))))
+
+    def ordered(w: Column) -> Column:
+        return F.struct((-w["dice"]).alias("less"), (w["e"] - w["s"]).alias("long"), w["s"].alias("s"), w["e"].alias("e"))
+
+    def before(w: Column) -> Column:
+        """The best window between the beginning of what was looked at and the match: there is room for one at most."""
+        there = F.filter("bests", lambda b: (b["s"] >= w["first"]) & (b["s"] + F.col("need") < w["s"]))
+        return F.get(F.array_sort(F.transform(there, lambda b: ordered(best(b["s"], w["s"] - 1)))), 0)
+
+    gaps = F.filter(F.transform(F.filter("apart", lambda w: w["s"] - w["first"] > F.col("need")), before), lambda w: F.coalesce(-w["less"] >= threshold, F.lit(False)))
+    whole = F.transform("apart", lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["dice"].alias("dice")))
+    d = _once(d, "parted", F.concat(whole, F.transform(gaps, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), (-w["less"]).alias("dice")))))
 
     def touches(w: Column, u: Column) -> Column:
         """What a unit matches is not found again: the window starts or ends in it."""
@@ -262,7 +354,7 @@ def _windows(d: DataFrame, threshold: float) -> DataFrame:
                 inside = inside | ((u["kind"] == kind) & (u["place"] == F.get(of, place)))
         return inside
 
-    return _once(d, "taken", F.filter("apart", lambda w: ~F.exists("matched", lambda u: touches(w, u))))
+    return _once(d, "taken", F.filter("parted", lambda w: ~F.exists("matched", lambda u: touches(w, u))))
 
 
 def document_licenses(docs: DataFrame, **options) -> DataFrame:
@@ -281,20 +373,22 @@ def op3_license_scan(spark, sf_dir):
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"('{k}', {template_bigrams(v)!r})" for k, v in TEMPLATES.items())
-    most = max(n for v in TEMPLATES.values() for n in bounds(len(template_bigrams(v)), THRESHOLD))
-    return f"""
-WITH templates(license, theirs) AS (VALUES {rows}),
-clean AS (SELECT doc_id, regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
+    rows = ",\n  ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    words = "string_split(trim(regexp_replace(translate({}, '{}', '{}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    bigrams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH texts(license, text) AS (VALUES {rows}),
+templates AS (SELECT license, {bigrams} AS theirs FROM (SELECT license, {words.format("text", _UPPER, _LOWER)} AS w FROM texts)),
+clean AS (SELECT doc_id, regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents),
 units AS (
   SELECT doc_id, 'line' AS kind, generate_subscripts(string_split(t, chr(10)), 1) AS place, unnest(string_split(t, chr(10))) AS unit FROM clean
   UNION ALL
-  SELECT doc_id, 'paragraph', generate_subscripts(p, 1), unnest(p) FROM (SELECT doc_id, string_split_regex(t, '\\n[ \\n]*\\n') AS p FROM clean) WHERE len(p) > 1
+  SELECT doc_id, 'paragraph', generate_subscripts(p, 1), unnest(p) FROM (SELECT doc_id, string_split_regex(t, '\n[ \n]*\n') AS p FROM clean) WHERE len(p) > 1
   UNION ALL
   SELECT doc_id, 'text', 0, t FROM clean),
-words AS (SELECT doc_id, kind, place, string_split(trim(regexp_replace(unit, '[ \\n]+', ' ', 'g')), ' ') AS w FROM units),
-pairs AS (SELECT doc_id, kind, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ours FROM words WHERE len(w) > 1 AND len(list_distinct(w)) <= {most + 1}),
-found AS (
+words AS (SELECT doc_id, kind, place, string_split(trim(regexp_replace(unit, '[ \n]+', ' ', 'g')), ' ') AS w FROM units),
+pairs AS (SELECT doc_id, kind, place, {bigrams} AS ours FROM words WHERE len(w) > 1),
+found AS (  -- beyond these bounds 2 * min(a, b) / (a + b) is below the threshold
   SELECT doc_id, kind, place, license, 2 * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs)) AS dice
   FROM pairs, templates WHERE len(ours) BETWEEN len(theirs) * 0.73 AND len(theirs) * 1.36),
 kept AS (SELECT * FROM found WHERE dice >= {THRESHOLD}),

@@ -8,6 +8,7 @@ import random
 import re
 import tempfile
 import textwrap
+import time
 
 import duckdb
 import numpy as np
@@ -287,6 +288,78 @@ def test_license_notices_among_other_words(spark):
     assert all(name in got[i]["licenses"].split(",") if name else got[i]["license"] is None for i, name in enumerate(known.values())), got
 
 
+def plain_windows(words, template, threshold):
+    """The rule of windows, with every window's bigrams counted anew."""
+    pairs, theirs = [f"{a} {b}" for a, b in zip(words, words[1:])], set(license_scan.template_bigrams(template))
+    n, m = len(pairs), len(theirs)
+    need, span = license_scan.bounds(m, threshold).start, int((len(license_scan.template_words(template)) - 1) * (2 - threshold) / threshold + 1e-9)
+    at = [i for i in range(n) if pairs[i] in theirs]
+
+    def best(s, end):
+        found = [(-2 * len(set(pairs[s : e + 1]) & theirs) / (len(set(pairs[s : e + 1])) + m), e - s, s, e) for e in at if s <= e < min(end, s + span)]
+        return min(found, default=(0, 0, s, s))
+
+    starts = [s for k, s in enumerate(at) if k + need <= len(at) and at[k + need - 1] - s < span]
+    starts = [s for s in starts if s == 0 or pairs[s - 1] not in theirs or pairs[s - 1] in pairs[s : s + span] or pairs[s] in pairs[max(0, s - span + 1) : s]]
+    bests = [w for w in (best(s, n) for s in starts) if -w[0] >= threshold]
+    out, last = [], -2
+    while True:
+        left = [w for w in bests if w[2] > last + 1]
+        if not left:
+            return sorted((s, round(-less, 9)) for less, _, s, _ in out)
+        now, (_, _, first, block) = left[0], left[0]
+        for w in left[1:]:
+            if w[2] > min(block, now[3] + 1):
+                break
+            now = min(now, w, key=lambda x: (x[0], x[1]))
+        gap = min((best(w[2], now[2] - 1) for w in bests if first <= w[2] and w[2] + need < now[2]), default=(0,)) if now[2] - first > need else (0,)
+        out += [now] + [gap] * (-gap[0] >= threshold)
+        last = now[3]
+
+
+def test_license_windows_as_brute_force(spark):
+    rng, rows, texts = random.Random(11), [], {f"t{k}": "" for k in range(4)}
+    for k, n in enumerate((3, 9, 14, 30)):
+        texts[f"t{k}"] = " ".join(rng.choice("abcdefgh" if k < 3 else "abcdefghijklmnopqrstuvwxyz") + str(k) for _ in range(n))
+    for _ in range(160):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            t = texts[f"t{rng.randrange(4)}"].split()
+            i, j = sorted((rng.randrange(len(t)), rng.randrange(len(t) + 1))) if rng.random() < 0.5 else (0, len(t))
+            words += [w if rng.random() > 0.06 else "x" for w in t[i:j]] + ["y"] * rng.choice([0, 0, 1, 3]) + [f"z{rng.randrange(90)}" for _ in range(rng.choice([0, 0, 2, 9]))]
+        words = ["q0", "q1", "q2", *words, "q3", "q4", "q5", "q6"]
+        rows.append(words)
+    df = spark.createDataFrame([(i, " ".join(w), "", "", 0) for i, w in enumerate(rows)], DOC)
+    found = collections.defaultdict(list)
+    whole = set()
+    for r in license_scan.scan_licenses(df, texts, 0.85).collect():
+        found[r["doc_id"], r["license"]].append((r["place"], round(r["dice"], 9)))
+        whole |= {(r["doc_id"], r["license"])} if r["kind"] != "window" else set()
+    want = {(i, k): got for i, w in enumerate(rows) for k, t in texts.items() if (i, k) not in whole and (got := plain_windows(w, t, 0.85))}
+    assert {k: sorted(v) for k, v in found.items() if k not in whole} == want and len(want) > 60
+
+
+def test_many_licenses_in_one_document(spark):
+    """A hundred texts one after the other, each found, in time that grows with the text."""
+    mit = license_scan.TEMPLATES["mit-text"]
+    df = spark.createDataFrame([(1, f"begin {mit} " + " ".join(f"x{i} y{i} z{i} {mit}" for i in range(99)), "", "", 0)], DOC)
+    assert [r["place"] for r in license_scan.scan_licenses(df.withColumn("text", F.lit("warm up " + mit))).collect()] != []
+    begin = time.time()
+    found = [r for r in license_scan.scan_licenses(df).collect() if r["license"] == "mit-text"]
+    assert len(found) == 100 and all(r["dice"] == 1 for r in found)
+    assert time.time() - begin < 30
+
+
+def test_full_licenses(spark):
+    t = license_scan.TEMPLATES
+    full = [k for k in t if k.endswith("-full")]
+    assert len(full) == 7
+    rows = [(i, t[k], "", "", 0) for i, k in enumerate(full)] + [(10, "our own words first\n" + t["apache-2.0-full"] + "\nand at last some more of them " + " ".join(f"w{i}" for i in range(900)), "", "", 0)]
+    got = {r["doc_id"]: r for r in license_scan.document_licenses(spark.createDataFrame(rows, DOC)).collect()}
+    assert [got[i]["license"] for i in range(7)] == full and all(got[i]["dice"] == 1 for i in range(7))
+    assert got[10]["license"] == "apache-2.0-full"
+
+
 @pytest.mark.parametrize("m", [1, 5, 40, 200])
 def test_license_bounds_are_exact(m):
     inside = license_scan.bounds(m, 0.85)
