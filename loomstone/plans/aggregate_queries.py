@@ -331,19 +331,10 @@ def _(t):
     return t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("commits"), r6(F.avg(F.col("l_discount") * 10)).alias("complexity"), r6(F.avg((F.col("l_returnflag") == "R").cast("double"))).alias("structural"))
 
 
-@query("evolution_timeline", "SELECT * FROM (SELECT o_custkey AS id, o_orderdate AS at, 'order' AS kind FROM orders WHERE o_custkey < 50 UNION ALL SELECT user_id, ts, event_type FROM events WHERE user_id < 50)")
+@query("evolution_timeline", "SELECT * FROM (SELECT o_custkey AS id, o_orderdate AS at, 'order' AS kind FROM orders UNION ALL SELECT user_id, ts, event_type FROM events)")
 def _(t):
-    return timeline(t.orders.where("o_custkey < 50"), t.events.where("user_id < 50"))
-
-
-@query("evolution_timeline_all")
-def _(t):
-    return timeline(t.orders, t.events)
-
-
-def timeline(orders, events):
-    orders = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"))
-    return orders.unionByName(events.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))).orderBy("id", "at", "kind")
+    orders = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"))
+    return orders.unionByName(t.events.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))).orderBy("id", "at", "kind")
 
 
 @query("isotonic_calibration")

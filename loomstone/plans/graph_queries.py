@@ -78,19 +78,10 @@ def _(t):
     return G.cycles(edges(t), 3)
 
 
-@query("graph_scc", "WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS src, CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey - 4 ELSE s_suppkey + 1 END AS dst FROM supplier WHERE s_suppkey % 7 <> 0), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS (SELECT id, least(id, COALESCE((SELECT min(a.dst) FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src = id), id)) AS component FROM n) SELECT id, component, COUNT(*) OVER (PARTITION BY component) AS size FROM c")
+@query("graph_scc", "WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS src, CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey - 4 ELSE s_suppkey + 1 END AS dst FROM supplier), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS (SELECT id, least(id, COALESCE((SELECT min(a.dst) FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src = id), id)) AS component FROM n) SELECT id, component, COUNT(*) OVER (PARTITION BY component) AS size FROM c")
 def _(t):
-    return G.strong_components(rings_of_five(t.supplier.where("s_suppkey % 7 <> 0")))
-
-
-@query("graph_scc_all")
-def _(t):
-    return G.strong_components(rings_of_five(t.supplier))
-
-
-def rings_of_five(suppliers):
     k = F.col("s_suppkey")
-    return suppliers.select(k.alias("src"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("dst"))
+    return G.strong_components(t.supplier.select(k.alias("src"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("dst")))
 
 
 def _sweeps(n: int) -> str:
@@ -110,13 +101,7 @@ def _(t):
     return G.eigenvector(edges(t), rounds=8)
 
 
-@query("closeness_bounded", TREE + ", b AS (SELECT p_partkey AS root, p_partkey AS id, 0 AS depth FROM part WHERE p_partkey < 60 UNION SELECT root, e.dst, depth + 1 FROM b JOIN e ON e.src = b.id WHERE depth < 4), m AS (SELECT root, id, min(depth) AS depth FROM b GROUP BY 1, 2) SELECT root AS id, round(CASE WHEN COUNT(*) > 1 THEN (COUNT(*) - 1) / SUM(depth) ELSE 0.0 END, 6) AS closeness FROM m GROUP BY root")
-def _(t):
-    few = t.part.where("p_partkey < 60").select(F.col("p_partkey").alias("id"))
-    return G.closeness(tree(t), 4, few).withColumn("closeness", r6("closeness"))
-
-
-@query("closeness_bounded_all")
+@query("closeness_bounded", TREE + ", b AS (SELECT src AS root, src AS id, 0 AS depth FROM (SELECT src FROM e UNION SELECT dst FROM e) UNION SELECT root, e.dst, depth + 1 FROM b JOIN e ON e.src = b.id WHERE depth < 4), m AS (SELECT root, id, min(depth) AS depth FROM b GROUP BY 1, 2) SELECT root AS id, round(CASE WHEN COUNT(*) > 1 THEN (COUNT(*) - 1) / SUM(depth) ELSE 0.0 END, 6) AS closeness FROM m GROUP BY root")
 def _(t):
     return G.closeness(tree(t), 4).withColumn("closeness", r6("closeness"))
 

@@ -54,20 +54,11 @@ def _(t):
     return I.edge_boost(e).withColumn("boost", r6("boost"))
 
 
-@query("feedback_loops", "WITH k AS (SELECT s_suppkey AS id, s_suppkey - s_suppkey % 4 AS c FROM supplier WHERE s_suppkey < 40) SELECT c AS component, COUNT(*) AS size, round(1.0 / (COUNT(*) - 1), 6) AS density, CASE WHEN COUNT(*) = 2 THEN 'mutual_recursion' WHEN 1.0 / (COUNT(*) - 1) > 0.7 THEN 'state_cycle' ELSE 'circular_import' END AS kind FROM k GROUP BY c HAVING COUNT(*) = 4")
+@query("feedback_loops", "WITH k AS (SELECT s_suppkey AS id, s_suppkey - s_suppkey % 4 AS c FROM supplier) SELECT c AS component, COUNT(*) AS size, round(1.0 / (COUNT(*) - 1), 6) AS density, CASE WHEN COUNT(*) = 2 THEN 'mutual_recursion' WHEN 1.0 / (COUNT(*) - 1) > 0.7 THEN 'state_cycle' ELSE 'circular_import' END AS kind FROM k GROUP BY c HAVING COUNT(*) = 4")
 def _(t):
-    return supplier_loops(t.supplier.where("s_suppkey < 40"))
-
-
-@query("feedback_loops_all")
-def _(t):
-    return supplier_loops(t.supplier)
-
-
-def supplier_loops(suppliers):
     k = F.col("s_suppkey")
-    ring = suppliers.select(k.alias("src"), F.when(k % 4 == 3, k - 3).otherwise(k + 1).alias("dst"))
-    ring = ring.join(suppliers.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
+    ring = t.supplier.select(k.alias("src"), F.when(k % 4 == 3, k - 3).otherwise(k + 1).alias("dst"))
+    ring = ring.join(t.supplier.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
     return I.feedback_loops(G.strong_components(ring), ring).withColumn("density", r6("density"))
 
 

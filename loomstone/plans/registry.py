@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from loomstone.plans import aggregate_queries, graph_queries, importance_queries, insight_queries, rank_queries, scalar_queries, scan_queries, stream_queries, work_queries  # noqa: F401
+    from loomstone.plans import aggregate_queries, flow_queries, graph_queries, importance_queries, insight_queries, rank_queries, scalar_queries, scan_queries, stream_queries, work_queries  # noqa: F401
 
     return {k: (lambda spark, folder, f=f: f(Tables(spark, folder))) for k, f in PLANS.items()}

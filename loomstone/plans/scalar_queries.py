@@ -162,18 +162,9 @@ def _(t):
     return outcomes(t).select("id", r6(low).alias("low"), r6(high).alias("high"))
 
 
-@query("bayes_ordered_fold", "WITH RECURSIVE x AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_returnflag <> 'R' AS ok FROM lineitem WHERE l_orderkey <= 2000), f AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS i, CAST(0.5 AS DOUBLE) AS p FROM x UNION ALL SELECT f.l_orderkey, x.i, least(0.95, greatest(0.05, p + 0.7 * (CASE WHEN ok THEN p * 0.85 / (p * 0.85 + (1 - p) * 0.35) ELSE p * (1 - 0.85) / (p * (1 - 0.85) + (1 - p) * (1 - 0.35)) END - p))) FROM f JOIN x ON x.l_orderkey = f.l_orderkey AND x.i = f.i + 1) SELECT l_orderkey, round(arg_max(p, i), 6) AS p FROM f GROUP BY 1")
+@query("bayes_ordered_fold", "WITH RECURSIVE x AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_returnflag <> 'R' AS ok FROM lineitem), f AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS i, CAST(0.5 AS DOUBLE) AS p FROM x UNION ALL SELECT f.l_orderkey, x.i, least(0.95, greatest(0.05, p + 0.7 * (CASE WHEN ok THEN p * 0.85 / (p * 0.85 + (1 - p) * 0.35) ELSE p * (1 - 0.85) / (p * (1 - 0.85) + (1 - p) * (1 - 0.35)) END - p))) FROM f JOIN x ON x.l_orderkey = f.l_orderkey AND x.i = f.i + 1) SELECT l_orderkey, round(arg_max(p, i), 6) AS p FROM f GROUP BY 1")
 def _(t):
-    return ordered_folds(t.lineitem.where("l_orderkey <= 2000"))
-
-
-@query("bayes_ordered_fold_all")
-def _(t):
-    return ordered_folds(t.lineitem)
-
-
-def ordered_folds(lines):
-    ordered = lines.withColumn("ok", F.col("l_returnflag") != "R").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "ok"))).alias("o"))
+    ordered = t.lineitem.withColumn("ok", F.col("l_returnflag") != "R").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "ok"))).alias("o"))
     return ordered.select("l_orderkey", r6(C.bayes_fold(F.lit(0.5), F.transform("o", lambda x: x["ok"]))).alias("p"))
 
 

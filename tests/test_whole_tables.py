@@ -21,7 +21,7 @@ def run(spark, sf):
 
 
 def test_fold_of_all_orders(run):
-    t, got = run("bayes_ordered_fold_all")
+    t, got = run("bayes_ordered_fold")
     lines = defaultdict(list)
     for r in t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag").collect():
         lines[r[0]].append(tuple(r[1:]))
@@ -35,7 +35,7 @@ def test_fold_of_all_orders(run):
 
 
 def test_closeness_of_all_nodes(run):
-    t, got = run("closeness_bounded_all")
+    t, got = run("closeness_bounded")
     to, ids = defaultdict(set), set()
     for a, b in tree(t).select("src", "dst").collect():
         ids |= {a, b}
@@ -51,19 +51,19 @@ def test_closeness_of_all_nodes(run):
 
 
 def test_timeline_of_all_entities(run):
-    t, got = run("evolution_timeline_all")
+    t, got = run("evolution_timeline")
     want = [(a, b, "order") for a, b in t.orders.select("o_custkey", "o_orderdate").collect()] + [tuple(r) for r in t.events.select("user_id", "ts", "event_type").collect()]
     assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_loops_of_all_suppliers(run, sf):
-    t, got = run("feedback_loops_all", sf.replace("sf0.001", "sf0.01"))
+    t, got = run("feedback_loops", sf.replace("sf0.001", "sf0.01"))
     ids = {r[0] for r in t.supplier.select("s_suppkey").collect()}
     assert len(ids) > 40 and {r["component"]: r["size"] for r in got} == {k: 4 for k in ids if k % 4 == 0 and {k + 1, k + 2, k + 3} <= ids}
 
 
 def test_components_of_all_suppliers(run, sf):
-    t, got = run("graph_scc_all", sf.replace("sf0.001", "sf0.01"))
+    t, got = run("graph_scc", sf.replace("sf0.001", "sf0.01"))
     ids = {r[0] for r in t.supplier.select("s_suppkey").collect()}
     whole = {k for k in ids if {k - k % 5 + i for i in range(5)} <= ids}
     assert {r["id"]: (r["component"], r["size"]) for r in got if r["id"] in whole} == {k: (k - k % 5, 5) for k in whole} and ids <= {r["id"] for r in got}
