@@ -8,14 +8,20 @@ numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ready, staged, table
+from loomstone.llm.common import ready, staged, table, tidy
+from loomstone.llm.textkernel import LOWER as LOWER_CASE
+from loomstone.llm.textkernel import doc_of, exact_ids, runs, text_bytes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What lies between terms: ASCII without its letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of lower-cased terms: letters, and all bytes of characters that aren't ASCII.
+TERM = np.array([b >= 0x80 or chr(b) in LOWER for b in range(256)])
 LEAST_DOCUMENTS, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Rows of the table of groups up to which it is broadcast.
@@ -25,16 +31,39 @@ _SHARE = "1 + CAST({scale}BD * ({count} + 2) AS DECIMAL(38, 0)) div CAST({n} + 2
 _GAP = "(({p}) - ({q})) * (({p}) - ({q})) div (({p}) + ({q}))"
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) -> (lang, source, term, n, documents) of each batch."""
+    for b in batches:
+        data, at = text_bytes(b.column(2))
+        low = np.frombuffer(data.tobytes().translate(LOWER_CASE), np.uint8)
+        start, end = runs(TERM[low], at)
+        if not len(start):
+            continue
+        groups = pa.table({"lang": b.column(0), "source": b.column(1), "doc": np.arange(b.num_rows)})
+        names = groups.group_by(["lang", "source"], use_threads=False).aggregate([("doc", "list")])
+        group = np.empty(b.num_rows, np.int64)
+        lists = names["doc_list"].combine_chunks()
+        group[lists.flatten().to_numpy()] = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        doc = doc_of(start, at)
+        term, first = exact_ids(low, start, end)
+        per_doc, times = np.unique(doc * len(first) + term, return_counts=True)
+        key, at_key = np.unique(group[per_doc // len(first)] * len(first) + per_doc % len(first), return_inverse=True)
+        n = np.bincount(at_key, weights=times).astype(np.int64)
+        begin, length = start[first], end[first] - start[first]
+        flat = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        texts = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32).tobytes()), pa.py_buffer(low[flat].tobytes()))
+        of = pa.array(key // len(first))
+        yield pa.RecordBatch.from_arrays([names["lang"].combine_chunks().take(of), names["source"].combine_chunks().take(of), texts.take(pa.array(key % len(first))), pa.array(n), pa.array(np.bincount(at_key))], names=["lang", "source", "term", "n", "documents"])
+
+
 def term_counts(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, source, text) -> (lang, term, n, counts): the terms in at least that many documents of the language, how often they occur in it, and in each source that has them.
 
-    A document's words are sorted, so its first of each stands out and one pass counts both occurrences and documents;
-    rows are summed by (lang, source, term) before the shuffle, so a hot language, source or word sends a row a task.
+    Within an Arrow batch, terms are numbered by their bytes and counted by (lang, source); Spark then sums by
+    (lang, source, term) before the shuffle, so a hot language, source or word sends a row a task.
     """
-    words = F.sort_array(F.split(F.translate("text", UPPER, LOWER), BETWEEN))
-    flagged = F.transform(F.col("w"), lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get(F.col("w"), i - 1) != x), 1).otherwise(0).alias("first")))
-    each = docs.select("lang", "source", words.alias("w")).select("lang", "source", F.inline(flagged)).where("term <> ''")
-    by_source = each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("documents"))
+    each = docs.select("lang", "source", "text").mapInArrow(tidy(_counted), "lang string, source string, term string, n long, documents long")
+    by_source = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     wide = by_source.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
     return wide.where(F.col("documents") >= least_documents).select("lang", "term", "n", "counts")
 
