@@ -25,13 +25,16 @@ def fuse_rrf(lists: DataFrame, by: list[str], source: str, item: str, similarity
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(*by, item, "rrf", "similarity", "rank")
 
 
-def mmr(df: DataFrame, by: list[str], item: str, relevance: str, vector: str, balance: float = 0.5) -> DataFrame:
-    """Greedy maximal marginal relevance over all candidates of each query: (by..., item, place).
+def mmr(df: DataFrame, by: list[str], item: str, relevance: str, vector: str, balance: float = 0.5, depth: int = 1000) -> DataFrame:
+    """Greedy maximal marginal relevance over the `depth` most relevant candidates of each query: (by..., item, place).
 
-    Ties go to the more relevant, then the lower item; if every relevance is 0 that is the order. A query's candidates
-    are one task's: they are what a search returned.
+    Ties go to the more relevant, then the lower item; if every relevance is 0 that is the order. Candidates beyond
+    depth come after them, by relevance. A task holds depth candidates of a query and takes depth squared steps; what is
+    beyond is cut off before the shuffle of vectors.
     """
-    few = df.select(*by, item, relevance, vector)
+    order = Window.partitionBy(*by).orderBy(F.desc(relevance), item)
+    ranked = df.select(*by, item, relevance, vector).withColumn("_r", F.row_number().over(order))
+    few, rest = ranked.where(F.col("_r") <= depth).drop("_r"), ranked.drop(vector).where(F.col("_r") > depth)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in few.select(*by, item).schema] + ["place int"])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -53,7 +56,8 @@ def mmr(df: DataFrame, by: list[str], item: str, relevance: str, vector: str, ba
         out["place"] = np.arange(len(order), dtype=np.int32)
         return out[[*by, item, "place"]]
 
-    return few.groupBy(*by).applyInPandas(pick, schema)
+    picked = few.groupBy(*by).applyInPandas(pick, schema)
+    return picked.unionByName(rest.select(*by, item, (F.col("_r") - 1).cast("int").alias("place")))
 
 
 def greedy_fill(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:

@@ -48,6 +48,13 @@ def clone_type(lcs: float, normal: float, original: float, embedding: float = 0.
     return "semantic" if embedding > 0.85 else "type1"
 
 
+def clone_kind(lcs: Column, normal: Column, original: Column, embedding: Column) -> Column:
+    """clone_type of measures in columns; null measures count as 0."""
+    lcs, normal, original, embedding = (F.coalesce(c, F.lit(0.0)) for c in (lcs, normal, original, embedding))
+    kind = F.when(lcs > 0.95, "exact").when((normal > 0.9) & (original < 0.9), "type2").when(normal > 0.7, "type3")
+    return kind.when(embedding > 0.85, "semantic").otherwise("type1")
+
+
 def _measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = []
     for x, y in zip(a, b, strict=True):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import graph as G
 from loomstone.operators import insights as I
+from loomstone.operators import memory as M
 from loomstone.plans.registry import query
 
 
@@ -79,3 +80,18 @@ def _(t):
 def _(t):
     e = t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst"))
     return I.health_report(G.graph_summary(e).withColumn("isolated", F.lit(0)), "isolated", F.lit(0.8), F.lit(0.9), F.lit(0.1), F.lit(0.2))
+
+
+def written(t):
+    facts = t.conversations.select((F.col("conv_id") % 16).alias("scope"), "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return M.write_facts(facts, "scope", ["conv_id", "turn"], "id", "text")
+
+
+@query("memory_writes")
+def _(t):
+    return written(t)
+
+
+@query("memory_facts_after")
+def _(t):
+    return M.facts_after(written(t), "scope", ["conv_id", "turn"])

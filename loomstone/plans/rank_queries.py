@@ -33,12 +33,19 @@ def _(t):
     return V.similar_to(t.embeddings, "embedding", target(t), 10, "vec_id", least=-1.0, where=F.col("label") == 3).select("vec_id", r6("similarity").alias("similarity"))
 
 
-PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45"
+#: All vectors, and of each a copy with a part of its numbers missing, more of them with each third one.
+COPIES = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN (i - 1) % 16 < vec_id % 3 + 1 THEN 0.0 ELSE x END) FROM embeddings)"
+PAIRS = COPIES + " SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.85"
+
+
+def with_copies(t):
+    missing = F.transform("embedding", lambda x, i: F.when(i % 16 < F.col("vec_id") % 3 + 1, 0.0).otherwise(x.cast("double")))
+    return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(t.embeddings.select((F.col("vec_id") + 1000000).alias("vec_id"), missing.alias("embedding")))
 
 
 @query("vec_pair_clones", PAIRS)
 def _(t):
-    return V.similar_pairs(t.embeddings, "vec_id", "embedding", 0.45, recall=0.99999).select("a", "b", r6("similarity").alias("similarity"))
+    return V.similar_pairs(with_copies(t), "vec_id", "embedding", 0.85, recall=0.999999).select("a", "b", r6("similarity").alias("similarity"))
 
 
 @query("rrf_fusion", "WITH l AS (SELECT o_custkey % 50 AS q, o_orderpriority AS s, o_orderkey % 40 AS item, max(o_totalprice) / 600000 AS sim FROM orders GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY q, s ORDER BY sim DESC, item) AS rk FROM l), f AS (SELECT q, item, SUM(1.0 / (60 + rk)) AS rrf, max(sim) AS best FROM r GROUP BY 1, 2), g AS (SELECT *, greatest(best, least(1.0, rrf / max(rrf) OVER (PARTITION BY q))) AS similarity, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 12) DESC, best DESC, item) AS rank FROM f) SELECT q, item, round(rrf, 9) AS rrf, round(similarity, 6) AS similarity, rank FROM g WHERE rank <= 5")
@@ -50,7 +57,7 @@ def _(t):
 @query("mmr_rerank")
 def _(t):
     e = t.embeddings.select(F.col("label").alias("q"), F.col("vec_id").alias("item"), (1 / (1 + F.col("vec_id") % 17)).alias("rel"), "embedding")
-    return R.mmr(e, ["q"], "item", "rel", "embedding")
+    return R.mmr(e, ["q"], "item", "rel", "embedding", depth=100)
 
 
 @query("conditioned_assembly")
@@ -117,16 +124,15 @@ def _(t):
     return clones.exact_copies(t.documents)
 
 
-CLONE_TYPES = PAIRS.replace("SELECT a.vec_id", "WITH p AS (SELECT a.vec_id", 1) + """)
-SELECT a, b, CASE WHEN similarity > 0.5 THEN 'type1' WHEN similarity > 0.47 THEN 'semantic' ELSE 'type1' END AS kind,
-       round(least(1.0, greatest(0.0, 0.5 + 0.3 * (similarity - 0.5) + 0.1)), 6) AS potential FROM p"""
+CLONE_TYPES = PAIRS.replace(" SELECT a.vec_id", ", p AS (SELECT a.vec_id", 1) + """)
+SELECT a, b, CASE WHEN similarity > 0.85 THEN 'semantic' ELSE 'type1' END AS kind, round(least(1.0, greatest(0.0, 0.5 + 0.3 * (similarity - 0.5) + 0.1)), 6) AS potential FROM p"""
 
 
 @query("clone_types", CLONE_TYPES)
 def _(t):
-    p = V.similar_pairs(t.embeddings, "vec_id", "embedding", 0.45, recall=0.99999).withColumn("similarity", r6("similarity"))
-    kind = F.when(F.col("similarity") > 0.5, "type1").when(F.col("similarity") > 0.47, "semantic").otherwise("type1")
-    return p.select("a", "b", kind.alias("kind"), r6(S.clamp01(0.5 + 0.3 * (F.col("similarity") - 0.5) + 0.1)).alias("potential"))
+    p = V.similar_pairs(with_copies(t), "vec_id", "embedding", 0.85, recall=0.999999).withColumn("similarity", r6("similarity"))
+    none = F.lit(0.0)
+    return p.select("a", "b", clones.clone_kind(none, none, none, F.col("similarity")).alias("kind"), r6(S.clamp01(0.5 + 0.3 * (F.col("similarity") - 0.5) + 0.1)).alias("potential"))
 
 
 @query("clone_tokens")

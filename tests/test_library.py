@@ -146,7 +146,7 @@ def test_clones():
 
 
 def test_isotonic(spark):
-    low, high, value = isotonic.pool(np.array([1.0, 2, 3, 4]), np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4))
+    low, high, value, _ = isotonic.pool(np.array([1.0, 2, 3, 4]), np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4))
     assert list(zip(low, high, value.round(6), strict=True)) == [(1, 1, 0.1), (2, 3, 0.4), (4, 4, 0.9)]
     assert one(spark, isotonic.apply_isotonic([(0.0, 0.1), (1.0, 0.9)], F.lit(0.5))) == pytest.approx(0.5)
 
