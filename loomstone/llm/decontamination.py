@@ -9,13 +9,14 @@ compared), so a hash never decides. The benchmark goes round in blocks of bounde
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import free_names, ready, table, tidy
+from loomstone.llm.common import free_names, ready, staged, table, tidy
 from loomstone.llm.textkernel import doc_of, exact_ids, lower_words, same_spans, span_hash, text_bytes
 
 WINDOW = 10
@@ -197,22 +198,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep
     """
     free_names(keep, "doc_id", "n_words", "matches", "n_hit", "items", "_read", "_text")
     spark = ready(docs.sparkSession)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(([], pa.array([], pa.large_string())))]
+    send = spark.sparkContext.broadcast
+    none = ([], pa.array([], pa.large_string()))
+    blocks = _blocks(benchmark, block_bytes)
+    first = next(blocks, none)
+    second = next(blocks, None)
     rows = docs.select("doc_id", *keep, F.col("text").alias("_read"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     schema = f"{head}, n_words long, matches {MATCH}"
-    if len(blocks) > 1:  # a pass for each block; rows that are equal in doc_id and text have equal matches
-        rows = docs.select("doc_id", *keep, F.xxhash64("text").alias("_text"), F.col("text").alias("_read"))
+    if second is None:
+        out = rows.mapInArrow(tidy(_kernel(send(first), window, 1 + len(keep))), schema)
+    else:  # a pass for each block, with that block alone in memory; rows are known by a number that is written with them
+        rows = staged(rows.withColumn("_text", F.monotonically_increasing_id()).select(*rows.columns[:-1], "_text", "_read"), "numbered")
         passes = None
-        for b in blocks:
-            one = rows.drop(*keep).mapInArrow(tidy(_kernel(b, window, 2)), f"doc_id long, _text long, n_words long, matches {MATCH}").where("size(matches) > 0").dropDuplicates(["doc_id", "_text"])
+        for block in chain((first, second), blocks):
+            sent = send(block)
+            one = staged(rows.select("_text", "_read").mapInArrow(tidy(_kernel(sent, window, 1)), f"_text long, n_words long, matches {MATCH}").where("size(matches) > 0").drop("n_words"), "pass")
+            sent.destroy()
             passes = one if passes is None else passes.union(one)
-        found = passes.groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("matches")).alias("matches"))
-        counted = rows.mapInArrow(_kernel(spark.sparkContext.broadcast(([], pa.array([], pa.large_string()))), window, 2 + len(keep)), f"{head}, _text long, n_words long, matches {MATCH}").drop("matches")
-        joined = counted.alias("c").join(found.alias("f"), [F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("c._text").eqNullSafe(F.col("f._text"))], "left")
-        out = joined.select(*[F.col(f"c.{c}") for c in ("doc_id", *keep, "n_words")], F.coalesce("f.matches", F.array().cast(MATCH)).alias("matches"))
-    else:
-        out = rows.mapInArrow(tidy(_kernel(blocks[0], window, 1 + len(keep))), schema)
+        found = passes.groupBy("_text").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+        counted = rows.mapInArrow(_kernel(send(none), window, 2 + len(keep)), f"{head}, _text long, n_words long, matches {MATCH}").drop("matches")
+        out = counted.join(found, "_text", "left").select("doc_id", *keep, "n_words", F.coalesce("matches", F.array().cast(MATCH)).alias("matches"))
     by_place = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b"))))
     covered = F.aggregate(by_place, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), lambda s, m: F.struct((s["n"] + F.greatest(m["b"] - F.greatest(m["a"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], m["b"]).alias("to")))
     return out.withColumn("n_hit", covered["n"]).withColumn("items", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))))
