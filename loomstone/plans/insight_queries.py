@@ -76,10 +76,29 @@ def _(t):
     return I.metric_vectors(m, ["a", "b"]).select("id", F.transform("vector", r6).alias("vector"))
 
 
-@query("system_health")
+#: The graph of orders; customers without any are isolated, lines tell how sure and steady the system is, loops and hubs how coupled.
+HEALTH = """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 1500 AS dst FROM orders WHERE o_custkey <> o_orderkey % 1500),
+n AS (SELECT o_custkey AS id FROM orders UNION SELECT o_orderkey % 1500 FROM orders),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
+g AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT max(c) FROM (SELECT count(*) AS c FROM e GROUP BY dst)) AS max_in,
+  (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT id FROM n)) AS isolated, (SELECT count(*) FROM r WHERE src = dst) AS looped,
+  (SELECT avg(1 - l_discount) FROM lineitem) AS sure, (SELECT avg(CASE WHEN l_returnflag <> 'R' THEN 1.0 ELSE 0.0 END) FROM lineitem) AS steady),
+p AS (SELECT *, (greatest(0.0, 1 - edges / (nodes * (nodes - 1))) + (1 - isolated / greatest(1, nodes)) + greatest(0.0, 1 - edges / nodes / 20)) / 3 AS structural, (1 - looped / nodes) * (1 - least(1.0, max_in / nodes)) AS coupling FROM g),
+s AS (SELECT *, round(25 * (structural + sure + steady + coupling)) AS score FROM p)
+SELECT round(100 * structural) AS structural, round(100 * sure) AS confidence, round(100 * steady) AS stability, round(100 * coupling) AS coupling, score,
+  CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s"""
+
+
+@query("system_health", HEALTH)
 def _(t):
     e = t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst"))
-    return I.health_report(G.graph_summary(e).withColumn("isolated", F.lit(0)), "isolated", F.lit(0.8), F.lit(0.9), F.lit(0.1), F.lit(0.2))
+    isolated = t.customer.join(G.nodes(e), F.col("c_custkey") == F.col("id"), "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
+    lines = t.lineitem.agg(F.avg(1 - F.col("l_discount")).alias("sure"), F.avg((F.col("l_returnflag") != "R").cast("double")).alias("steady"))
+    loops = G.strong_components(e).agg(F.count(F.when(F.col("size") > 1, 1)).alias("looped"))
+    rows = G.graph_summary(e).crossJoin(isolated).crossJoin(lines).crossJoin(loops)  # one row each
+    hubs = F.least(F.lit(1.0), F.col("max_in") / F.col("nodes"))
+    return I.health_report(rows, "isolated", F.col("sure"), F.col("steady"), F.col("looped") / F.col("nodes"), hubs)
+
 
 
 def written(t):

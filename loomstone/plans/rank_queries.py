@@ -34,13 +34,13 @@ def _(t):
 
 
 #: All vectors, and of each a copy with a part of its numbers missing, more of them with each third one.
-COPIES = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN (i - 1) % 16 < vec_id % 3 + 1 THEN 0.0 ELSE x END) FROM embeddings)"
+COPIES = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(range(len(embedding)), lambda i: CASE WHEN i % 16 < vec_id % 3 + 1 THEN 0.0 ELSE CAST(embedding[i + 1] AS DOUBLE) END) FROM embeddings)"
 PAIRS = COPIES + " SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.85"
 
 
 def with_copies(t):
     missing = F.transform("embedding", lambda x, i: F.when(i % 16 < F.col("vec_id") % 3 + 1, 0.0).otherwise(x.cast("double")))
-    return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(t.embeddings.select((F.col("vec_id") + 1000000).alias("vec_id"), missing.alias("embedding")))
+    return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(t.embeddings.select("vec_id", missing.alias("embedding")).withColumn("vec_id", F.col("vec_id") + 1000000))
 
 
 @query("vec_pair_clones", PAIRS)
