@@ -218,7 +218,7 @@ def clustered(n, dim=48, seed=6):
 
 @pytest.mark.parametrize("shard_rows", [10_000, 300])
 def test_neighbour_graph_recall(spark, shard_rows):
-    x = clustered(1200)
+    x = clustered(700)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 48), (None, x[0].tolist()), (3, x[3].tolist())]
     vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
     path = scratch(spark, "index")
@@ -227,7 +227,7 @@ def test_neighbour_graph_recall(spark, shard_rows):
     found = neighbour_graph.search_index(neighbour_graph.read_index(spark, path), queries)
     rows = found.collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    exact = {q: set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()) for q in range(0, 1200, 25)}
+    exact = {q: set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()) for q in range(0, 700, 25)}
     mine = defaultdict(dict)
     for r in rows:
         mine[r["query"]][r["rank"]] = r

@@ -122,6 +122,18 @@ def test_intents(spark):
     assert (i.kind, i.direction, i.target, i.edge_types) == ("structural", "dependents", "utils.ts", ("imports",))
     i = intents.classify("What does src/a.ts depend on?")
     assert (i.direction, i.target) == ("dependencies", "src/a.ts")
+    both = ("imports", "calls")
+    for question, direction, target, kinds, sure in [
+        ("what files import the parser", "dependents", "parser", ("imports",), 0.9), ("Who uses `db.ts`?", "dependents", "db.ts", both, 0.9), ("what depends on auth module?", "dependents", "auth module", both, 0.9),
+        ("which functions call run?", "dependents", "run", ("calls",), 0.9), ("What classes extend Base", "dependents", "Base", ("extends",), 0.9), ("what implements Store?", "dependents", "Store", ("implements",), 0.9),
+        ("show all dependents of core", "dependents", "core", both, 0.9), ("list the callers for main", "dependents", "main", ("calls",), 0.9), ("All files that depend on the cache", "dependents", "cache", both, 0.9),
+        ("modules that import x.py", "dependents", "x.py", ("imports",), 0.9), ("reverse dependencies of api", "dependents", "api", both, 0.9), ("what does main call?", "dependencies", "main", ("calls",), 0.9),
+        ("What does the store import", "dependencies", "store", ("imports",), 0.9), ("get dependencies for the index", "dependencies", "index", ("imports",), 0.9), ("utils.ts's dependencies?", "dependencies", "utils.ts", ("imports",), 0.9),
+        ("imports in src/a.ts", "dependencies", "src/a.ts", ("imports",), 0.9), ("what server.ts imports", "dependencies", "server.ts", ("imports",), 0.9), ("find where we call 'run' in code", "dependents", "run", both, 0.6),
+    ]:
+        i = intents.structural_intent(question)
+        assert i and (i.direction, i.target, i.edge_types, i.confidence) == (direction, target, kinds, sure), (question, i)
+    assert intents.structural_intent("") is None and intents.structural_intent("how does login work") is None and intents.structural_intent("what is this?") is None
     assert intents.classify("list all callers of run").exhaustive and not intents.classify("how to refactor this code").exhaustive
     assert intents.classify("which tests cover the parser").kind == "test" and intents.classify("explain the architecture").kind == "explain"
     edges = spark.createDataFrame([(1, 2, "imports"), (3, 2, "calls"), (4, 1, "imports")], "src long, dst long, kind string")
