@@ -185,10 +185,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     d = _once(d, "pairs", _pairs(F.col("words")))
     d = _once(d, "hits", F.filter(F.transform("pairs", lambda b, i: F.when(vocabulary.may_have(b), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
     d = _once(d, "held", F.array_distinct(F.transform("hits", lambda i: F.get("pairs", i))))
+    # Only templates that the number of hits alone lets in are compared, and only a document with one goes on.
+    near = F.filter(known, lambda t: (F.size("held") >= t["need"]) & (F.size(F.array_intersect("held", t["theirs"])) >= t["need"]))
+    d = _once(d, "near", near).where(F.size("near") > 0)
     d = _units(d, vocabulary, most)
     d = _around(d)
-    near = F.filter(known, lambda t: F.size(F.array_intersect("held", t["theirs"])) >= t["need"])
-    d = d.select("*", F.explode(near).alias("t")).select("*", "t.*").drop("t", "held")
+    d = d.select("*", F.explode("near").alias("t")).select("*", "t.*").drop("t", "held", "near")
     d = _once(d, "matched", _matches(threshold))
     d = _windows(d, vocabulary, threshold)
     windows = F.transform("taken", lambda w: F.struct(F.lit("window").alias("kind"), w["s"].alias("place"), w["dice"].alias("dice")))
