@@ -254,3 +254,31 @@ def test_isotonic_keeps_ties_and_scores_apart(spark):
     assert [g[:2] for g in got] == [(0.1001, 0.1001), (0.1002, 0.3)] and abs(got[1][2] - 0.4) < 1e-12
     tie = spark.createDataFrame([(0.1, 0.5), (0.2, 0.5)], "x double, y double")
     assert isotonic.fit_isotonic(tie, "x", "y").count() == 2
+
+
+def test_similar_links_by_brute_force(spark):
+    from loomstone.operators import vectors
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 8)).round(1).astype(np.float32)
+    v[10:20], v[20], v[21, 3] = v[5], 0, np.nan  # a class of copies, no direction, a missing number
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {r["id"]: r for r in vectors.similar_links(df, "id", "v", 0.45, 0.85, strip=7).collect()}
+    norm = np.linalg.norm(v.astype(float), axis=1)
+    c = (v.astype(float) @ v.T.astype(float)) / np.where(norm > 0, np.outer(norm, norm), np.nan)
+    c = np.nan_to_num(np.where(np.eye(60) > 0, -1, c), nan=-1)
+    c[20], c[:, 20], c[21], c[:, 21] = -1, -1, -1, -1
+    assert len(got) == 62 and [got[i]["links"] for i in range(62)] == [*(c >= 0.45).sum(axis=1), 0, 0]
+    assert [got[i]["strong"] for i in range(60)] == list((c > 0.85).sum(axis=1))
+    assert [got[i]["class_id"] for i in range(62)] == [5 if 10 <= i < 20 else i for i in range(62)]
+    assert got[12]["similarity"] == 1.0 and got[20]["similarity"] is None and got[0]["similarity"] == pytest.approx(c[0].max())
+
+
+def test_clones_keep_links_under_085(spark, sf):
+    from loomstone.plans import registry
+    from loomstone.tables import Tables
+
+    registry.queries()
+    rows = registry.PLANS["vec_pair_clones"](Tables(spark, sf.replace("sf0.001", "sf0.01"))).where("links > 0").collect()
+    assert min(r["similarity"] for r in rows) < 0.85
