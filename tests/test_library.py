@@ -282,3 +282,16 @@ def test_clones_keep_links_under_085(spark, sf):
     registry.queries()
     rows = registry.PLANS["vec_pair_clones"](Tables(spark, sf.replace("sf0.001", "sf0.01"))).where("links > 0").collect()
     assert min(r["similarity"] for r in rows) < 0.85
+
+
+def test_clone_potential_rounds_halves_as_sql(spark):
+    from loomstone.plans import rank_queries as Q
+    from loomstone.plans import registry
+
+    registry.queries()
+    keep = Q.links
+    Q.links = lambda t: spark.createDataFrame([(1, 1, 1, 1, 0.912435)], "vec_id long, class_id long, links long, strong long, similarity double")
+    try:
+        assert registry.PLANS["clone_types"](None).first()["potential"] == 0.723731
+    finally:
+        Q.links = keep
