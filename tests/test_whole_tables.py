@@ -73,3 +73,15 @@ def test_clone_tokens_of_all_items(run, sf):
     t, got = run("clone_tokens", sf.replace("sf0.001", "sf0.1"))
     ids = {r[0] for r in t.benchmark.select("item_id").collect()}
     assert len(ids) > 40 and {r["a"] for r in got} == {i for i in ids if i + 1 in ids}
+
+
+def test_expertise_is_that_of_whole_numbers(run, sf):
+    t, got = run("org_importance", sf.replace("sf0.001", "sf0.01"))
+    lines = defaultdict(Counter)
+    for file, author, q in t.lineitem.select("l_partkey", "l_suppkey", "l_quantity").collect():
+        lines[file][author] += int(q)
+    for r in got:
+        by = lines[r["file"]]
+        tenths = sum(q * (author % 10 if author % 3 else 5) for author, q in by.items())
+        millionths = tenths * 10**5 * 2 // sum(by.values()) + 1 >> 1  # half up
+        assert r["expertise"] == min(10**6, millionths) / 10**6
