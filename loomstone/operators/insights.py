@@ -24,9 +24,12 @@ def support(edges: DataFrame) -> DataFrame:
 
 
 def conflict(edges: DataFrame, strict: Column | None = None) -> DataFrame:
-    """(id, n, severity) of incoming conflicts: critical for a strict rebuttal or 3 of mean weight .8, high for 2 or .7, medium from .5, else low."""
+    """(id, n, severity) of incoming conflicts: critical for a strict rebuttal or 3 of mean weight .8, high for 2 or .7, medium from .5, else low.
+
+    Means are taken to 12 digits: what is left depends on the order of the sum.
+    """
     hard = F.max(F.coalesce((F.col("kind") == "rebuts") & (strict if strict is not None else F.lit(False)), F.lit(False)).cast("int")) == 1
-    n, w = F.count(F.lit(1)), F.avg("weight")
+    n, w = F.count(F.lit(1)), F.round(F.avg("weight"), 12)
     severity = F.when(hard | ((n >= 3) & (w >= 0.8)), "critical").when((n >= 2) | (w >= 0.7), "high").when(w >= 0.5, "medium").otherwise("low")
     return edges_of(edges, CONFLICT).groupBy(F.col("dst").alias("id")).agg(n.alias("n"), severity.alias("severity"))
 

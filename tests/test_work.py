@@ -1,5 +1,6 @@
 """Debts, priorities, causes and trends on small rows, with nulls, ties and empty tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import debts as D
@@ -62,3 +63,11 @@ def test_trends(spark):
     found = {r["k"]: (r["trend"], r["samples"]) for r in evidence.calibration_trend(df, ["k"], [F.desc("t")], "y").collect()}
     assert found == {"up": ("degrading", 5), "down": ("improving", 3), "flat": ("stable", 4), "lone": ("stable", 1), "none": ("stable", 1)}
     assert evidence.progress_trend(df.limit(0), ["k"], ["t"], "y").count() == 0
+
+
+@pytest.mark.parametrize("weights", [(0.4, 1.0, 1.0), (1.0, 0.4, 1.0), (1.0, 1.0, 0.4)])
+def test_severity_does_not_depend_on_the_order_of_sums(spark, weights):
+    from loomstone.operators import insights
+
+    e = spark.createDataFrame([(0, 1, "contradicts", w) for w in weights], "src int, dst int, kind string, weight double")
+    assert insights.conflict(e.coalesce(1)).first()["severity"] == "critical"
