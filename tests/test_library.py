@@ -295,3 +295,11 @@ def test_clone_potential_rounds_halves_as_sql(spark):
         assert registry.PLANS["clone_types"](None).first()["potential"] == 0.723731
     finally:
         Q.links = keep
+
+
+def test_limits_take_the_least_id_of_equal_symbols(spark):
+    from loomstone.operators import scans
+
+    s = spark.createDataFrame([(i, "ring", "f", 1, True) for i in (9, 4, 7, 1, 8)], "id long, name string, file string, line int, exported boolean").repartition(5)
+    assert [r["id"] for r in scans.find_symbols(s, like="r%", limit=2).collect()] == [1, 4]
+    assert [r["id"] for r in scans.find_fuzzy(s, "in", limit=3).collect()] == [1, 4, 7]
