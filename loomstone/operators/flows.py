@@ -86,21 +86,22 @@ def data_flow(statements: DataFrame, steps: DataFrame | None = None) -> DataFram
     return uses.join(reaching, ["unit", "line", "variable"]).select("unit", F.col("defined").alias("src"), F.col("line").alias("dst"), "variable")
 
 
-def lineage(flow: DataFrame, start: DataFrame) -> DataFrame:
+def lineage(flow: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(unit, start, line, way, depth, end): every line that the value at start comes from ('back') or goes to ('forward'), at its least distance; end where it comes from, or goes, no farther.
 
-    flow: unit, src, dst, as data_flow makes it. start: unit, line. The start itself is at depth 0 both ways.
+    flow: unit, src, dst, as data_flow makes it. start: unit, line. The start itself is at depth 0 both ways. A depth is
+    the greatest distance followed.
     """
     e = cut(flow.select("unit", "src", "dst").distinct())
     out = None
     for way, here, there in (("back", "dst", "src"), ("forward", "src", "dst")):
         seen = cut(start.select("unit", F.col("line").alias("start"), "line", F.lit(0).alias("depth")).distinct())
-        front, depth = seen, 0
+        front, at = seen, 0
         step = e.select("unit", F.col(here).alias("line"), F.col(there).alias("_next"))
-        while True:
-            depth += 1
+        while depth is None or at < depth:
+            at += 1
             moved = front.join(step, ["unit", "line"]).select("unit", "start", F.col("_next").alias("line")).distinct()
-            front = cut(moved.join(seen, ["unit", "start", "line"], "left_anti").withColumn("depth", F.lit(depth)))
+            front = cut(moved.join(seen, ["unit", "start", "line"], "left_anti").withColumn("depth", F.lit(at)))
             if front.isEmpty():
                 break
             seen = cut(seen.unionByName(front))

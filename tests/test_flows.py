@@ -301,3 +301,11 @@ def test_facts_written_one_after_the_other(spark):
         assert Counter(tuple(x) for x in events.collect()) == Counter(want)
     after = {(x["scope"], x["fact_id"]): x["writes"] for x in memory.facts_after(events, "scope", ["at"]).collect()}
     assert after == Counter((w[0], w[2]) for w in want)
+
+
+def test_lineage_of_a_depth(spark):
+    flow = spark.createDataFrame([(1, i, i + 1) for i in range(1, 12)], "unit int, src int, dst int")
+    start = spark.createDataFrame([(1, 12)], "unit int, line int")
+    back = {r["line"]: (r["depth"], r["end"]) for r in flows.lineage(flow, start, depth=8).where("way = 'back'").collect()}
+    assert back == {12 - d: (d, False) for d in range(9)}
+    assert flows.lineage(flow, start).where("way = 'back'").count() == 12
