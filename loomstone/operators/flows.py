@@ -1,12 +1,16 @@
 """Data and control flow over statement tables: taint, reaching definitions, lineage, basic blocks, dominators, loops.
 
-Everything is a frontier of joins over (unit, node, state) rows that grows until nothing new is found; a unit is a
-function or a file. Lineage of plans is cut with checkpoints at each level, so plans stay small and lost executors cost
-one level.
+A unit is a function or a file. Units of up to UNIT_ROWS rows are gathered to a row each and worked through one by one
+inside tasks; larger ones, and graphs without units, are frontiers of joins over (unit, node, state) rows that grow until
+nothing new is found. Lineage of plans is cut with checkpoints at each level, so plans stay small and lost executors
+cost one level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,59 @@ CONTROL = "if|else|for|while|do|switch|case|default|try|catch|finally|return|thr
 LOOPS = "for|while|do"
 
 
+#: Units with more rows than this go by frontiers of joins.
+UNIT_ROWS = 5000
+
+
+def _packed(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """(unit, name_column...): a row a unit, with an array for each column, in one order."""
+    lists = rows.groupBy("unit").agg(F.collect_list(F.struct(*columns)).alias("_r"))
+    return lists.select("unit", *[F.col("_r")[c].alias(f"{name}_{c}") for c in columns])
+
+
+def _by_unit(packed: DataFrame, work: Callable[..., Iterable[tuple]], fields: list[tuple[str, str]]) -> DataFrame:
+    """(unit, fields...): the tuples that work makes of a unit's columns; fields: name, type."""
+    names, kind = [f for f, _ in fields], packed.schema["unit"].dataType.simpleString()
+    schema = ", ".join(f"`{f}` {t}" for f, t in [("unit", kind), *fields])
+    types = pa.schema(packed.sparkSession.createDataFrame([], schema).toArrow().schema)
+
+    def run(batches):
+        for b in batches:
+            units, found = [], []
+            for unit, *columns in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                got = list(work(*columns))
+                units += [unit] * len(got)
+                found += got
+            for i in range(0, len(found), 100_000):
+                part = [units[i : i + 100_000], *(list(zip(*found[i : i + 100_000], strict=True)))]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part, types.types, strict=True)], names=["unit", *names])
+
+    return packed.mapInArrow(run, schema)
+
+
+def _split(large: DataFrame, *frames: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The frames without the large units, and with them alone, or None if there are none."""
+    large = cut(large.select("unit").distinct())
+    if large.isEmpty():
+        return list(frames), None
+    return [f.join(large, "unit", "left_anti") for f in frames], [f.join(large, "unit", "left_semi") for f in frames]
+
+
+def _large(*frames: DataFrame, most: int) -> DataFrame:
+    out = None
+    for f in frames:
+        one = f.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("unit")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _near(a: list | None, b: list | None) -> dict:
+    to: dict = {}
+    for x, y in zip(a or (), b or (), strict=True):
+        to.setdefault(x, []).append(y)
+    return to
+
+
 def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, cleaners: DataFrame | None = None, depth: int = 20) -> DataFrame:
     """(source, label, sink, depth, path): each source and each sink that its taint reaches, with one shortest path as witness.
 
@@ -54,15 +111,39 @@ def steps_in_order(statements: DataFrame) -> DataFrame:
     return statements.select("unit", F.col("line").alias("src"), after.alias("dst")).where("dst is not null")
 
 
-def reaching_definitions(statements: DataFrame, steps: DataFrame) -> DataFrame:
+def _reach(defined: list, variable: list, src: list | None, dst: list | None) -> Iterable[tuple]:
+    to, kill = _near(src, dst), set(zip(defined, variable, strict=True))
+    for line, name in kill:
+        seen = set(to.get(line, ()))
+        stack = list(seen)
+        while stack:
+            at = stack.pop()
+            if (at, name) not in kill:
+                new = set(to.get(at, ())) - seen
+                seen |= new
+                stack += new
+        for at in seen:
+            yield name, line, at
+
+
+def reaching_definitions(statements: DataFrame, steps: DataFrame, most: int = UNIT_ROWS) -> DataFrame:
     """(unit, variable, defined, line): the definitions that may still hold when control comes to a line.
 
     statements: unit, line, target (null where nothing is defined). steps: unit, src, dst, where control may go. A
     definition goes on through every line that doesn't define its variable anew (gen and kill); rows only ever get
     more, up to a fixpoint, so loops end. A line's own definition reaches the line where a loop comes back to it.
     """
-    s = cut(steps.select("unit", "src", "dst").distinct())
-    gen = cut(statements.select("unit", F.col("line").alias("defined"), F.col("target").alias("variable")).where("variable is not null").distinct())
+    s = steps.select("unit", "src", "dst").dropna().distinct()
+    gen = statements.select("unit", F.col("line").alias("defined"), F.col("target").alias("variable")).dropna().distinct()
+    s, gen = cut(s), cut(gen)
+    (few, small), rest = _split(_large(s, gen, most=most), s, gen)
+    line, name = (gen.schema[c].dataType.simpleString() for c in ("defined", "variable"))
+    packed = _packed(small, "d", ["defined", "variable"]).join(_packed(few, "s", ["src", "dst"]), "unit")
+    out = _by_unit(packed, _reach, [("variable", name), ("defined", line), ("line", s.schema["dst"].dataType.simpleString())])
+    return out if rest is None else out.unionByName(_reaching_frontier(*rest))
+
+
+def _reaching_frontier(s: DataFrame, gen: DataFrame) -> DataFrame:
     kill = gen.select("unit", F.col("defined").alias("line"), "variable")
     seen = cut(gen.join(s.withColumnRenamed("src", "defined"), ["unit", "defined"]).select("unit", "variable", "defined", F.col("dst").alias("line")).distinct())
     front = seen
@@ -138,14 +219,61 @@ def block_edges(blocks: DataFrame) -> DataFrame:
     return prior.unionByName(branch).unionByName(loop)
 
 
-def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
+def _dominate(entry, src: list | None, dst: list | None) -> Iterable[tuple]:
+    """Sets of dominators as bits, by the order in which nodes are finished last, until none gets smaller."""
+    to, order, seen, stack = _near(src, dst), [], {entry}, [(entry, iter(()))]
+    stack[0] = (entry, iter(to.get(entry, ())))
+    while stack:
+        at, rest = stack[-1]
+        new = next((x for x in rest if x not in seen), None)
+        if new is None:
+            order.append(at)
+            stack.pop()
+        else:
+            seen.add(new)
+            stack.append((new, iter(to.get(new, ()))))
+    order.reverse()
+    number = {x: i for i, x in enumerate(order)}
+    before: list[list[int]] = [[] for _ in order]
+    for x in order:
+        for y in to.get(x, ()):
+            before[number[y]].append(number[x])
+    of = [1] + [(1 << len(order)) - 1] * (len(order) - 1)
+    moved = True
+    while moved:
+        moved = False
+        for i in range(1, len(order)):
+            bits = -1
+            for j in before[i]:
+                bits &= of[j]
+            bits |= 1 << i
+            moved |= bits != of[i]
+            of[i] = bits
+    count = [bits.bit_count() for bits in of]
+    for i, bits in enumerate(of):
+        while bits:
+            j = (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+            yield order[i], order[j], count[j] == count[i] - 1
+
+
+def dominators(edges: DataFrame, entries: DataFrame, most: int = UNIT_ROWS) -> DataFrame:
     """(unit, node, dominator, immediate): the nodes that every path from the unit's entry to a node passes, itself included.
 
     edges: unit, src, dst; entries: unit, node, one a unit. What can't be reached has no dominators. A node d dominates
-    what is no longer reached without d: the frontier carries (unit, the node left out, node), so a unit of n nodes has
-    n * n rows at most.
+    what is no longer reached without d: the frontier of large units carries (unit, the node left out, node), so a unit
+    of n nodes has n * n rows at most.
     """
     e = cut(edges.select("unit", "src", "dst").where("src <> dst").distinct())
+    first = entries.select("unit", "node").distinct()
+    (few, small), rest = _split(_large(e, most=most), e, first)
+    node = e.schema["src"].dataType.simpleString()
+    packed = small.select("unit", F.col("node").cast(node).alias("node")).join(_packed(few, "e", ["src", "dst"]), "unit", "left")
+    out = _by_unit(packed, _dominate, [("node", node), ("dominator", node), ("immediate", "boolean")])
+    return out if rest is None else out.unionByName(_dominators_frontier(*rest))
+
+
+def _dominators_frontier(e: DataFrame, entries: DataFrame) -> DataFrame:
     reached = _reached(e, entries.select("unit", F.lit(None).cast(e.schema["src"].dataType).alias("without"), "node"))
     reached = cut(reached.select("unit", "node"))
     left_out = reached.select("unit", F.col("node").alias("without")).join(entries.select("unit", F.col("node").alias("_entry")), "unit").where("without <> _entry")
@@ -171,13 +299,36 @@ def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(front))
 
 
-def natural_loops(edges: DataFrame, dominated: DataFrame) -> DataFrame:
+def _bodies(head: list, tail: list, src: list | None, dst: list | None) -> Iterable[tuple]:
+    back = _near(dst, src)
+    for h, t in zip(head, tail, strict=True):
+        seen, stack = {t}, [t]
+        while stack:
+            at = stack.pop()
+            if at != h:
+                new = set(back.get(at, ())) - seen
+                seen |= new
+                stack += new
+        for x in seen:
+            yield h, t, x
+
+
+def natural_loops(edges: DataFrame, dominated: DataFrame, most: int = UNIT_ROWS) -> DataFrame:
     """(unit, head, tail, node): for each edge from tail back to a head that dominates it, the nodes of its loop.
 
     dominated: as dominators makes it. The loop has the head, and whatever comes to the tail without passing the head.
     """
-    e = edges.select("unit", "src", "dst").distinct()
+    e = cut(edges.select("unit", "src", "dst").distinct())
     heads = e.join(dominated.select("unit", F.col("node").alias("src"), F.col("dominator").alias("dst")), ["unit", "src", "dst"]).select("unit", F.col("dst").alias("head"), F.col("src").alias("tail"))
+    heads = cut(heads)
+    (few, small), rest = _split(_large(e, most=most), e, heads)
+    node = e.schema["src"].dataType.simpleString()
+    packed = _packed(small, "h", ["head", "tail"]).join(_packed(few, "e", ["src", "dst"]), "unit")
+    out = _by_unit(packed, _bodies, [("head", node), ("tail", node), ("node", node)])
+    return out if rest is None else out.unionByName(_loops_frontier(*rest))
+
+
+def _loops_frontier(e: DataFrame, heads: DataFrame) -> DataFrame:
     # A loop is named by (head, tail); its nodes are reached backwards from the tail, with the head left out.
     seen = cut(heads.select("unit", "head", "tail", F.col("tail").alias("node")))
     front = seen.where("node <> head")

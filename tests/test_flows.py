@@ -309,3 +309,23 @@ def test_lineage_of_a_depth(spark):
     back = {r["line"]: (r["depth"], r["end"]) for r in flows.lineage(flow, start, depth=8).where("way = 'back'").collect()}
     assert back == {12 - d: (d, False) for d in range(9)}
     assert flows.lineage(flow, start).where("way = 'back'").count() == 12
+
+
+def test_large_units_go_by_frontiers_with_equal_results(spark):
+    rng = random.Random(5)
+    pairs = {(u, rng.randrange(8), rng.randrange(8)) for u in range(12) for _ in range(3 + u)}
+    e = spark.createDataFrame(sorted(pairs), "unit int, src int, dst int")
+    entry = spark.createDataFrame([(u, 0) for u in range(13)], "unit int, node int")
+    said = spark.createDataFrame([(u, k, f"v{k % 3}" if k % 4 else None) for u in range(12) for k in range(8)], "unit int, line int, target string")
+    for most in (0, 8):
+        for f, a, b in ((flows.dominators, e, entry), (flows.natural_loops, e, flows.dominators(e, entry)), (flows.reaching_definitions, said, e)):
+            few, some = f(a, b), f(a, b, most=most)
+            assert few.columns == some.columns and few.count() > 12 and Counter(map(tuple, few.collect())) == Counter(map(tuple, some.collect()))
+
+
+def test_units_take_no_level_of_joins_each(spark, monkeypatch):
+    seen = []
+    keep = flows.cut
+    monkeypatch.setattr(flows, "cut", lambda df: seen.append(1) or keep(df))
+    e = spark.createDataFrame([(1, i, i + 1) for i in range(20)], "unit int, src int, dst int")
+    assert flows.dominators(e, spark.createDataFrame([(1, 0)], "unit int, node int")).count() == 21 * 22 // 2 and len(seen) < 10
