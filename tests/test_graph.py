@@ -93,3 +93,22 @@ def test_knowledge_edges_first_builder_wins(spark):
 def test_degrees_roles(edges):
     found = as_dict(G.degrees(edges("ab", "bc", "dd")))
     assert found == {"a": (0, 1, "root"), "b": (1, 1, "inner"), "c": (1, 0, "leaf"), "d": (0, 0, "isolated")}
+
+
+def test_betweenness_by_joins_is_the_same_without_a_limit(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(40)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    want = {r["id"]: pytest.approx(r["betweenness"]) for r in G.betweenness(e).collect()}
+    assert any(v != 0 for v in want.values()) and {r["id"]: r["betweenness"] for r in G.betweenness_joins(e).collect()} == want
+
+
+def test_betweenness_query_holds_no_whole_graph(spark, sf, monkeypatch):
+    from loomstone.plans import registry
+    from loomstone.tables import Tables
+
+    registry.queries()
+    monkeypatch.setattr(G, "betweenness", None)  # refuses over 2,000,000 edges
+    assert registry.PLANS["betweenness"](Tables(spark, sf)).count() > 60
