@@ -40,6 +40,20 @@ def test_communities_of_two_triangles(edges):
     assert found["a"] == found["b"] == found["c"] != found["d"] == found["e"] == found["f"]
 
 
+def test_searches_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return (x, x + 1)
+
+    chain = spark.createDataFrame(spark.sparkContext.parallelize(range(8), 1).map(counted), "src long, dst long")
+    assert G.reach(chain, spark.createDataFrame([(2,)], "id long"), 5).count() == 6
+    assert made.value == 8
+    assert G.shortest_path(chain, 1, 5).first()["path"] == [1, 2, 3, 4, 5]
+    assert made.value == 16
+
+
 def test_pagerank_keeps_what_sinks_hold(edges):
     ranks = {k: v[0] for k, v in as_dict(G.pagerank(edges("ab", "aa", "ab"))).items()}
     assert ranks == {"a": pytest.approx(0.075), "b": pytest.approx(0.075 + 0.85 * 0.075)}
