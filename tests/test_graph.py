@@ -40,6 +40,11 @@ def test_communities_of_two_triangles(edges):
     assert found["a"] == found["b"] == found["c"] != found["d"] == found["e"] == found["f"]
 
 
+def test_communities_of_a_graph_too_large_for_a_task(edges):
+    found = as_dict(G.communities(edges("ab", "bc", "ca", "de", "ef", "fd", "cd"), most_edges=1))
+    assert found["a"] == found["b"] == found["c"] == ("a",) != found["d"] == found["e"] == found["f"]
+
+
 def test_searches_make_their_edges_once(spark):
     made = spark.sparkContext.accumulator(0)
 
