@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.operators.graph import cut
 from loomstone.session import ship
 
 #: Equal lines before and after a change that its hunk shows.
@@ -88,6 +89,21 @@ def hunks(a: list[str], b: list[str], context: int = CONTEXT) -> tuple[int, int,
     return sum(s == "+" for s, *_ in lines), sum(s == "-" for s, *_ in lines), out
 
 
+def with_next(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows, and under the same names with _next before them the row that comes next by `order` in its group; the last rows of groups are left out.
+
+    Groups are dealt by ranges, so a group is spread over tasks; each range gets a copy of the first row of the next.
+    """
+    plain = [F.col(c) for c in rows.columns]
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(ranges, group, order).withColumn("_range", F.spark_partition_id()))
+    first = dealt.groupBy(group, "_range").agg(F.min_by(F.struct(*plain), order).alias("_first"))
+    heads = first.withColumn("_range", F.lag("_range").over(Window.partitionBy(group).orderBy("_range"))).where("_range is not null")
+    both = dealt.unionByName(heads.select("_first.*", "_range"))
+    after = Window.partitionBy("_range", group).orderBy(order)
+    return both.select(*plain, *[F.lead(c).over(after).alias(f"_next_{c}") for c in rows.columns]).where(F.col(f"_next_{order}").isNotNull())
+
+
 def unified_diffs(pairs: DataFrame, key: list[str], a: str, b: str, context: int = CONTEXT) -> DataFrame:
     """(key..., additions, deletions, changes, hunks) of each row's two texts, line by line.
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import calls, crossgraph, diffs, flows, memory, neighbour_graph
 from loomstone.operators.graph import scratch
+from loomstone.plans import registry
+from loomstone.tables import Tables
+
+registry.queries()
 
 
 def test_taint_with_cleaners_and_cycles(spark):
@@ -275,6 +279,22 @@ def test_differences_lead_from_one_text_to_the_other(spark):
         assert next(g for g in got if g["id"] == 200)["hunks"] == []
 
 
+def test_next_rows_of_a_group_over_many_ranges(spark):
+    rows = [("en", i, f"t{i}") for i in range(300)] + [("de", 2 * i, None) for i in range(40)] + [(None, i, "n") for i in range(3)] + [("fr", 1, "x"), ("en", None, "y")]
+    near = diffs.with_next(spark.createDataFrame(rows, "lang string, doc_id long, text string"), "lang", "doc_id")
+    want = []
+    for lang in ("en", "de", None):
+        of = sorted((r for r in rows if r[0] == lang), key=lambda r: -1 if r[1] is None else r[1])
+        want += [(*a, *b) for a, b in zip(of, of[1:])]
+    assert Counter(map(tuple, near.collect())) == Counter(want)
+
+
+def test_line_diffs_spread_a_language(spark, sf):
+    plan = registry.PLANS["line_diffs"](Tables(spark, sf))._jdf.queryExecution().toString()
+    by = [line for line in plan.splitlines() if "Window [" in line and "text" in line]
+    assert by and all("_range" in line for line in by)
+
+
 def test_facts_written_one_after_the_other(spark):
     r = random.Random(9)
     rows = [(r.choice(["p", "q", None]), i // 2, f"f{i:03}", r.choice([None, "", "  ", *[" ".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 7))) for _ in range(20)]])) for i in range(300)]
