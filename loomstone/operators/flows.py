@@ -9,6 +9,7 @@ cost one level.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ LOOPS = "for|while|do"
 
 #: Units with more rows than this go by frontiers of joins.
 UNIT_ROWS = 5000
+#: Levels after which a front is rid of what was met before: doing so reads all that was met.
+SIFT = 4
 
 
 def _packed(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
@@ -80,29 +83,30 @@ def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, cleaners
     edges: src, dst. sources: id, label, what kind of taint a node brings in. sinks: id, label, what a node must not get.
     cleaners: id, label; a node takes that label off whatever passes it, so nothing goes on from there, and as a sink it
     is safe from it. Sources are dirty whatever they clean. A node is no sink of itself. Of equally short paths that with
-    the least predecessor at each step, seen from the sink, is the witness. Null ends and labels reach nothing. Loops
-    end, since a (source, label, node) is met once.
+    the least predecessor at each step, seen from the sink, is the witness. Null ends and labels reach nothing. No path
+    meets a node twice, and what was met before by a shorter path is sifted out every few levels and at the end.
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    labels = lambda rows, name: rows.groupBy(F.col("id").alias("dst")).agg(F.collect_set("label").alias(name)).hint("merge")
+    e = edges.select("src", "dst").where("src <> dst").distinct().join(labels(sinks, "_sink"), "dst", "left")
+    e = e.withColumn("_clean", F.lit(None).cast(e.schema["_sink"].dataType)) if cleaners is None else e.join(labels(cleaners, "_clean"), "dst", "left")
+    e, has = cut(e), lambda among: F.coalesce(F.array_contains(among, F.col("label")), F.lit(False))
     brought = sources.select(F.col("id").alias("source"), "label").where("source is not null and label is not null").distinct()
-    seen = cut(brought.select("source", "label", F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(e.schema["src"].dataType).alias("parent")))
-    front = seen
+    # Nothing is broadcast: each side grows with the input. A path goes along with its front, so there is no way back to walk.
+    front = cut(brought.select("source", "label", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(False).alias("hit")))
+    levels = [front]
     for d in range(1, depth + 1):
-        step = front.join(e, F.col("node") == F.col("src")).groupBy("source", "label", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        if cleaners is not None:
-            step = step.join(cleaners.select(F.col("id").alias("node"), "label").distinct(), ["node", "label"], "left_anti")
-        new = cut(step.join(seen, ["source", "label", "node"], "left_anti").select("source", "label", "node", F.lit(d).alias("depth"), "parent"))
-        if new.isEmpty():
+        step = front.join(e.hint("merge"), F.col("node") == F.col("src")).where(~has("_clean") & ~F.array_contains("path", F.col("dst")))
+        new = step.groupBy("source", "label", F.col("dst").alias("node")).agg(F.min_by("path", "src").alias("path"), F.first(has("_sink")).alias("hit"))
+        if d % SIFT == 0:
+            seen = reduce(DataFrame.unionByName, [level.select("source", "label", "node") for level in levels])
+            new = new.join(seen.hint("merge"), ["source", "label", "node"], "left_anti")
+        front = cut(new.withColumn("path", F.concat("path", F.array("node"))))
+        if front.isEmpty():
             break
-        seen, front = cut(seen.unionByName(new)), new
-    hits = seen.where("depth > 0").join(sinks.select(F.col("id").alias("node"), "label").distinct(), ["node", "label"])
-    # Walk back by parent pointers; a finished path's place is its source, which has no parent.
-    paths = cut(hits.select("source", "label", F.col("node").alias("sink"), "depth", F.array("parent", "node").alias("path")))
-    back = seen.where("parent is not null").select("source", "label", F.col("node").alias("_at"), F.col("parent").alias("_before"))
-    longest = paths.agg(F.max("depth")).first()[0] or 0
-    for _ in range(longest - 1):
-        paths = cut(paths.withColumn("_at", F.get("path", 0)).join(back, ["source", "label", "_at"], "left").select("source", "label", "sink", "depth", F.when(F.col("_before").isNull(), F.col("path")).otherwise(F.concat(F.array("_before"), "path")).alias("path")))
-    return paths
+        levels.append(front)
+    hits = reduce(DataFrame.unionByName, [level.where("hit").withColumn("depth", F.lit(d)) for d, level in enumerate(levels)])
+    least = hits.groupBy("source", "label", F.col("node").alias("sink")).agg(F.min_by(F.struct("depth", "path"), "depth").alias("_p"))
+    return least.select("source", "label", "sink", "_p.depth", "_p.path")
 
 
 def steps_in_order(statements: DataFrame) -> DataFrame:

@@ -54,6 +54,17 @@ def random_units(r, n=12):
     return statements, steps
 
 
+def test_taint_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(flows, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df.checkpoint())
+    spark.sparkContext.setCheckpointDir(scratch(spark, "taint"))
+    edges = [(i, i // k) for i in range(1, 200) for k in (2, 3)]
+    frames = [spark.createDataFrame(x, k) for x, k in ((edges, "src int, dst int"), ([(i, "x") for i in range(100, 120)], "id int, label string"), ([(i, "x") for i in range(9)], "id int, label string"), ([(7, "x")], "id int, label string"))]
+    got = {(r["source"], r["sink"]): (r["depth"], r["path"]) for r in flows.taint_paths(*frames).collect()}
+    assert got[100, 0] == (5, [100, 33, 11, 3, 1, 0]) and (119, 7) not in got
+    assert len(plans) < 12 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_definitions_and_lineage(spark):
     statements, steps = random_units(random.Random(2))
     s = spark.createDataFrame(statements, "unit int, line int, target string, uses array<string>")
