@@ -198,6 +198,15 @@ def test_call_flow_as_depth_first(spark, depth, breadth):
         assert sorted(got[entry]) == [(i, n, d, cut) for i, (n, d) in enumerate(out)]
 
 
+def test_call_flow_keeps_functions_and_no_paths(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(calls, "cut", lambda df: kept.append(df.cache()) or kept[-1])
+    rows = [(i, j, j) for i in range(5) for j in range(5)]
+    got = calls.call_flow(spark.createDataFrame(rows, "src int, dst int, place int"), spark.createDataFrame([(i,) for i in (0, 1, 9, None)], "id int"), 4)
+    assert Counter((r["entry"], r["id"]) for r in got.collect()) == Counter([(e, i) for e in (0, 1) for i in range(5)] + [(9, 9), (None, None)])
+    assert max(k.count() for k in kept) <= 10
+
+
 def test_influence_chains_as_one_after_the_other(spark):
     r = random.Random(5)
     kinds = list(crossgraph.DAMPING)
