@@ -78,10 +78,11 @@ def influence_chains(targets: DataFrame, importance: DataFrame, edges: DataFrame
     opened = cut(level.select("target", "node"))
     links = None
     for _ in range(longest):
-        turn = level.select("target", F.col("node").alias("src"), F.col("place").alias("_turn"))
-        old = opened.join(level.select("target", "node"), ["target", "node"], "left_anti").withColumnRenamed("node", "src")
-        step = level.join(into, "node").where("src <> node").join(old, ["target", "src"], "left_anti").join(turn, ["target", "src"], "left")
-        step = step.where("_turn is null or _turn > place")
+        step = level.join(into, "node").where("src <> node")
+        if links is not None:  # at first only the target is open
+            turn = level.select("target", F.col("node").alias("src"), F.col("place").alias("_turn"))
+            old = opened.join(level.select("target", "node"), ["target", "node"], "left_anti").withColumnRenamed("node", "src")
+            step = step.join(old, ["target", "src"], "left_anti").join(turn, ["target", "src"], "left").where("_turn is null or _turn > place")
         # How many links the nodes opened before it at this level have made.
         per_node = step.groupBy("target", "node", "place", "made").agg(F.count(F.lit(1)).alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy("target").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -94,7 +95,8 @@ def influence_chains(targets: DataFrame, importance: DataFrame, edges: DataFrame
         made = found.groupBy("target").agg(F.max("place").alias("made"))
         later = found.groupBy("target", F.col("src").alias("node")).agg(F.min("place").alias("place"))
         level = cut(later.join(made, "target").join(opened, ["target", "node"], "left_anti").select("target", "node", "place", "made"))
-        opened = cut(opened.unionByName(level.select("target", "node")))
+        # Only chains that go on are looked up again.
+        opened = cut(opened.join(level.select("target").distinct(), "target", "left_semi").unionByName(level.select("target", "node")))
     empty = into.where(F.lit(False)).select(F.col("node").alias("target"), F.lit(0).cast("long").alias("place"), "src", F.col("node").alias("dst"), "kind", "importance", "factor")
     return empty if links is None else links
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.operators import calls, crossgraph, diffs, flows, memory, neighbour_graph
-from loomstone.operators.graph import scratch
+from loomstone.operators.graph import cut, scratch
 from loomstone.plans import registry
 from loomstone.tables import Tables
 
@@ -264,6 +264,16 @@ def test_neighbour_graph_recall(spark, shard_rows):
     assert Counter(map(tuple, neighbour_graph.search_index(neighbour_graph.read_index(spark, again), queries).collect())) == Counter(map(tuple, rows))
 
 
+def test_chains_look_up_only_what_goes_on(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(crossgraph, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    ids = spark.range(50).select("id")
+    edges = spark.createDataFrame([(i + 1, i, "documented_by_decision", 1.0, 1.0) for i in range(2)], "src long, dst long, kind string, weight double, confidence double")
+    got = crossgraph.influence_chains(ids, ids.withColumn("value", F.lit(0.5)), edges)
+    assert Counter(r["target"] for r in got.collect()) == {0: 2, 1: 1}
+    assert all(k.count() <= 12 for k in kept[3:])
+
+
 def test_neighbours_of_the_table_against_exact_ones(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     found = neighbour_graph.search_index(neighbour_graph.build_index(vectors, scratch(spark, "table")), vectors.where("id % 50 = 0"))
