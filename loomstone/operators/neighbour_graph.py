@@ -8,7 +8,6 @@ the same vectors make the same index.
 
 from __future__ import annotations
 
-from heapq import heappop, heappush, heapreplace
 from math import log
 
 import numpy as np
@@ -20,87 +19,132 @@ from loomstone.session import ship
 
 #: Links of a vector on each layer above the lowest (twice as many there), and breadths of the searches that build and ask.
 LINKS, BUILD_BREADTH, SEARCH_BREADTH = 16, 200, 50
-#: Vectors of a shard, at most about.
-SHARD_ROWS = 20_000
+#: Vectors of a shard, at most about, and of a block that is compared at once.
+SHARD_ROWS, BLOCK_ROWS = 20_000, 256
 
 
 class LayeredGraph:
-    """The graph of one shard: unit vectors, and for each the neighbours on each of its layers."""
-
-    def __init__(self, vectors: np.ndarray, links: list[list[list[int]]] | None = None, most: int = LINKS, breadth: int = BUILD_BREADTH):
-        self.x, self.most, self.breadth = vectors, most, breadth
-        self.links = links or []
-        self.seen, self.mark = np.zeros(len(vectors), np.int64), 0
-        self.top = max(range(len(self.links)), key=lambda i: len(self.links[i]), default=-1)
-
-    def near(self, q: np.ndarray, start: list[int], breadth: int, layer: int) -> list[tuple[float, int]]:
-        """(distance, node) of the nearest found on a layer, nearest first: best first, until what is left is farther than the worst kept."""
-        self.mark += 1
-        away = (1 - self.x[start] @ q).tolist()
-        todo = [(d, i) for d, i in zip(away, start)]
-        kept = [(-d, -i) for d, i in todo]
-        todo.sort()
-        kept.sort()
-        self.seen[start] = self.mark
-        while todo:
-            d, i = heappop(todo)
-            if len(kept) >= breadth and d > -kept[0][0]:
-                break
-            there = self.links[i][layer]
-            there = [j for j in there if self.seen[j] != self.mark]
-            if not there:
-                continue
-            self.seen[there] = self.mark
-            for d, j in zip((1 - self.x[there] @ q).tolist(), there):
-                if len(kept) < breadth:
-                    heappush(kept, (-d, -j))
-                    heappush(todo, (d, j))
-                elif (-d, -j) > kept[0]:
-                    heapreplace(kept, (-d, -j))
-                    heappush(todo, (d, j))
-        return sorted((-d, -i) for d, i in kept)
-
-    def chosen(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """At most that many of the found, nearest first, each nearer to the vector than to those chosen before it; the nearest of the rest fill up."""
-        nodes = [i for _, i in found]
-        between = 1 - self.x[nodes] @ self.x[nodes].T
-        picked: list[int] = []
-        for k, (d, _) in enumerate(found):
-            if len(picked) == most:
-                break
-            if not picked or d <= between[k, picked].min():
-                picked.append(k)
-        spare = [k for k in range(len(found)) if k not in set(picked)]
-        return [nodes[k] for k in picked + spare[: most - len(picked)]]
-
-    def insert(self, node: int, layers: int) -> None:
-        """Nodes are inserted in the order of their numbers."""
-        q = self.x[node]
-        self.links.append([[] for _ in range(layers)])
-        if self.top < 0:
-            self.top = node
-            return
-        at = [self.top]
-        for layer in range(len(self.links[self.top]) - 1, layers - 1, -1):
-            at = [self.near(q, at, 1, layer)[0][1]]
-        for layer in range(min(layers, len(self.links[self.top])) - 1, -1, -1):
-            found = self.near(q, at, self.breadth, layer)
-            most = self.most * (2 if layer == 0 else 1)
-            self.links[node][layer] = self.chosen(found, self.most)
-            for j in self.links[node][layer]:
-                theirs = self.links[j][layer]
-                theirs.append(node)
-                if len(theirs) > most:
-                    self.links[j][layer] = self.chosen(sorted(zip((1 - self.x[theirs] @ self.x[j]).tolist(), theirs)), most)
-            at = [i for _, i in found]
-        if layers > len(self.links[self.top]):
-            self.top = node
-
-    def search(self, q: np.ndarray, k: int, breadth: int) -> list[tuple[float, int]]:
-        at = [self.top]
-        for layer in range(len(self.links[self.top]) - 1, 0, -1):
-            at = [self.near(q, at, 1, layer)[0][1]]
-        return self.near(q, at, max(k, breadth), 0)[:k]
+    """The graph of one shard: unit vectors, and a table a layer with the neighbours of each, -1 where there are fewer."""
+
+    def __init__(self, vectors: np.ndarray, links: list[list[list[int]]]):
+        self.x = vectors
+        layers = np.array([len(n) for n in links])
+        self.top = int(layers.argmax())
+        self.tables = []
+        for layer in range(layers.max()):
+            lists = [n[layer] if len(n) > layer else () for n in links]
+            sizes = np.array([len(n) for n in lists])
+            table = np.full((len(lists), max(1, sizes.max())), -1)
+            table[np.arange(table.shape[1]) < sizes[:, None]] = np.concatenate(lists)
+            self.tables.append(table)
+
+    def near(self, q: np.ndarray, start: np.ndarray, breadth: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of q, from its start: distances and nodes of the nearest found on a layer, nearest first: best first, until what is left is farther than the worst kept. All of q take their steps together; what is missing is infinitely far, at -1."""
+        table, every = self.tables[layer], np.arange(len(q))
+        away, nodes = np.full((len(q), breadth), np.inf), np.full((len(q), breadth), -1)
+        away[:, 0], nodes[:, 0] = 1 - np.einsum("ij,ij->i", self.x[start], q), start
+        # Only kept nodes are opened: one that fell out is farther than the worst kept.
+        left = nodes >= 0
+        seen = np.zeros((len(q), len(self.x)), bool)
+        seen[every, start] = True
+        while len(on := np.flatnonzero(left.any(axis=1))):
+            k = left[on].argmax(axis=1)
+            left[on, k] = False
+            there = table[nodes[on, k]]
+            new = (there >= 0) & ~seen[on[:, None], there]
+            row = np.repeat(on, new.sum(axis=1))
+            seen[row, there[new]] = True
+            far = np.full(there.shape, np.inf)
+            far[new] = 1 - np.einsum("ij,ij->i", self.x[there[new]], q[row])
+            some = (far < away[on, -1:]).any(axis=1)
+            on, far, there, new = on[some], far[some], there[some], new[some]
+            all_away, all_nodes, all_left = np.hstack([away[on], far]), np.hstack([nodes[on], there]), np.hstack([left[on], new])
+            order = np.argsort(all_away, axis=1, kind="stable")[:, :breadth]
+            away[on], nodes[on], left[on] = (np.take_along_axis(v, order, axis=1) for v in (all_away, all_nodes, all_left))
+        return away, np.where(np.isfinite(away), nodes, -1)
+
+    def search(self, q: np.ndarray, k: int, breadth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of q the distances and nodes of the k nearest that are found."""
+        found = []
+        for start in range(0, len(q), BLOCK_ROWS):
+            some = q[start : start + BLOCK_ROWS]
+            at = np.full(len(some), self.top)
+            for layer in range(len(self.tables) - 1, 0, -1):
+                at = self.near(some, at, 1, layer)[1][:, 0]
+            found.append([v[:, :k] for v in self.near(some, at, max(k, breadth), 0)])
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _chosen(x: np.ndarray, away: np.ndarray, found: np.ndarray, most: int) -> np.ndarray:
+    """Of each row of found (nodes, nearest first, away as far; infinitely far ones don't count) at most that many, each nearer to the row's vector than to those chosen before it; the nearest of the rest fill up. What is missing is -1."""
+    rows, near = np.arange(len(found)), x[found]
+    left = np.isfinite(away)
+    rank = np.where(left, most + np.arange(found.shape[1]), most + found.shape[1])
+    for turn in range(min(most, found.shape[1])):
+        on = left.any(axis=1)
+        if not on.any():
+            break
+        k = left.argmax(axis=1)
+        rank[rows[on], k[on]] = turn
+        left &= away <= 1 - (near @ near[rows, k][:, :, None])[:, :, 0]
+        left[rows, k] = False
+    order = np.argsort(rank, axis=1, kind="stable")[:, :most]
+    return np.where(np.take_along_axis(rank, order, axis=1) < most + found.shape[1], np.take_along_axis(found, order, axis=1), -1)
+
+
+def _layer(x: np.ndarray, least: int, most: int, breadth: int) -> list[np.ndarray]:
+    """For each vector of a layer its neighbours there."""
+    sources, targets = [], []
+    for start in range(0, len(x), BLOCK_ROWS):
+        own = np.arange(start, min(start + BLOCK_ROWS, len(x)))
+        away = 1 - x[own] @ x[: own[-1] + 1].T
+        away[:, start:][np.arange(len(own)) >= np.arange(len(own))[:, None]] = np.inf
+        found = np.argpartition(away, min(breadth, away.shape[1]) - 1, axis=1)[:, :breadth]
+        found.sort(axis=1)
+        away = np.take_along_axis(away, found, axis=1)
+        order = np.argsort(away, axis=1, kind="stable")
+        picked = _chosen(x, np.take_along_axis(away, order, axis=1), np.take_along_axis(found, order, axis=1), least)
+        sources.append(np.repeat(own, picked.shape[1])[picked.ravel() >= 0])
+        targets.append(picked.ravel()[picked.ravel() >= 0])
+    one, other = np.concatenate(sources), np.concatenate(targets)
+    one, other = np.concatenate([one, other]), np.concatenate([other, one])
+    away = np.empty(len(one))
+    for start in range(0, len(one), 100 * BLOCK_ROWS):
+        part = slice(start, start + 100 * BLOCK_ROWS)
+        away[part] = 1 - np.einsum("ij,ij->i", x[one[part]], x[other[part]])
+    order = np.lexsort((other, away, one))
+    away, other = away[order], other[order]
+    sizes = np.bincount(one, minlength=len(x))
+    starts = np.cumsum(sizes) - sizes
+    links = [other[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
+    # Nodes with too many links choose among all of theirs, in blocks of about equal numbers of links.
+    full = np.flatnonzero(sizes > most)
+    full = full[np.argsort(sizes[full], kind="stable")]
+    while len(full):
+        block = full[: BLOCK_ROWS]
+        block = block[: max(1, int(np.searchsorted(sizes[block] * np.arange(1, len(block) + 1), BLOCK_ROWS * breadth)))]
+        full = full[len(block) :]
+        at = np.arange(sizes[block[-1]])
+        there = at < sizes[block][:, None]
+        place = np.where(there, starts[block][:, None] + at, 0)
+        for node, picked in zip(block.tolist(), _chosen(x, np.where(there, away[place], np.inf), other[place], most)):
+            links[node] = picked[picked >= 0]
+    return links
+
+
+def layered_links(x: np.ndarray, layers: np.ndarray, most: int = LINKS, breadth: int = BUILD_BREADTH) -> list[list[list[int]]]:
+    """For each unit vector, in the order of insertion, its neighbours on each of its layers.
+
+    A vector is linked with some of the nearest before it, and these with it; who has too many links then chooses among
+    all of them. The nearest before it are found by products of blocks of vectors and not by a search of the graph so
+    far: none is missed, and a shard of bounded rows takes bounded work, without a step of Python for each node on the way.
+    """
+    links: list[list[list[int]]] = [[] for _ in range(len(x))]
+    for layer in range(int(layers.max(initial=0))):
+        nodes = np.flatnonzero(layers > layer)
+        for node, theirs in zip(nodes.tolist(), _layer(x[nodes], most, most * (2 if layer == 0 else 1), breadth)):
+            links[node].append(nodes[theirs].tolist())
+    return links
 
 
 def _units(vectors) -> np.ndarray:
@@ -128,13 +172,11 @@ def build_index(vectors: DataFrame, path: str, links: int = LINKS, breadth: int
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_order", "id"], ignore_index=True)
-        graph = LayeredGraph(_units(part["embedding"]), most=links, breadth=breadth)
-        for node, n in enumerate(part["layers"].tolist()):
-            graph.insert(node, n)
-        return pd.DataFrame({"shard": part["shard"], "node": np.arange(len(part)), "id": part["id"], "embedding": part["embedding"], "neighbours": graph.links})
+        near = layered_links(_units(part["embedding"]), part["layers"].to_numpy(), links, breadth)
+        return pd.DataFrame({"shard": part["shard"], "node": np.arange(len(part)), "id": part["id"], "embedding": part["embedding"], "neighbours": near})
 
     kind = vectors.schema["id"].dataType.simpleString()
-    dealt.groupBy("shard").applyInPandas(build, f"shard int, node int, id {kind}, embedding array<double>, neighbours array<array<int>>").write.parquet(path)
+    dealt.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(build, f"shard int, node int, id {kind}, embedding array<double>, neighbours array<array<int>>").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -159,14 +201,16 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, breadth: int
         if not len(shard) or not len(questions):
             return pd.DataFrame({c: [] for c in columns})
         shard = shard.sort_values("node", ignore_index=True)
-        graph = LayeredGraph(_units(shard["embedding"]), [[list(layer) for layer in n] for n in shard["neighbours"]])
-        ids, rows = shard["id"].tolist(), []
-        for query, q in zip(questions["query"].tolist(), _units(questions["embedding"])):
-            rows += [(query, ids[i], 1 - d) for d, i in graph.search(q, k, breadth)]
-        return pd.DataFrame(rows, columns=columns)
+        questions = questions.sort_values("query", kind="stable", ignore_index=True)
+        graph = LayeredGraph(_units(shard["embedding"]), shard["neighbours"].tolist())
+        away, nodes = graph.search(_units(questions["embedding"]), k, breadth)
+        row, at = np.nonzero(nodes >= 0)
+        return pd.DataFrame({"query": questions["query"].to_numpy()[row], "id": shard["id"].to_numpy()[nodes[row, at]], "score": 1 - away[row, at]})
 
     kinds = index.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
-    found = index.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(answer, f"query {kinds[1]}, id {kinds[0]}, score double")
+    # By the shard's own number each has a task for itself, whatever its hash and its compressed size.
+    dealt = [side.repartitionById((numbers or 0) + 1, F.col("shard")).groupBy("shard") for side in (index, sent)]
+    found = dealt[0].cogroup(dealt[1]).applyInPandas(answer, f"query {kinds[1]}, id {kinds[0]}, score double")
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), "id"))), 1, k)
     top = found.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("at", "b"))
     return top.select("query", F.col("b.id").alias("id"), (-F.col("b.away")).alias("score"), (F.col("at") + 1).alias("rank"))

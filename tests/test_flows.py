@@ -284,6 +284,43 @@ def test_neighbours_of_the_table_against_exact_ones(spark, sf):
     assert neighbour_graph.recall(found, spark.createDataFrame([(int(a), int(b)) for a, b in exact], "query long, id long")) >= 0.95
 
 
+def test_neighbour_graph_is_built_by_products_of_blocks(monkeypatch):
+    monkeypatch.setattr(neighbour_graph, "BLOCK_ROWS", 32)
+    x = clustered(260, 8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    layers = np.array([1 + (i % 4 == 1) + (i % 16 == 1) for i in range(len(x))])
+    most, breadth = 5, 20
+    away = lambda a, b: float(1 - x[a] @ x[b])
+
+    def choose(node, among, limit):
+        among, picked = sorted(among, key=lambda j: (away(node, j), j)), []
+        for j in among:
+            if len(picked) < limit and all(away(node, j) <= away(j, p) for p in picked):
+                picked.append(j)
+        return (picked + [j for j in among if j not in picked])[:limit]
+
+    want = [[] for _ in x]
+    for layer in range(3):
+        on = [i for i in range(len(x)) if layers[i] > layer]
+        theirs = {i: [] for i in on}
+        for i in on:
+            for j in choose(i, sorted([j for j in on if j < i], key=lambda j: away(i, j))[:breadth], most):
+                theirs[i].append(j)
+                theirs[j].append(i)
+        limit = most * (2 if layer == 0 else 1)
+        for i in on:
+            want[i].append(sorted(theirs[i] if len(theirs[i]) <= limit else choose(i, theirs[i], limit)))
+    got = neighbour_graph.layered_links(x, layers, most, breadth)
+    assert [[sorted(layer) for layer in n] for n in got] == want
+
+
+def test_each_shard_of_the_index_has_a_task(spark):
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(700))], "id long, embedding array<double>")
+    index = neighbour_graph.build_index(vectors, scratch(spark, "tasks"), shard_rows=50)
+    of = index.groupBy(F.input_file_name()).agg(F.countDistinct("shard").alias("n")).collect()
+    assert [r["n"] for r in of] == [1] * 14
+
+
 def longest_common(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
