@@ -31,12 +31,13 @@ def scan_edges(edges: DataFrame, from_ids=None, to_ids=None, kinds=None, sources
     return out.orderBy("src", "dst", "kind").limit(limit) if limit else out
 
 
-def _last(symbols: DataFrame) -> list[str]:
-    return [c for c in symbols.columns if c == "id"]
+def _in_order(symbols: DataFrame) -> list[Column]:
+    """By name, file and line, nulls last as in SQL, and of equals by id if there is one."""
+    return [F.asc_nulls_last(c) for c in ("name", "file", "line", "id") if c in symbols.columns]
 
 
 def find_symbols(symbols: DataFrame, name: str | None = None, ignore_case: bool = False, kind: str | None = None, file: str | None = None, exported: bool | None = None, like: str | None = None, limit: int | None = None) -> DataFrame:
-    """Symbols (name, kind, file, line, exported) by any of these; a limit takes the first in (name, file, line) order, of equals those with the least id if there is one."""
+    """Symbols (name, kind, file, line, exported) by any of these; a limit takes the first in (name, file, line) order, nulls last, of equals those with the least id if there is one."""
     out = symbols.where(all_of(
         (F.lower("name") == name.lower() if ignore_case else F.col("name") == name) if name is not None else None,
         F.col("kind") == kind if kind is not None else None,
@@ -44,15 +45,15 @@ def find_symbols(symbols: DataFrame, name: str | None = None, ignore_case: bool
         F.col("exported") == exported if exported is not None else None,
         F.lower("name").like(like.lower()) if like is not None else None,
     ))
-    out = out.orderBy("name", "file", "line", *_last(out)) if limit else out
+    out = out.orderBy(*_in_order(out)) if limit else out
     return out.limit(limit) if limit else out
 
 
 def find_fuzzy(symbols: DataFrame, pattern: str, kind: str | None = None, limit: int = 50) -> DataFrame:
-    """Names that hold pattern whatever the case (% and _ are wild cards): equal names first, then shorter ones, of equals those with the least id if there is one."""
+    """Names that hold pattern whatever the case (% and _ are wild cards): equal names first, then shorter ones, then by name, file and line, nulls last, of equals those with the least id if there is one."""
     low = pattern.lower()
     found = find_symbols(symbols, kind=kind).where(F.lower("name").like(f"%{low}%"))
-    return found.orderBy(F.when(F.lower("name") == low, 0).otherwise(1), F.length("name"), "name", "file", "line", *_last(found)).limit(limit)
+    return found.orderBy(F.when(F.lower("name") == low, 0).otherwise(1), F.length("name"), *_in_order(found)).limit(limit)
 
 
 def symbol_stats(symbols: DataFrame, kinds: list[str]) -> DataFrame:

@@ -305,6 +305,22 @@ def test_limits_take_the_least_id_of_equal_symbols(spark):
     assert [r["id"] for r in scans.find_fuzzy(s, "in", limit=3).collect()] == [1, 4, 7]
 
 
+@pytest.mark.parametrize("name", ["symbol_fuzzy", "symbol_query_limited"])
+def test_symbols_without_file_or_line_come_last_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    from loomstone.plans import registry
+
+    rows = [(2 * i, "red ring", None if i % 2 else f"f{i:02}", "k", None if i % 3 else i) for i in range(70)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    names = ("name", "kind", "file", "line", "exported")  # ids of equals are open
+    want = c.execute(f"select {', '.join(names)} from ({registry.SQL[name]})").fetchall()
+    assert [r[1:] for r in got] == want and any(r[3] is not None for r in got)
+
+
 def test_retrieval_metrics_broadcast_nothing(spark):
     from loomstone.operators import aggregates
 
