@@ -18,9 +18,9 @@ def rounded(df, *cols):
     return df.withColumns({c: r6(F.col(c)) for c in cols})
 
 
-@query("cochange_pairs", "WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS n FROM o) WHERE n <= 50) SELECT a.l_partkey AS a, b.l_partkey AS b, COUNT(*) AS together, round(COUNT(*) / (SELECT COUNT(DISTINCT l_orderkey) FROM o), 9) AS strength FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING COUNT(*) >= 2")
+@query("cochange_pairs", "WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT a.l_partkey AS a, b.l_partkey AS b, COUNT(*) AS together, round(COUNT(*) / (SELECT COUNT(DISTINCT l_orderkey) FROM o), 9) AS strength FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING COUNT(*) >= 2")
 def _(t):
-    return A.cochange(t.lineitem, "l_orderkey", "l_partkey", least_count=2).withColumn("strength", F.round("strength", 9))
+    return A.cochange(t.lineitem, "l_orderkey", "l_partkey", first=None, least_count=2).withColumn("strength", F.round("strength", 9))
 
 
 SHARES = "WITH s AS (SELECT l_partkey AS file, l_suppkey AS author, SUM(l_quantity) AS lines, SUM(l_quantity) / SUM(SUM(l_quantity)) OVER (PARTITION BY l_partkey) AS share FROM lineitem GROUP BY 1, 2), k AS (SELECT * FROM s WHERE share >= 0.05) "

@@ -103,6 +103,16 @@ def test_flagship_counts_all_files_of_a_commit(spark, tmp_path):
     assert len(got) == 20 and max(r[3] for r in got) >= 59 and got == want
 
 
+def test_pairs_of_all_files_of_a_commit(spark, tmp_path):
+    rows = [(c, k) for c in (1, 2) for k in range(70)] + [(c, c % 9) for c in range(3, 40)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.queries()["cochange_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b, 2, round(2 / 39, 9)) for a, b in combinations(range(70), 2)}
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got == set(c.execute(registry.SQL["cochange_pairs"]).fetchall())
+
+
 def test_timeline_of_all_entities(run):
     t, got = run("evolution_timeline")
     want = [(a, b, "order") for a, b in t.orders.select("o_custkey", "o_orderdate").collect()] + [tuple(r) for r in t.events.select("user_id", "ts", "event_type").collect()]
