@@ -113,6 +113,20 @@ def test_pairs_of_all_files_of_a_commit(spark, tmp_path):
     assert got == set(c.execute(registry.SQL["cochange_pairs"]).fetchall())
 
 
+def test_dependents_at_any_depth(spark, tmp_path):
+    spark.range(45_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["id"]: r["depth"] for r in registry.queries()["exhaustive_dependents"](spark, str(tmp_path)).collect()}
+    want = {10: 0}
+    for k in range(11, 45_000):  # each part depends on lesser ones
+        known = [want[x] for x in (k // 2, k // 3) if x in want]
+        if known:
+            want[k] = min(known) + 1
+    assert want.pop(10) == 0 and max(want.values()) == 12 and got == want
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert got == dict(c.execute(registry.SQL["exhaustive_dependents"]).fetchall())
+
+
 def test_timeline_of_all_entities(run):
     t, got = run("evolution_timeline")
     want = [(a, b, "order") for a, b in t.orders.select("o_custkey", "o_orderdate").collect()] + [tuple(r) for r in t.events.select("user_id", "ts", "event_type").collect()]
