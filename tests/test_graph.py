@@ -131,3 +131,12 @@ def test_betweenness_query_holds_no_whole_graph(spark, sf, monkeypatch):
     registry.queries()
     monkeypatch.setattr(G, "betweenness", None)  # refuses over 2,000,000 edges
     assert registry.PLANS["betweenness"](Tables(spark, sf)).count() > 60
+
+
+def test_eigenvector_query_goes_on_until_scores_settle(spark, sf, monkeypatch):
+    from loomstone.plans import registry
+    from loomstone.tables import Tables
+
+    registry.queries()
+    monkeypatch.setattr(G, "eigenvector", lambda edges, rounds=100, tolerance=1e-6: (rounds, tolerance))
+    assert registry.PLANS["eigenvector_centrality"](Tables(spark, sf)) == (100, 1e-6)
