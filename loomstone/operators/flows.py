@@ -196,6 +196,56 @@ def lineage(flow: DataFrame, start: DataFrame, depth: int | None = None) -> Data
     return out
 
 
+def _follow(depth: int | None) -> Callable[..., Iterable[tuple]]:
+    def work(line: list, target: list, uses: list, then: list, start: list) -> Iterable[tuple]:
+        define = [(x, v) for x, v in zip(line, target, strict=True) if x is not None and v is not None]
+        steps = [(x, y) for x, ys in zip(line, then, strict=True) if x is not None for y in ys or () if y is not None]
+        reads: dict = {}
+        for x, names in zip(line, uses, strict=True):
+            reads.setdefault(x, set()).update(names or ())
+        flow = set()
+        if define and steps:
+            flow = {(a, b) for name, a, b in _reach(*zip(*define, strict=True), *zip(*steps, strict=True)) if name in reads.get(b, ())}
+        forward, back = {}, {}
+        for a, b in flow:
+            forward.setdefault(a, []).append(b)
+            back.setdefault(b, []).append(a)
+        for first in {x for x, s in zip(line, start, strict=True) if s}:
+            for way, to in (("back", back), ("forward", forward)):
+                seen, front, at = {first}, [first], 0
+                while front:
+                    for x in front:
+                        yield first, x, way, at, x not in to
+                    if at == depth:
+                        break
+                    at += 1
+                    front = list({y for x in front for y in to.get(x, ())} - seen)
+                    seen.update(front)
+
+    return work
+
+
+def lineage_in_units(statements: DataFrame, depth: int | None = None, most: int = UNIT_ROWS) -> DataFrame:
+    """(unit, start, line, way, depth, end): what lineage gives over the data_flow of these statements.
+
+    statements: unit, line, target, uses, then (array of lines where control may go from there), start (whether to follow
+    it). All of a unit is in these rows, so units of up to `most` of them are shuffled once, gathered to a row each and
+    followed inside tasks, and no row of the flow is written anywhere; larger ones go by data_flow and lineage.
+    """
+    named, line = statements.where("unit is not null"), statements.schema["line"].dataType.simpleString()
+    (few,), rest = _split(_large(named, most=most), named)
+    packed = _packed(few, "r", ["line", "target", "uses", "then", "start"])
+    out = _by_unit(packed, _follow(depth), [("start", line), ("line", line), ("way", "string"), ("depth", "int"), ("end", "boolean")])
+    alone = statements.where("unit is null and start").select("unit", F.col("line").alias("start"), "line").distinct()
+    ways = alone.withColumn("way", F.explode(F.array(F.lit("back"), F.lit("forward"))))
+    out = out.unionByName(ways.withColumns({"depth": F.lit(0), "end": F.lit(True)}))
+    if rest is not None:
+        large = rest[0]
+        flow = data_flow(large, large.select("unit", F.col("line").alias("src"), F.explode("then").alias("dst")))
+        out = out.unionByName(lineage(flow, large.where("start").select("unit", "line"), depth))
+    return out
+
+
 def _starts_with(line: Column, words: str) -> Column:
     return line.rlike(rf"^\s*({words})\b")
 

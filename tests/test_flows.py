@@ -416,3 +416,20 @@ def test_units_take_no_level_of_joins_each(spark, monkeypatch):
     monkeypatch.setattr(flows, "cut", lambda df: seen.append(1) or keep(df))
     e = spark.createDataFrame([(1, i, i + 1) for i in range(20)], "unit int, src int, dst int")
     assert flows.dominators(e, spark.createDataFrame([(1, 0)], "unit int, node int")).count() == 21 * 22 // 2 and len(seen) < 10
+
+
+@pytest.mark.parametrize("most", [5000, 6])
+def test_lineage_in_units_is_that_of_the_flow(spark, most):
+    rng = random.Random(5)
+    name = lambda: rng.choice(["x", "y", None])
+    rows = [(u, i, name(), [name(), "z"] if i % 4 else None, [i + 1 if i < n else None, rng.randrange(1, n + 1)], i in (1, n)) for u, n in [(1, 4), (2, 9), (3, 1), (None, 5), (4, 12)] for i in range(1, n + 1)]
+    st = spark.createDataFrame(rows, "unit int, line long, target string, uses array<string>, then array<long>, start boolean")
+    flow = flows.data_flow(st, st.select("unit", F.col("line").alias("src"), F.explode("then").alias("dst")))
+    for depth in (None, 1):
+        want = Counter(map(tuple, flows.lineage(flow, st.where("start").select("unit", "line"), depth).collect()))
+        assert len(want) > 20 and Counter(map(tuple, flows.lineage_in_units(st, depth, most).collect())) == want
+
+
+def test_lineage_query_shuffles_lines_but_writes_no_flow(spark, sf, monkeypatch):
+    monkeypatch.setattr(flows, "data_flow", None)  # for units over UNIT_ROWS alone
+    assert registry.PLANS["data_lineage"](Tables(spark, sf)).count() > 5000
