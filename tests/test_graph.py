@@ -140,3 +140,29 @@ def test_eigenvector_query_goes_on_until_scores_settle(spark, sf, monkeypatch):
     registry.queries()
     monkeypatch.setattr(G, "eigenvector", lambda edges, rounds=100, tolerance=1e-6: (rounds, tolerance))
     assert registry.PLANS["eigenvector_centrality"](Tables(spark, sf)) == (100, 1e-6)
+
+
+@pytest.mark.parametrize("most", [0, 25, 500_000])
+def test_betweenness_by_blocks_and_by_levels_is_the_same(spark, monkeypatch, most):
+    import random
+
+    rng = random.Random(6)
+    pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(40)} | {(k, k // 2) for k in range(20, 80)}
+    pairs = {(f"n{a:02}", f"n{b:02}") for a, b in pairs}
+    e = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    want = {r["id"]: pytest.approx(r["betweenness"]) for r in G.betweenness(e).collect()}
+    monkeypatch.setattr(G, "BLOCK_BITS", 2)
+    monkeypatch.setattr(G, "BLOCK_ROWS", most)
+    by_level, called = G._dependencies_by_level, []
+    monkeypatch.setattr(G, "_dependencies_by_level", lambda e, sources: called.append(sources.count()) or by_level(e, sources))
+    assert {r["id"]: r["betweenness"] for r in G.betweenness_joins(e).collect()} == want
+    assert called == [] if most == 500_000 else 0 < called[0] <= len(want) and (called[0] == len(want)) == (most == 0)
+
+
+def test_betweenness_query_makes_no_row_a_source_and_node(spark, sf, monkeypatch):
+    from loomstone.plans import registry
+    from loomstone.tables import Tables
+
+    registry.queries()
+    monkeypatch.setattr(G, "_dependencies_by_level", None)
+    assert registry.PLANS["betweenness"](Tables(spark, sf)).count() > 60
