@@ -275,6 +275,34 @@ def test_similar_links_by_brute_force(spark):
     assert got[12]["similarity"] == 1.0 and got[20]["similarity"] is None and got[0]["similarity"] == pytest.approx(c[0].max())
 
 
+@pytest.mark.parametrize("strip", [7, 32768])
+def test_links_and_pairs_of_classes_by_brute_force(spark, strip):
+    from loomstone.operators import vectors
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(50, 6)).round(1).astype(np.float32)
+    v[10:14], v[20] = v[3], 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    rows = vectors.links_and_pairs(df, "id", "v", 0.45, 0.85, strip).collect()
+    unit = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1), 1e-30)[:, None]
+    c, one = unit @ unit.T, [i for i in range(50) if not 10 <= i < 14]
+    want = {(a, b): pytest.approx(c[a, b]) for a in one for b in one if a < b and c[a, b] >= 0.45}
+    pairs = [r for r in rows if r["other"] is not None]
+    assert len(pairs) == len(want) > 50 and {(r["class_id"], r["other"]): r["similarity"] for r in pairs} == want
+    assert all(r["id"] == r["class_id"] and r["links"] is r["strong"] is None for r in pairs)
+    assert sorted(r["id"] for r in rows if r["other"] is None) == list(range(50))
+
+
+@pytest.mark.parametrize("name", ["vec_pair_clones", "clone_types"])
+def test_clone_queries_name_both_ends_of_links(spark, sf, name):
+    from loomstone.plans import registry
+    from loomstone.tables import Tables
+
+    registry.queries()
+    rows = registry.PLANS[name](Tables(spark, sf.replace("sf0.001", "sf0.01"))).collect()
+    assert any(r["other"] is not None and r["other"] > r["vec_id"] for r in rows)
+
+
 def test_clones_keep_links_under_085(spark, sf):
     from loomstone.plans import registry
     from loomstone.tables import Tables
